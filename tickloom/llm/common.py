@@ -89,9 +89,9 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in bytes of all words, and of each document the number of the first one."""
-    solid = ~_SPACE[raw]
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes of all words, and of each document the number of the first one. apart: of each byte, whether it parts words."""
+    solid = ~apart[raw]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
