@@ -28,11 +28,18 @@ BLOCK_BYTES = 32 << 20
 _SEED = 11
 _FILTER = 1 << 22
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """Texts in lower case, character by character, so that positions stay."""
+    out = []
+    for text in column.to_pylist():
+        low = (text or "").lower()
+        out.append(low if len(low) == len(text or "") else "".join(c if len(c.lower()) > 1 else c.lower() for c in text))
+    return pa.array(out, pa.large_string())
+
+
 def budget(m: int, rate: float = ERROR_RATE) -> int:
     """Edits allowed in an item of m words; pieces keep PROBE words."""
     return max(0, min(int(m * rate), m // PROBE - 1))
@@ -62,10 +69,9 @@ class Block:
 
     def __init__(self, items: pa.Table, rate: float) -> None:
         hasher = Hasher(_SEED)
-        raw, offsets = utf8(items["text"])
-        folded = _FOLD[raw]
-        starts, ends, first = words(folded, offsets, _APART)
-        self.words, self.first, self.ids = hasher.word(folded, starts, ends), first, items["item_id"].to_pylist()
+        raw, offsets = utf8(folded(items["text"]))
+        starts, ends, first = words(raw, offsets, _APART)
+        self.words, self.first, self.ids = hasher.word(raw, starts, ends), first, items["item_id"].to_pylist()
         at, length, item = [], [], []
         self.budgets = np.zeros(len(self.ids), np.int64)
         for i in range(len(self.ids)):
@@ -87,14 +93,13 @@ class Block:
 
     def find(self, column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end in code points) of the best place of each item in each text."""
-        raw_all, offsets_all = utf8(column)
+        raw_all, offsets_all = utf8(folded(column))
         for lo, hi in steps(offsets_all):
             raw, offsets = raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo]
-            folded = _FOLD[raw]
-            starts, ends, first = words(folded, offsets, _APART)
+            starts, ends, first = words(raw, offsets, _APART)
             if len(starts) < PROBE or not len(self.probes):
                 continue
-            hashes = hasher.word(folded, starts, ends)
+            hashes = hasher.word(raw, starts, ends)
             sums = hasher.words.sums(hashes)
             at = np.arange(len(starts) - PROBE + 1)
             probe = hasher.words.hashes(sums, at, at + PROBE)
@@ -145,7 +150,7 @@ def _sent(spark: SparkSession, block: Block) -> Broadcast:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and benchmark text found in it: doc_id, item_id, distance (words), budget, start, end (code points).
 
-    Words are runs of ASCII letters and digits, A-Z lowered, and of any other non-ASCII character. Only an item's best place in a document is told.
+    Words are runs of ASCII letters and digits and of any non-ASCII character, in lower case. Only an item's best place in a document is told.
     Null and empty texts hold nothing and are found nowhere; items under MIN_WORDS words are not looked for. Repeated rows of documents each
     give their rows; equal items give one row under the smallest identifier. Empty tables give an empty result. Other columns are not read.
     """
