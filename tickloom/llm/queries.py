@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_directory(table(spark, sf_dir, "documents"), sharding.QUERY_BYTES)
 
@@ -33,6 +37,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
