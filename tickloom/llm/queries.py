@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secret_scan, sharding, simhash, substring_dedup
+from . import decontaminate, exact_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_store
 from .common import table
 
 
@@ -26,6 +27,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def sites() -> dict:
+    """In documents the source is the host, and a language of it a path."""
+    return {"host": F.col("source"), "path": F.concat_ws("/", F.col("source"), F.col("lang"))}
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels"), **sites()), **sites())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_directory(table(spark, sf_dir, "documents"), sharding.QUERY_BYTES)
 
@@ -34,6 +45,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_table(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
 }
 
