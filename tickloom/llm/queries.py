@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_store
+from . import decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_store
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op6_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
