@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, unpacked, utf8, words
+from .common import Hasher, mix, packed, partitions, stage, steps, text_of, unpacked, utf8, words
 
 #: A window of 20 words has 13 places for an anchor of 8 words; the cover is a perfect difference set modulo 13.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -63,35 +63,50 @@ def _entries(batch: pa.RecordBatch, kind: object) -> tuple[np.ndarray | None, np
     return hashes, np.repeat(ids, counts), np.repeat(ords, counts), at
 
 
-def _per_document(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(ids, kind="stable")
-    ids, at = ids[order], at[order]
-    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[begin]), packed(at, np.diff(np.append(begin, len(ids))))], ["id", "at"])
+def _addressed(ids: np.ndarray, at: np.ndarray, n: int) -> pa.RecordBatch:
+    """Positions on their way to their documents: one packed row for each bucket of identifiers, not one a document."""
+    names, row = np.unique(ids, return_inverse=True)
+    bucket = _bucket(mix(names.view(np.uint64)), n)[row]
+    order = np.lexsort((row, bucket))
+    return _sent(bucket[order], None, names, np.zeros_like(names), row[order], at[order])
 
 
-def _settle(kind: object, judge: Callable) -> Callable:
-    """Of one bucket: the positions that judge picks from all entries with hashes, and those that were settled before, by document."""
+def _settle(kind: object, judge: Callable, n: int) -> Callable:
+    """Of one bucket: the positions that judge picks from all entries with hashes, and those that were settled before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, settled = [], []
         for batch in batches:
             null = np.asarray(batch.column("hashes").is_null())
             for part in (batch.filter(pa.array(null)), batch.filter(pa.array(~null))):
-                if not part.num_rows:
-                    continue
-                hashes, ids, ords, at = _entries(part, kind)
-                if hashes is None:
-                    yield _per_document(ids, at)
-                else:
-                    found.append((hashes, ids, ords, at))
+                if part.num_rows:
+                    hashes, ids, ords, at = _entries(part, kind)
+                    if hashes is None:
+                        settled.append((ids, at))
+                    else:
+                        found.append((hashes, ids, ords, at))
         if found:
             hashes, ids, ords, at = (np.concatenate(x) for x in zip(*found))
             picked = judge(hashes, ords, at)
-            yield _per_document(ids[picked], at[picked])
+            settled.append((ids[picked], at[picked]))
+        if settled:
+            ids, at = (np.concatenate(x) for x in zip(*settled))
+            if len(ids):
+                yield _addressed(ids, at, n)
 
     return run
 
 
+def _by_identifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket of identifiers: a row a document with all its positions."""
+    found = [(ids, at) for batch in batches for _, ids, _, at in [_entries(batch, None)]]
+    if found:
+        ids, at = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ids, kind="stable")
+        ids, at = ids[order], at[order]
+        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), packed(at, np.diff(np.append(begin, len(ids))))], ["id", "at"])
+
+
 # ---------------------------------------------------------------- anchors
 
 _SIX = np.dtype((np.void, 6))
@@ -156,14 +171,12 @@ def _windows(n_buckets: int, width: int, period: int) -> Callable:
         for batch in batches:
             ids, ords = batch.column("id").to_numpy(), batch.column("ord").to_numpy()
             raw_all, offsets_all = utf8(batch.column("text"))
-            lists = batch.column("anchors")
-            cuts, flat = lists.offsets.to_numpy(), lists.values
             ds, rows, ats = [], [], []
             for lo, hi in steps(offsets_all):
                 starts, ends, first = words(raw := raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo])
                 n = np.diff(first)
-                pos, per = unpacked(flat.slice(cuts[lo], cuts[hi] - cuts[lo]), np.uint32)
-                row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1])), per)
+                pos, per = unpacked(batch.column("anchors").slice(lo, hi - lo), np.uint32)
+                row = np.repeat(np.arange(hi - lo), per)
                 pos = pos.astype(np.int64)
                 open_, shut = np.maximum(pos - period + 1, 0), np.minimum(pos, n[row] - width)
                 fits = open_ <= shut
@@ -207,12 +220,12 @@ def _kept(width: int, with_starts: bool, digest: bool) -> Callable:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             starts = batch.column("starts").to_pylist() if with_starts else [None] * batch.num_rows
-            for text, lists in zip(batch.column("text"), starts):
+            for text, gone in zip(batch.column("text"), starts):
                 own = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()  # at \x20 and \x09-\x0d
                 n_words.append(len(own))
-                if lists:
+                if gone:
                     edge = np.zeros(len(own) + width + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
+                    at = np.unique(np.frombuffer(gone, np.uint32)).astype(np.int64)
                     edge[at] += 1
                     edge[at + width] -= 1
                     stay = np.cumsum(edge)[: len(own)] == 0
@@ -236,14 +249,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions(docs.sparkSession)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("id"))
-    anchors = rows.select("id", "text").mapInArrow(_anchors(n, WINDOW, PERIOD, COVER), "bucket long, " + _HASH)
-    twice = anchors.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(_settle(_SIX, _twice), "id long, at binary")
-    twice = twice.groupBy("id").agg(F.collect_list("at").alias("anchors"))
-    suspects = stage(rows.join(twice, "id"), "substring-suspects")
+    packed_row = "bucket long, " + _HASH
+    home = lambda df: df.repartitionById(n, F.col("bucket").cast("int"))
+    anchors = rows.select("id", "text").mapInArrow(_anchors(n, WINDOW, PERIOD, COVER), packed_row)
+    twice = home(home(anchors).mapInArrow(_settle(_SIX, _twice, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary")
+    suspects = stage(rows.join(twice.withColumnRenamed("at", "anchors"), "id"), "substring-suspects")
     ordered = suspects.select("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text", "anchors")
-    windows = ordered.mapInArrow(_windows(n, WINDOW, PERIOD), "bucket long, " + _HASH)
-    later = windows.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(_settle(_TWELVE, _later), "id long, at binary")
-    later = later.groupBy("id").agg(F.collect_list("at").alias("starts"))
+    windows = ordered.mapInArrow(_windows(n, WINDOW, PERIOD), packed_row)
+    later = home(home(windows).mapInArrow(_settle(_TWELVE, _later, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary").withColumnRenamed("at", "starts")
     schema = "id long, doc_id long, n_words long, n_removed long, kept string"
     cut = suspects.select("id", "doc_id", "text").join(later, "id", "left").select("id", "doc_id", "text", "starts").mapInArrow(_kept(WINDOW, True, digest), schema)
     whole = rows.select("id", "doc_id", "text").mapInArrow(_kept(WINDOW, False, digest), schema).join(suspects.select("id").distinct(), "id", "left_anti")
