@@ -22,15 +22,15 @@ def _bit(digest: Column) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """(page, bitmap): at most FILTER_BITS / 32768 rows of 4 KB."""
-    at = _bit(F.col("digest"))
+def hit_filter(hits: DataFrame, key: str = "digest") -> DataFrame:
+    """(page, bitmap) over the hits' keys: at most FILTER_BITS / 32768 rows of 4 KB."""
+    at = _bit(F.col(key))
     return hits.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
 
 
-def passing(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """The rows whose digest may be a hit. The pages have a proven size, so they are broadcast."""
-    at = _bit(F.col("digest"))
+def passing(rows: DataFrame, pages: DataFrame, key: str = "digest") -> DataFrame:
+    """The rows whose key may be a hit. The pages have a proven size, so they are broadcast."""
+    at = _bit(F.col(key))
     position = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.pmod(position, F.lit(8)).cast("int") + 1)) != 0
