@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.series import up_to_now
+from ..staging import kept
 from .intervals import matches
 from .risk import CONTRACT, breached, net_pnl
 
@@ -75,8 +76,8 @@ def curve(df: DataFrame, trades: DataFrame, cfg: Config) -> DataFrame:
     b = cfg.backtest
     span = df.filter("tradable").groupBy("symbol").agg(F.min("i").alias("_a"), F.max("i").alias("_z"))
     bars = df.join(span, "symbol").filter("i between _a and _z").select("symbol", "i", "timestamp", "close", "_z")
-    booked = trades.groupBy("symbol", F.col("exit_i").alias("i")).agg(F.sum(F.when(~F.col("forced"), F.col("net_pnl"))).alias("booked"), F.sum("net_pnl").alias("final"))
-    # a forced trade is open up to the last bar, where its net result overwrites the mark
+    booked = trades.groupBy("symbol", F.col("exit_i").alias("i")).agg(F.sum(F.when(~F.col("forced"), F.col("net_pnl"))).alias("booked"), F.sum("net_pnl").alias("final"), F.max("forced").alias("any_forced"))
+    # a forced trade is open up to the last bar, where its net result overwrites the mark; one that opens there leaves its costs
     open_ = matches(trades.select("symbol", "entry_i", "exit_i", "forced", "direction", "entry_price", "lots"), bars.select("symbol", "i", "close"), F.col("entry_i") + 1, F.when(F.col("forced"), F.col("exit_i")).otherwise(F.col("exit_i") - 1))
     gross = _sign() * (F.col("close") - F.col("entry_price")) * CONTRACT * F.col("lots")
     mark = F.when(F.col("close").isNotNull(), net_pnl(gross, F.lit(b.spread_pips / 100.0), F.lit(b.commission_per_lot), F.col("lots"))).otherwise(0.0)
@@ -85,7 +86,7 @@ def curve(df: DataFrame, trades: DataFrame, cfg: Config) -> DataFrame:
     realised = F.lit(b.initial_capital) + F.coalesce(F.sum("booked").over(up_to_now()), F.lit(0.0))
     out = out.withColumn("_realised", realised)
     total = F.lit(b.initial_capital) + F.coalesce(F.sum("final").over(up_to_now()), F.lit(0.0))
-    forced = (F.col("i") == F.col("_z")) & F.col("final").isNotNull() & F.col("mark").isNotNull()
+    forced = (F.col("i") == F.col("_z")) & F.coalesce("any_forced", F.lit(False))
     equity = F.col("_realised") + F.coalesce("mark", F.lit(0.0))
     return out.withColumns({"marked": equity, "equity": F.when(forced, total).otherwise(equity)}).select("symbol", "i", "timestamp", "marked", "equity", "in_market")
 
@@ -101,10 +102,10 @@ def backtest(df: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFram
 
     The guard latches: from its breach on nothing opens. What was open then runs on, and the equity before does not depend on it, so the breach is found on the
     unguarded curve and the later trades are dropped. df: signals (direction, stop_dist, target_dist, entry_type), probability and tradable."""
-    all_trades = take(entries(df, cfg), cfg)
-    stops = guarded(curve(df, all_trades, cfg), cfg)
+    all_trades = kept(take(kept(entries(df, cfg)), cfg))
+    stops = kept(guarded(curve(df, all_trades, cfg), cfg))
     trades = all_trades.join(stops, "symbol", "left").filter("breach_i is null or entry_i < breach_i").drop("breach_i")
-    marked = curve(df, trades, cfg)
+    marked = kept(curve(df, trades, cfg))
     halted = stops.select("symbol", F.lit(True).alias("halted"))
     booked = trades.groupBy("symbol").agg(F.sum("net_pnl").alias("_net"))
     summary = marked.groupBy("symbol").agg(F.sum(F.col("in_market").cast("long")).alias("bars_in_market"), F.count(F.lit(1)).alias("total_bars"))

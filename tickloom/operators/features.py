@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.candles import patterns, sessions
 from ..functions.series import flag, lagged
+from ..staging import kept
 from . import indicators as ind
 from . import signals as sig
 from . import structure as st
@@ -28,13 +29,14 @@ def feature_names(cfg: Config) -> list[str]:
 
 
 def base(bars: DataFrame, cfg: Config) -> DataFrame:
-    """Bars with atr and market_structure(): what zones, signals and labels stand on."""
-    return st.market_structure(ind.atr(bars, cfg.features.atr_window), cfg.features.ict.swing_lookback)
+    """Bars with atr and market_structure(): what zones, signals and labels stand on, many times over, so it is kept."""
+    return kept(st.market_structure(ind.atr(bars, cfg.features.atr_window), cfg.features.ict.swing_lookback))
 
 
 def with_signals(df: DataFrame, cfg: Config) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """df with signals, and the zones, all kept."""
     found = sig.all_zones(df, cfg)
-    return sig.signals(df, cfg, found), found
+    return kept(sig.signals(df, cfg, found)), found
 
 
 def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import kept
+
 #: Bars of a bin.
 BIN = 128
 
@@ -35,11 +37,12 @@ def first_after(zones: DataFrame, bars: DataFrame, key: list[str], start: Column
 
     hit is over the zone's columns and a bar's high, low and close; may over those and bin_low and bin_high: whether a bin could hold such a bar.
     The two bins after the start are searched first; only zones that found nothing go on to the later bins that may hold a bar."""
-    begin = start + 1
+    begin, zones = start + 1, kept(zones)
     near = matches(zones, bars, begin, (F.floor(begin / BIN) + 2) * BIN - 1).filter(hit).groupBy(*key).agg(F.min("i").alias(name))
+    near = kept(near)
     rest = zones.join(near, key, "left_anti")
     ends = bars.groupBy("symbol").agg(F.max("i").alias("_end"))
     later = spread(rest.join(ends, "symbol"), (F.floor(begin / BIN) + 2) * BIN, F.col("_end")).drop("_end")
     later = later.join(summaries(bars), ["symbol", "bin"]).filter(may).drop("bin_low", "bin_high")
     far = later.join(binned(bars), ["symbol", "bin"]).filter(hit).groupBy(*key).agg(F.min("i").alias(name))
-    return zones.join(near.unionByName(far), key, "left")
+    return kept(zones.join(near.unionByName(far), key, "left"))

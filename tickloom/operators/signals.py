@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..staging import kept
 from . import zones as z
 from .intervals import binned, matches, spread
 from .structure import order_blocks
@@ -42,12 +43,12 @@ def _block_hits(blocks: DataFrame, bars: DataFrame) -> DataFrame:
 def all_zones(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     """fvg and ifvg (with source_i and mitigated_i) and order_block. df: with atr and market_structure()."""
     ict = cfg.features.ict
-    gaps = z.gaps(df, ict.fvg_min_gap_atr)
+    gaps = kept(z.gaps(df, ict.fvg_min_gap_atr))
     ifvg = z.inverted(gaps, df)
     return {
         "fvg": z.mitigated(gaps.withColumn("source_i", F.col("created_i")), df, ["symbol", "created_i"]),
         "ifvg": z.mitigated(ifvg, df, ["symbol", "source_i"]),
-        "order_block": order_blocks(df, ict.order_block_lookback),
+        "order_block": kept(order_blocks(df, ict.order_block_lookback)),
     }
 
 

@@ -116,12 +116,12 @@ CTE: dict[str, str] = {
     "stopped": f"SELECT symbol, min(i) AS br FROM (SELECT *, greatest(10000, max(eq) OVER {NOW}) AS peak FROM mark0) WHERE (peak - eq) / peak >= 0.2 GROUP BY symbol",
     "trades": "SELECT f.* FROM free f LEFT JOIN stopped s USING (symbol) WHERE s.br IS NULL OR f.e < s.br",
     "curve": """SELECT b.symbol, b.i, b.timestamp, w.z, EXISTS (SELECT 1 FROM trades f WHERE f.symbol = b.symbol AND f.e < b.i AND (b.i < f.exit_i OR f.forced)) AS in_market,
-        CASE WHEN b.i = w.z AND EXISTS (SELECT 1 FROM trades f WHERE f.symbol = b.symbol AND f.forced AND f.e < b.i) THEN 10000 + (SELECT sum(f.net) FROM trades f WHERE f.symbol = b.symbol)
+        CASE WHEN b.i = w.z AND EXISTS (SELECT 1 FROM trades f WHERE f.symbol = b.symbol AND f.forced) THEN 10000 + (SELECT sum(f.net) FROM trades f WHERE f.symbol = b.symbol)
         ELSE 10000 + coalesce((SELECT sum(f.net) FROM trades f WHERE f.symbol = b.symbol AND NOT f.forced AND f.exit_i <= b.i), 0) + coalesce((SELECT sum(((CASE f.direction WHEN 'long' THEN 1 ELSE -1 END) * (b.close - f.entry_price) * 100 - 26) * f.lots)
         FROM trades f WHERE f.symbol = b.symbol AND f.e < b.i AND (b.i < f.exit_i OR f.forced)), 0) END AS equity FROM bars b JOIN win w USING (symbol) WHERE b.i BETWEEN w.a AND w.z""",
     "dd": f"""SELECT *, CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END AS dd, last_value(CASE WHEN was IS NULL OR equity > was THEN i END IGNORE NULLS) OVER {NOW} AS peak_i
       FROM (SELECT *, max(equity) OVER {NOW} AS peak, max(equity) OVER {PAST} AS was, {_div(f"equity - lag(equity) OVER {W}", f"lag(equity) OVER {W}")} AS ret FROM curve)""",
-    "feat": f"""SELECT b.symbol, b.i, b.close, ret_1, logret_1, ret_5, logret_5, ret_10, logret_10, volatility, {", ".join(f"{_div(f'b.close - e{s}', f'e{s}')} AS ema_{s}_dist" for s in (9, 21, 50, 200))}, rsi, macd, macd_signal, macd_hist, o.atr, pctb AS bb_pctb, bandwidth AS bb_bandwidth, chan.pos AS channel_pos,
+    "feat": f"""SELECT b.symbol, b.i, b.close, ret_1, logret_1, ret_5, logret_5, ret_10, logret_10, volatility, {", ".join(f"{_div(f'b.close - e{s}', f'e{s}')} AS ema_{s}_dist" for s in (9, 21, 50, 200))}, o.rsi, macd, macd_signal, macd_hist, o.atr, pctb AS bb_pctb, bandwidth AS bb_bandwidth, chan.pos AS channel_pos,
         body_ratio, upper_wick_ratio, lower_wick_ratio, candle_range, {", ".join(f"{n}::INTEGER::DOUBLE AS {n}" for n in ("is_doji", "is_hammer", "is_shooting_star", "is_bullish_engulfing", "is_bearish_engulfing"))},
         bias::DOUBLE AS ms_bias, bos::DOUBLE AS ms_bos, choch::DOUBLE AS ms_choch, since_bos::DOUBLE AS bars_since_bos, since_choch::DOUBLE AS bars_since_choch, in_killzone::INTEGER::DOUBLE AS in_killzone, pd_position, (pd_position > 0.5)::INTEGER::DOUBLE AS premium,
         bsw::INTEGER::DOUBLE AS buyside_sweep, ssw::INTEGER::DOUBLE AS sellside_sweep, CASE WHEN o.atr > 0 THEN (b.close - bs) / o.atr END AS dist_to_buyside, CASE WHEN o.atr > 0 THEN (b.close - ss) / o.atr END AS dist_to_sellside, dist_to_fvg, dist_to_ifvg,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..operators import folds as fd
 from ..operators import model as md
 from ..operators.labels import triple_barrier
 from ..operators.metrics import metrics
+from ..staging import kept
 
 
 @dataclass
@@ -31,20 +31,19 @@ class Research:
 
 def prepared(bars: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """Bars with signals and labels, and the feature matrix with label."""
-    df = ft.base(bars, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    df, zones = ft.with_signals(df, cfg)
-    df = triple_barrier(df, cfg.labeling.target_atr_mult, cfg.labeling.stop_atr_mult, cfg.labeling.horizon, F.col("direction")).persist(StorageLevel.MEMORY_AND_DISK)
+    df, zones = ft.with_signals(ft.base(bars, cfg), cfg)
+    df = kept(triple_barrier(df, cfg.labeling.target_atr_mult, cfg.labeling.stop_atr_mult, cfg.labeling.horizon, F.col("direction")))
     return df, ft.feature_matrix(df, cfg, zones).join(df.select("symbol", "i", "label"), ["symbol", "i"])
 
 
 def research(bars: DataFrame, cfg: Config) -> Research:
-    """Lazy but for the persisted frames. The test bars of all folds form one window a symbol, over which equity carries on."""
+    """What several steps need is written once to the shared folder. The test bars of all folds form one window a symbol, over which equity carries on."""
     df, matrix = prepared(bars, cfg)
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = kept(matrix)
     names = ft.feature_names(cfg)
-    folds = fd.adaptive(df, cfg).persist()
-    models = md.train(matrix, folds, names, cfg).persist()
+    folds = kept(fd.adaptive(df, cfg))
+    models = kept(md.train(matrix, folds, names, cfg))
     p = md.score(matrix, folds, models, names)
     traded = df.join(p.withColumn("tradable", F.lit(True)), ["symbol", "i"], "left").withColumn("tradable", F.coalesce("tradable", F.lit(False)))
-    trades, curve, summary = bt.backtest(traded.persist(StorageLevel.MEMORY_AND_DISK), cfg)
+    trades, curve, summary = bt.backtest(kept(traded), cfg)
     return Research(matrix, folds, models, p, trades, curve, summary, metrics(curve, trades, summary))

@@ -25,6 +25,7 @@ from .oracles import sql
 from .plans.research import prepared
 from .sources.bars import event_bars, order_bars
 from .sources.csv import checked, unique
+from .staging import kept
 
 CFG = Config()
 KEY = ("symbol", "i")
@@ -338,7 +339,7 @@ def _backtest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     df = ind.rsi(_signals(spark, d)).withColumn("probability", F.col("rsi") / 100)
     span = fd.adaptive(df, CFG).groupBy("symbol").agg(F.min("test_lo").alias("_a"), F.max("test_hi").alias("_z"))
     df = df.join(span, "symbol").withColumn("tradable", (F.col("i") >= F.col("_a")) & (F.col("i") < F.col("_z"))).drop("_a", "_z")
-    return bt.backtest(df.persist(), CFG)
+    return bt.backtest(kept(df), CFG)
 
 
 @query(f"SELECT symbol, e AS entry_i, exit_i, direction, {_r('entry_price', 'exit_price', 'lots', 'gross gross_pnl', 'net net_pnl')}, exit_reason, entry_type FROM trades")
