@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, partitions, ragged, stage, steps, text_of, utf8, words
+from .common import _SPACE, partitions, ragged, stage, steps, text_of, tidy, utf8, words
 from .components import components
 
 #: The primes of XXH64.
@@ -137,6 +137,7 @@ def fingerprint_batch(raw: np.ndarray, offsets: np.ndarray, width: int, seed: in
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (64 bits as a signed long) of each row."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
@@ -153,6 +154,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and in how many each two bits are both set; summed up on the executors."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
         for batch in batches:
@@ -194,7 +196,7 @@ def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], i
             for b in bits:
                 apart = apart * (1 - differ[b]) + np.append(0, apart[:-1]) * differ[b]
             within = np.cumsum(apart)
-            costs.append([0.0] + [KEY_COST * n * comb(len(bits), t) + n * n / 2 * within[t] if comb(len(bits), t) <= MAX_KEYS else np.inf for t in range(distance + 1)])
+            costs.append([0.0] + [KEY_COST * n * comb(len(bits), t) + n * n / 2 * within[t] if 0 < comb(len(bits), t) <= MAX_KEYS else np.inf for t in range(distance + 1)])
         table = {0: (0.0, ())}  # thresholds plus one so far -> cost, thresholds
         for cost in costs:
             new: dict = {}
@@ -249,6 +251,7 @@ def _stars(unit: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
 
 
 def _prober(distance: int) -> Callable:
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in _and_none(batches):
