@@ -17,7 +17,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, ragged, steps, text_of, utf8, words
+from .common import Hasher, ragged, steps, text_of, tidy, utf8, words
 
 #: Words that may differ, as a share of the item's; each piece has PROBE words at least, whose hash is looked up.
 ERROR_RATE, PROBE = 0.15, 4
@@ -93,9 +93,8 @@ class Block:
 
     def find(self, column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end in code points) of the best place of each item in each text."""
-        raw_all, offsets_all = utf8(folded(column))
-        for lo, hi in steps(offsets_all):
-            raw, offsets = raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo]
+        for lo, hi in steps(utf8(column)[1]):
+            raw, offsets = utf8(folded(column.slice(lo, hi - lo)))
             starts, ends, first = words(raw, offsets, _APART)
             if len(starts) < PROBE or not len(self.probes):
                 continue
@@ -163,6 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _finder(sent: Broadcast) -> Callable:
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, b = Hasher(_SEED), pickle.loads(sent.value)
         for batch in batches:
@@ -186,6 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def _keeper(sent: Broadcast, at: int) -> Callable:
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, block = Hasher(_SEED), pickle.loads(sent.value)
         for batch in batches:

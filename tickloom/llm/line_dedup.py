@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, tidy
 from .exact_dedup import hit_filter, passing
 
 #: A chunk ends after one line in EVERY, on average; it must have LEAST lines to be removed.
@@ -47,6 +47,7 @@ def _cut(text: pa.Scalar) -> tuple[list[bytes], list[tuple[int, int]]]:
     return lines, [(a, b) for a, b in chunks(lines) if b - a >= LEAST] if len(lines) >= LEAST else []
 
 
+@tidy
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, firsts, halves = [], [], []
@@ -62,6 +63,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "id", "ord", "first"])
 
 
+@tidy
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks whose hash repeats."""
     for batch in batches:
@@ -79,6 +81,7 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(with_firsts: bool, digest: bool) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
@@ -134,6 +137,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _with_id(run: Callable) -> Callable:
     """run, row by row, with the row's id after each result."""
+    @tidy
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, utf8
+from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, tidy, utf8
 from .components import components
 from .exact_dedup import hit_filter, passing
 from .simhash import fingerprint_batch, joined_words, links
@@ -29,6 +29,7 @@ BLOCK = 64
 _COLUMNS = 1 << 15
 
 
+@tidy
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
@@ -39,6 +40,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(fp)], ["doc_id", "digest", "fp"])
 
 
+@tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct hashes of each text's shingles, lower-cased; a text of fewer words is one shingle."""
     hasher = Hasher(51)
@@ -80,6 +82,7 @@ def similar(hashes: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     return (both >= least * union) & (union > 0) | (union == 0)
 
 
+@tidy
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join the similar texts of each unit; rows are sorted by unit."""
     key, held = None, []

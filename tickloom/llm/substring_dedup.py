@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, mix, packed, partitions, stage, steps, text_of, unpacked, utf8, words
+from .common import Hasher, mix, packed, partitions, stage, steps, text_of, tidy, unpacked, utf8, words
 from .exact_dedup import hit_filter, passing
 
 #: A window of 20 words has 13 places for an anchor of 8 words; the cover is a perfect difference set modulo 13.
@@ -74,6 +74,7 @@ def _addressed(ids: np.ndarray, at: np.ndarray, n: int) -> pa.RecordBatch:
 
 def _settle(kind: object, judge: Callable, n: int) -> Callable:
     """Of one bucket: the positions that judge picks from all entries with hashes, and those that were settled before."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, settled = [], []
         for batch in batches:
@@ -97,6 +98,7 @@ def _settle(kind: object, judge: Callable, n: int) -> Callable:
     return run
 
 
+@tidy
 def _by_identifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket of identifiers: a row a document with all its positions."""
     found = [(ids, at) for batch in batches for _, ids, _, at in [_entries(batch, None)]]
@@ -118,6 +120,7 @@ def _anchors(n_buckets: int, width: int, period: int, cover: tuple[int, ...]) ->
     covered = np.zeros(period, bool)
     covered[list(cover)] = True
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_SEEDS[0])
         for batch in batches:
@@ -167,6 +170,7 @@ _TWELVE = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _windows(n_buckets: int, width: int, period: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [Hasher(s) for s in _SEEDS]
         for batch in batches:
@@ -217,6 +221,7 @@ def _later(d: np.ndarray, ords: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _kept(width: int, with_starts: bool, digest: bool) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []

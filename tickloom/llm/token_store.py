@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, ragged, shared_dir, steps, text_of, utf8
+from .common import partitions, ragged, shared_dir, steps, text_of, tidy, utf8
 from .wavelet import WaveletMatrix
 
 #: Ids after which a shard is closed; a document is never cut, so one of more ids is a shard by itself.
@@ -27,7 +27,9 @@ SHARD_IDS = 1 << 20
 END_ID = 2
 SCHEMA = "part int, shard int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
 #: Bytes of text that are encoded at once, and words that a Python worker remembers the ids of.
-ENCODE_BYTES, REMEMBERED = 8 << 20, 600_000
+ENCODE_BYTES, REMEMBERED = 6 << 20, 300_000
+#: New words that the library is asked for at once.
+ASKED = 4000
 #: A space next to any other white space; texts without it can be encoded word by word.
 _LOOSE = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
 _HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\n!-/0-9:-@\[-`{-~]|\Z)")
@@ -55,41 +57,47 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.starts, self.lengths = [0], [0]
+        self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)])
 
     def _remember(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.dtype)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        begin = self.used + np.cumsum(lengths) - lengths
-        for k, key in enumerate(keys, len(self.starts)):
-            self.known[key] = k
-        self.starts += begin.tolist()
-        self.lengths += lengths.tolist()
-        self.used += len(ids)
+        end, n = self.used + len(ids), self.n + len(keys)
+        self.ids, self.starts, self.lengths = self._room(self.ids, end), self._room(self.starts, n), self._room(self.lengths, n)
+        self.ids[self.used : end] = ids
+        self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : n] = lengths
+        self.known.update(zip(keys, range(self.n, n)))
+        self.used, self.n = end, n
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> None:
         """Asks the library for the ids of new keys: plain words in one text with a line end between, others one by one."""
-        plain = [k for k in keys if "\n" not in k and k[:1] == " " and k[1:].isalpha()]
-        ids = np.array(self.library.encode("\n".join(plain), add_special_tokens=False).ids, self.dtype)
-        cuts = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else np.zeros(0, np.int64)
-        if plain and len(cuts) == len(plain) - 1:
-            edges = np.concatenate([[-1], cuts, [len(ids)]])
-            self._remember(plain, np.delete(ids, cuts), np.diff(edges) - 1)
-        else:
-            plain = []
-        known = set(plain)
-        rest = [k for k in keys if k not in known]
-        got = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-        if got:
-            self._remember(rest, np.concatenate(got), np.array([len(g) for g in got]))
+        rest = []
+        plain = [k for k in keys if len(self.line) == 1 and k[:1] == " " and k[1:].isalpha() or rest.append(k)]
+        for at in range(0, len(plain), ASKED):
+            part = plain[at : at + ASKED]
+            (ids,) = self._ask(["\n".join(part)])
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(cuts) == len(part) - 1:
+                self._remember(part, np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            else:
+                rest += part
+        for at in range(0, len(rest), ASKED):
+            got = self._ask(rest[at : at + ASKED])
+            self._remember(rest[at : at + ASKED], np.concatenate(got), np.array([len(g) for g in got]))
 
     def _slots(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
         """Two entries for each word: of its letters (with what leads them) and of the rest."""
         heads, tails = [], []
         for w in words:
-            m = _HEAD.match(w)
-            at = m.end() if m else len(w)
+            at = len(w)
+            if not w.isalpha() and (m := _HEAD.match(w)):
+                at = m.end()
             heads.append(lead + w[:at])
             tails.append(w[at:])
         known = self.known
@@ -123,10 +131,9 @@ class Encoder:
             slots = np.empty((len(index), 2), np.int64)
             slots[:, 0], slots[:, 1] = head[index], tail[index]
             slots[first, 0], slots[first, 1] = head0[where], tail0[where]
-            starts, lengths = np.array(self.starts), np.array(self.lengths)
             flat = slots.ravel()
-            size = lengths[flat]
-            at = np.repeat(starts[flat], size) + ragged(size)
+            size = self.lengths[flat]
+            at = np.repeat(self.starts[flat], size) + ragged(size)
             ids = self.ids[at]
             cut = np.append(0, np.cumsum(size))[2 * offsets]
             for k, i in enumerate(some):
@@ -143,6 +150,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def _writer(path: str, end_id: int, shard_ids: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, base = _encoder(path), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
@@ -195,6 +203,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
     rows.mapInArrow(_writer(tokenizer, end_id, shard_ids), SCHEMA).write.option("compression", "uncompressed").parquet(out)
 
 
+@tidy
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
