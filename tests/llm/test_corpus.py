@@ -322,3 +322,26 @@ def test_components(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {a: 0 for a in range(31)} | {100: 100, 101: 100, 102: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_finds_appended_cut_and_replaced_text(spark):
+    """Each pair, by brute force, is similar or not; a passage that half of the texts share joins none of them."""
+    rng, rows, want = random.Random(5), [], 0
+    word = lambda: f"w{rng.randint(0, 20000)}"
+    passage = [word() for _ in range(40)]
+    for k in range(120):
+        base = [word() for _ in range(rng.choice([60, 300, 900]))] + passage * (k % 2)
+        n = len(base)
+        share = rng.choice([0.08, 0.15, 0.19, 0.24, 0.3])
+        more = [word() for _ in range(int(n * share))]
+        other = [base + more, more + base, base[: n - int(n * share * 0.8)], base[: n // 3] + more[: int(n * share / 2)] + base[n // 3 + int(n * share / 2) :]][k % 4]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want += jaccard(base, other) >= 0.8
+    assert 40 < want < 110
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect()) == sorted(i for i, t in rows if i % 2 == 0 or jaccard(rows[i - 1][1].split(), t.split()) < 0.8)

@@ -1,16 +1,21 @@
-"""Near-duplicate removal: SimHash finds which documents may be alike, their five-word shingles decide, and one of each group stays.
+"""Near-duplicate removal: SimHash and shared prefixes find which documents may be alike, their five-word shingles decide, and one of each group stays.
 
 Fingerprints of two-word shingles within DISTANCE bits make groups of suspects, linearly many links whatever a group's size. Inside
 a group the shingle sets themselves are compared, block against block, in tasks of bounded size that give only links that join, not all pairs.
+
+SimHash is a first probe only. Whatever it misses is found by prefixes: in one order of all shingles, two sets of n and m with a similarity of SIMILAR share
+one of their first n - ceil(SIMILAR n) + 1 shingles at least. Texts that meet at such a shingle are compared with the least text there first, which joins most
+of a group by linearly many pairs; then all pairs that meet and are not yet of one group, if they share enough to reach SIMILAR at all.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,10 @@ FINGERPRINT, DISTANCE = 2, 8
 #: Texts of a block; two blocks are in memory at once.
 BLOCK = 64
 _COLUMNS = 1 << 15
+#: Shingles in COMMON or more of one text in SAMPLE come last in the order (a bitmap of COMMON_BITS, by hash). The order decides the cost only: any is complete.
+SAMPLE, COMMON, COMMON_BITS = 16, 3, 1 << 23
+#: The first round compares a text with the least one at its shingles if they meet at one shingle in so many of the text's.
+MEET = 16
 
 
 @tidy
@@ -40,27 +49,104 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(fp)], ["doc_id", "digest", "fp"])
 
 
+def shingle_sets(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's shingles, lower-cased, in order and on end, and how many each text has; a text of fewer words is one shingle."""
+    raw_all, offsets_all = utf8(column)
+    out, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in steps(offsets_all):
+        buffer, starts, ends, first = joined_words(raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo])
+        n = np.diff(first)
+        count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(n.dtype))
+        at = np.repeat(first[:-1], count) + ragged(count)
+        h = hasher.window(hasher.word(buffer, starts, ends), at, np.repeat(np.minimum(n, SHINGLE), count))
+        row = np.repeat(np.arange(hi - lo), count)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+        out.append(h[new])
+        sizes.append(np.bincount(row[new], minlength=hi - lo))
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of one step each, so that the shingles of few texts are in memory at once."""
+    for batch in batches:
+        for lo, hi in steps(utf8(batch.column("text"))[1]):
+            yield batch.slice(lo, hi - lo)
+
+
 @tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct hashes of each text's shingles, lower-cased; a text of fewer words is one shingle."""
+    """All columns but the text, and the text's set."""
     hasher = Hasher(51)
+    for batch in _slices(batches):
+        rest = batch.drop_columns(["text"])
+        yield rest.append_column("shingles", packed(*shingle_sets(batch.column("text"), hasher)))
+
+
+@tidy
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher(51)
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"), hasher)[0].view(np.int64))], ["h"])
+
+
+def _prefixes(common: Broadcast) -> Callable:
+    """(h, id, size): the first shingles of each text, those that are common coming last; size is the number of all its shingles."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bits = Hasher(51), np.frombuffer(common.value, np.uint8)
+        for batch in _slices(batches):
+            h, size = shingle_sets(batch.column("text"), hasher)
+            bit = h & np.uint64(COMMON_BITS - 1)
+            late = bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, late, row))
+            h = h[order][ragged(size) < np.repeat(size - least_shared(size, size) + 1, size)]
+            taken = np.where(size > 0, size - least_shared(size, size) + 1, 0)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(ids, taken)), pa.array(np.repeat(size, taken).astype(np.int32))], ["h", "id", "size"])
+
+    return run
+
+
+def least_shared(size: np.ndarray, union: np.ndarray) -> np.ndarray:
+    """Shingles that a set of this size shares at least with one whose union with it has so many."""
+    return np.minimum(size, np.ceil(SIMILAR * union - 1e-6).astype(np.int64))
+
+
+@tidy
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h and id: those whose h several texts have, each once, with the least text there (its hub). A run may go on in the next batch."""
+    held = np.zeros((0, 3), np.int64)  # the first row of the open run, and its latest if it has several: these were given already
+    for batch in batches:
+        rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "id", "size")])])
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]
+        given = np.arange(len(rows)) < (2 if len(held) == 2 else 0)
+        rows, given = rows[new], given[new]
+        if not len(rows):
+            continue
+        first = np.append(True, rows[1:, 0] != rows[:-1, 0])
+        run = np.cumsum(first) - 1
+        several = np.bincount(run)[run] > 1
+        hub = rows[np.flatnonzero(first)[run]]
+        out = several & ~given
+        last = np.flatnonzero(run == run[-1])
+        held = rows[[last[0], last[-1]] if len(last) > 1 else [last[0]]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[out, 0]), pa.array(rows[out, 1]), pa.array(rows[out, 2].astype(np.int32)), pa.array(hub[out, 1]), pa.array(hub[out, 2].astype(np.int32))], ["h", "id", "size", "hub", "hub_size"])
+
+
+@tidy
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar."""
     for batch in batches:
-        raw_all, offsets_all = utf8(batch.column("text"))
-        out, sizes = [np.zeros(0, np.uint64)], []
-        for lo, hi in steps(offsets_all):
-            buffer, starts, ends, first = joined_words(raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo])
-            n = np.diff(first)
-            count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(n.dtype))
-            at = np.repeat(first[:-1], count) + ragged(count)
-            h = hasher.window(hasher.word(buffer, starts, ends), at, np.repeat(np.minimum(n, SHINGLE), count))
-            row = np.repeat(np.arange(hi - lo), count)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
-            out.append(h[new])
-            sizes.append(np.bincount(row[new], minlength=hi - lo))
-        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("root"), batch.column("nb"), packed(np.concatenate(out), size)], ["digest", "root", "nb", "shingles"])
+        yes = []
+        for x, y in zip(batch.column("sa"), batch.column("sb")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            yes.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
 def similar(hashes: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
@@ -113,6 +199,57 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked()
 
 
+def _common(texts: DataFrame) -> bytes:
+    """A bitmap of the shingles that several texts of a sample have."""
+    sample = texts.filter(F.pmod("id", F.lit(SAMPLE)) == 0).dropDuplicates(["id"]).select("text").mapInArrow(_each, "h long")
+    at = F.col("h").bitwiseAND(F.lit(COMMON_BITS - 1)) + 1
+    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    pages = often.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    bits = bytearray(COMMON_BITS // 8)
+    for page, bitmap in pages.collect():  # COMMON_BITS / 32768 pages of 4 KB at most
+        bits[(page - 1) * 4096 : page * 4096] = bitmap
+    return bytes(bits)
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of text numbers, the links (digests a, b) of those that are similar."""
+    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
+    wanted = passing(texts, hit_filter(ids, "id"), "id").join(ids, "id", "left_semi").select("id", "digest", "text")
+    sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary").dropDuplicates(["digest"]), "near-pair-sets")
+    left, right = (sets.select(F.col("id").alias(c), F.col("digest").alias(f"d{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")
+    return stage(both.mapInArrow(_judge, "a binary, b binary"), "near-links")
+
+
+def missed_links(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (digests a, b), with more so that all similar texts are joined."""
+    spark = rows.sparkSession
+    texts = rows.select(F.unhex(F.md5("text")).alias("digest"), "text").withColumn("id", F.xxhash64("digest"))
+    order = spark.sparkContext.broadcast(_common(texts))
+    keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int")
+    keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "id")
+    shared = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, hub long, hub_size int"), "near-shared")
+    alike = lambda m, n: F.least(m, n) >= F.greatest(m, n) * SIMILAR - 1e-6
+    star = shared.filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).groupBy(F.col("hub").alias("a"), F.col("id").alias("b"))
+    star = stage(star.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter(F.col("n") * MEET >= F.col("size")).select("a", "b"), "near-pairs")
+    links = links.unionByName(_similar_pairs(star, texts))
+    roots = components(links).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
+    placed = stage(shared.select("h", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
+    # Of two texts in different groups one is not in the largest group at their shingle: those texts meet all others there.
+    parts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    open_ = stage(placed.join(parts.filter("parts > 1").select("h", "main"), "h"), "near-open")
+    one = open_.filter("root != main").select("h", F.col("id").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    other = open_.select("h", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), "main")
+    met = one.join(other, "h").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("na"), F.col("nb")))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    met = met.groupBy(low.alias("a"), high.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("less"), F.first(F.greatest("na", "nb")).alias("more"))
+    # Beyond the prefix that ends first they share no more than what is left of its set.
+    after = F.ceil(F.col("more") * SIMILAR - 1e-6) - 1
+    enough = F.ceil((F.col("less") + F.col("more")) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+    pairs = stage(met.filter(F.col("n") + after >= enough).select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
+    return links.unionByName(_similar_pairs(pairs, texts))
+
+
 def near_groups(rows: DataFrame) -> DataFrame:
     """rows: (doc_id, text). One row for each distinct text: digest, doc_id (its smallest), n (rows with that identifier), group (a digest that all of a group share)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -130,7 +267,8 @@ def near_groups(rows: DataFrame) -> DataFrame:
     units = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda c: F.struct(F.least(mine, c).alias("i"), F.greatest(mine, c).alias("j")))
     sets = stage(sets.dropDuplicates(["digest"]), "near-sets").select("digest", "root", "shingles", F.explode(units).alias("u")).select("root", "u.i", "u.j", "digest", "shingles")
     units = sets.repartition(partitions(rows.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "digest")
-    joined = components(units.mapInArrow(_compare, "a binary, b binary")).withColumnRenamed("node", "digest").withColumnRenamed("root", "group")
+    found = missed_links(rows, stage(units.mapInArrow(_compare, "a binary, b binary"), "near-links"))
+    joined = components(found).withColumnRenamed("node", "digest").withColumnRenamed("root", "group")
     return texts.join(joined, "digest", "left").select("digest", "doc_id", "n", F.coalesce("group", "digest").alias("group"))
 
 
