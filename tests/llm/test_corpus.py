@@ -345,3 +345,15 @@ def test_near_dedup_finds_appended_cut_and_replaced_text(spark):
     assert 40 < want < 110
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect()) == sorted(i for i, t in rows if i % 2 == 0 or jaccard(rows[i - 1][1].split(), t.split()) < 0.8)
+
+
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    items = ["机器学习模型的训练数据不应该包含测试题目", "ภาษาไทยไม่มีช่องว่างระหว่างคำ", "Forty-two", "¿Dónde está la biblioteca «central» de la ciudad?", "東京", "…"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["x。" + items[0] + "，y", "前" + items[0].replace("数据", "资料") + "后", "ก" + items[1] + "ข", "It is forty two.", "fortytwo", "—Dónde está la biblioteca “central” de la ciudad—", "京東", "in 東京 today", "…", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, texts[r.doc_id][r.start : r.end]) for r in decontaminate.leaks(df, bench, shortest=1).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (5, 3), (7, 4)}
+    assert got[0, 0] == (0, items[0]) and got[1, 0][0] == 2 and got[3, 2] == (0, "forty two") and got[5, 3][0] == 0 and got[7, 4] == (0, "東京")
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(df, bench, shortest=1).collect()) == [4, 6, 8, 9]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(0, 0), (1, 0), (2, 1), (5, 3)}
