@@ -357,3 +357,13 @@ def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
     assert got[0, 0] == (0, items[0]) and got[1, 0][0] == 2 and got[3, 2] == (0, "forty two") and got[5, 3][0] == 0 and got[7, 4] == (0, "東京")
     assert sorted(r.doc_id for r in decontaminate.decontaminate(df, bench, shortest=1).collect()) == [4, 6, 8, 9]
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(0, 0), (1, 0), (2, 1), (5, 3)}
+
+
+@pytest.mark.parametrize("limit", [500, 3000])
+def test_written_shards_hold_every_row_once(spark, messy, tmp_path, limit):
+    """Null and repeated identifiers, and rows that repeat altogether, too."""
+    sharding.write_shards(messy, limit, out := str(tmp_path / "shards"))
+    back = spark.read.option("basePath", out).parquet(out)
+    count = lambda df: sorted((repr(tuple(r)), r["count"]) for r in df.groupBy(*messy.columns).count().collect())
+    assert count(back) == count(messy)
+    assert all(r["count"] == 1 or r.size <= limit for r in back.groupBy(F.regexp_extract(F.input_file_name(), "shard=([^/]*)", 1)).agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"), F.count(F.lit(1)).alias("count")).collect())

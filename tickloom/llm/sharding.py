@@ -31,10 +31,15 @@ def shard_directory(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", tex
     by a random number given once, after the bits of the hash. A bucket of one row is not split, though it may exceed the limit (a text longer than
     a shard). A null text has no bytes. An empty table gives an empty directory. Other columns are not read.
     """
+    return _placed(docs.select(id_col, text_col), max_bytes, id_col, text_col).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
+def _placed(docs: DataFrame, max_bytes: int, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """The directory, and in it for each row the carried columns."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     key = F.md5(F.concat(ident, F.lit(":"), F.md5(text_of(text_col))))
     tie = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hi"), tie.alias("lo"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hi"), tie.alias("lo"), *carried)
     rows = stage(keyed, "shard-keys").withColumn("bits", F.concat(_bits("hi"), _bits("lo"))).drop("hi", "lo")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     start, depth, found = 0, ROUND_BITS + max(0, math.ceil(math.log2(max(1, total / max_bytes)))), []
@@ -59,13 +64,14 @@ def _round(rows: DataFrame, start: int, depth: int, limit: int) -> tuple[DataFra
     reached = buckets.withColumn("parent", F.substring(F.col("shard"), F.lit(1), F.col("depth") - 1)).join(parents, ["depth", "parent"], "left_semi").drop("parent").unionByName(buckets.filter(F.col("depth") == start))
     reached = stage(reached, "shard-buckets")
     leaves = levels.select("cell", "depth", "shard").join(reached.filter("not splits").drop("splits"), ["depth", "shard"])
-    settled = rows.withColumn("cell", F.substring("bits", 1, depth)).join(leaves, "cell").select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs")
+    settled = rows.withColumn("cell", F.substring("bits", 1, depth)).join(leaves, "cell").drop("cell", "bits").withColumn("depth", F.col("depth").cast("int"))
     return settled, reached.filter(F.col("splits") & (F.col("depth") == depth)).select(F.col("shard").alias("cell"))
 
 
-def write_shards(docs: DataFrame, directory: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the documents by shard, one folder a shard. It needs unique identifiers."""
-    docs.join(directory.select(F.col("doc_id").alias(id_col), "shard"), id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, max_bytes: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the documents by shard, all columns, one folder a shard. Each row goes through the directory whole, so each is written once, whatever its identifier."""
+    rows = _placed(docs, max_bytes, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows.select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 #: Bytes of a shard in the registered query.
