@@ -6,7 +6,7 @@ committer writes, so a lost task leaves nothing behind; its columns hold the sha
 
 from __future__ import annotations
 
-import re
+import json
 import sys
 import types
 import zlib
@@ -14,131 +14,211 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, ragged, shared_dir, steps, text_of, tidy, utf8
+from .common import mix, partitions, ragged, shared_dir, steps, text_of, tidy, utf8
 from .wavelet import WaveletMatrix
 
 #: Ids after which a shard is closed; a document is never cut, so one of more ids is a shard by itself.
 SHARD_IDS = 1 << 20
 END_ID = 2
 SCHEMA = "part int, shard int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
-#: Bytes of text that are encoded at once, and words that a Python worker remembers the ids of.
-ENCODE_BYTES, REMEMBERED = 6 << 20, 300_000
-#: New words that the library is asked for at once.
-ASKED = 4000
-#: A space next to any other white space; texts without it can be encoded word by word.
-_LOOSE = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
-_HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\n!-/0-9:-@\[-`{-~]|\Z)")
+#: Bytes of text that are encoded at once, and pieces that a Python worker remembers the ids of; longer pieces than so many bytes are not remembered.
+ENCODE_BYTES, REMEMBERED, LONGEST = 6 << 20, 1 << 20, 128
+
+_BYTE = np.arange(256)
+_LETTER = (_BYTE >= 65) & (_BYTE <= 90) | (_BYTE >= 97) & (_BYTE <= 122)
+_PRINTED = (_BYTE > 32) & (_BYTE < 127)
+_MARK = _PRINTED & ~_LETTER & (_BYTE != 39)
+_LINE = (_BYTE >= 9) & (_BYTE <= 13)
+#: The characters by which byte-level vocabularies write bytes: printed ones as they are, the others from 256 on.
+_SHOWN = _PRINTED | (_BYTE > 160) & (_BYTE != 173)
+_WRITTEN = np.where(_SHOWN, _BYTE, 255 + np.cumsum(~_SHOWN)).astype("<u4")
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece of the texts begins, and of each byte whether it belongs to a letter of Latin-1.
+
+    A byte-level tokenizer with the usual split pattern cuts a text at all of these places, whatever else is in it: before a space between two characters
+    that are not white space; between a letter and an ASCII character that is none; before a letter that follows a mark or digit (an apostrophe may
+    open a contraction, so it does not count) or a single line end after one. So the ids of a text are those of its pieces on end.
+    """
+    b = np.concatenate([np.zeros(3, np.uint8), raw, np.zeros(2, np.uint8)])
+    at, before, second, third, after = b[3:-2], b[2:-3], b[1:-4], b[:-5], b[4:-1]
+    tail = (at >= 0x80) & (at < 0xC0) & (before == 0xC3) & (at != 0x97) & (at != 0xB7)
+    ends = _LETTER[at] | tail
+    starts = _LETTER[at] | (at == 0xC3) & (after != 0x97) & (after != 0xB7)
+    ended = np.concatenate([[False], ends[:-1]])
+    closed = np.concatenate([[False], (ends | _PRINTED[at])[:-1]])
+    # white space beyond ASCII is written with these leads; what may be such is not cut at
+    wide = (before >= 0x80) & (second != 0xC2) & (third < 0xE1) | (before >= 0x80) & (third > 0xE3) & (second != 0xC2)
+    cut = (at == 32) & (closed | wide) & (_PRINTED[after] | (after >= 0xC3) & ((after < 0xE1) | (after > 0xE3)))
+    cut |= ended & (at < 0x80) & ~_LETTER[at]
+    cut |= starts & (_MARK[before] | _LINE[before] & np.concatenate([[False], closed[:-1]]))
+    first = offsets[:-1][np.diff(offsets) > 0]
+    cut[first] = True
+    return np.flatnonzero(cut), ends | (starts & (at == 0xC3))
 
 
 class Encoder:
-    """Encodes texts to exactly the ids that the tokenizers library gives, and asks it once for each distinct word.
+    """Encodes texts to exactly the ids that the tokenizers library gives, and asks it once for each distinct piece.
 
-    A byte-level BPE with the usual split pattern cuts a text before each space that follows a character which is not white space, and after letters that
-    a mark, digit or line end follows. So a text's ids are those of its words, each with the space before it, on end. Texts where that may not
-    hold (a space next to other white space, a special token's string, another kind of tokenizer) go to the library whole.
+    Known pieces are found by a hash and compared byte for byte. Texts with a special token's string, and all texts for another kind of tokenizer, go to the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        kind = re.sub(r"\s", "", self.library.to_str()[:20000])
-        self.by_word = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in kind and '"normalizer":null' in kind
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        told = json.loads(self.library.to_str())
+        split, model = told["pre_tokenizer"] or {}, told["model"]
+        byte_level = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+        plain = not told["normalizer"] and not told["truncation"] and not told["padding"] and not told.get("post_processor")
+        self.by_piece = byte_level and plain and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
-
-    @staticmethod
-    def _room(array: np.ndarray, n: int) -> np.ndarray:
-        return array if n <= len(array) else np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)])
-
-    def _remember(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        end, n = self.used + len(ids), self.n + len(keys)
-        self.ids, self.starts, self.lengths = self._room(self.ids, end), self._room(self.starts, n), self._room(self.lengths, n)
-        self.ids[self.used : end] = ids
-        self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.n : n] = lengths
-        self.known.update(zip(keys, range(self.n, n)))
-        self.used, self.n = end, n
-
-    def _ask(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: list[str]) -> None:
-        """Asks the library for the ids of new keys: plain words in one text with a line end between, others one by one."""
-        rest = []
-        plain = [k for k in keys if len(self.line) == 1 and k[:1] == " " and k[1:].isalpha() or rest.append(k)]
-        for at in range(0, len(plain), ASKED):
-            part = plain[at : at + ASKED]
-            (ids,) = self._ask(["\n".join(part)])
-            cuts = np.flatnonzero(ids == self.line[0])
-            if len(cuts) == len(part) - 1:
-                self._remember(part, np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            else:
-                rest += part
-        for at in range(0, len(rest), ASKED):
-            got = self._ask(rest[at : at + ASKED])
-            self._remember(rest[at : at + ASKED], np.concatenate(got), np.array([len(g) for g in got]))
-
-    def _slots(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
-        """Two entries for each word: of its letters (with what leads them) and of the rest."""
-        heads, tails = [], []
-        for w in words:
-            at = len(w)
-            if not w.isalpha() and (m := _HEAD.match(w)):
-                at = m.end()
-            heads.append(lead + w[:at])
-            tails.append(w[at:])
-        known = self.known
-        new = {k for k in heads if k not in known} | {k for k in tails if k not in known}
-        if new:
-            self._learn(sorted(new))
-        return np.array([known[k] for k in heads], np.int64), np.array([known[k] for k in tails], np.int64)
+        self.n, self.used, self.filled = 0, 0, 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.hashes, self.sizes, self.lane_at = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int64)
+        self.starts, self.lengths = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.ids, self.lanes = np.zeros(1 << 17, self.dtype), np.zeros(1 << 16, np.uint64)
+
+    # ---- the memory: open addressing by hash, one slot a piece
+
+    def _grow(self, **least: int) -> None:
+        for name, n in least.items():
+            array = getattr(self, name)
+            if n > len(array):
+                setattr(self, name, np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)]))
+
+    def _place(self, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (self.hashes[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            lost = self.slots[at] != numbers
+            numbers, at = numbers[lost], (at[lost] + 1) & mask
+
+    def _same(self, number: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether pieces have the bytes of these known ones, which have their hashes."""
+        same = self.sizes[number] == sizes
+        i, lane = np.flatnonzero(same), 0
+        while len(i):
+            equal = self.lanes[self.lane_at[number[i]] + lane] == eight[starts[i] + 8 * lane] & _LANE[np.minimum(sizes[i] - 8 * lane, 8)]
+            same[i[~equal]] = False
+            lane += 1
+            i = i[equal & (sizes[i] > 8 * lane)]
+        return same
+
+    def _find(self, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where it is not known."""
+        mask = len(self.slots) - 1
+        out, i = np.full(len(starts), -1, np.int64), np.arange(len(starts))
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(i):
+            number = self.slots[at].astype(np.int64)
+            hit = (number >= 0) & (self.hashes[number] == hashes[i])
+            h = np.flatnonzero(hit)
+            hit[h] = self._same(number[h], eight, starts[i[h]], sizes[i[h]])
+            out[i[hit]] = number[hit]
+            on = ~hit & (number >= 0)
+            i, at = i[on], (at[on] + 1) & mask
+        return out
+
+    def _learn(self, raw: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, letters: np.ndarray) -> None:
+        """Asks the library for the ids of new pieces. A piece of letters alone is one word for its model; others go through all of its steps."""
+        n = len(starts)
+        at = np.repeat(starts, sizes) + ragged(sizes)
+        ends = np.cumsum(sizes)
+        other = np.append(0, np.cumsum(~letters[at]))
+        word = other[ends] - other[ends - sizes] == (raw[starts] == 32)
+        word &= sizes > (raw[starts] == 32)
+        written = _WRITTEN[raw[at]].tobytes().decode("utf-32-le")
+        got: list = [None] * n
+        for k, a, z in zip(np.flatnonzero(word).tolist(), (ends - sizes)[word].tolist(), ends[word].tolist()):
+            got[k] = [t.id for t in self.model.tokenize(written[a:z])]
+        rest = np.flatnonzero(~word).tolist()
+        for k, e in zip(rest, self.library.encode_batch_fast([raw[starts[k] : starts[k] + sizes[k]].tobytes().decode() for k in rest], add_special_tokens=False)):
+            got[k] = e.ids
+        lengths = np.array([len(g) for g in got], np.int32)
+        ids = np.fromiter((i for g in got for i in g), self.dtype, int(lengths.sum()))
+        per = (sizes + 7) // 8
+        end, used, filled = self.n + n, self.used + len(ids), self.filled + int(per.sum())
+        self._grow(hashes=end, sizes=end, lane_at=end, starts=end, lengths=end, ids=used, lanes=filled)
+        step = ragged(per)
+        self.lanes[self.filled : filled] = eight[np.repeat(starts, per) + 8 * step] & _LANE[np.minimum(np.repeat(sizes, per) - 8 * step, 8)]
+        self.ids[self.used : used] = ids
+        self.hashes[self.n : end], self.sizes[self.n : end], self.lengths[self.n : end] = hashes, sizes, lengths
+        self.lane_at[self.n : end] = self.filled + np.cumsum(per) - per
+        self.starts[self.n : end] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+        before, self.n, self.used, self.filled = self.n, end, used, filled
+        if 2 * end > len(self.slots):
+            self.slots = np.full(1 << (4 * end).bit_length(), -1, np.int32)
+            before = 0
+        self._place(np.arange(before, end))
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        buffer = np.concatenate([raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) + 1,), "<u8", buffer, strides=(1,))
+        hashes, i, lane = np.zeros(len(starts), np.uint64), np.arange(len(starts)), 0
+        while len(i):
+            hashes[i] = mix(hashes[i] + sizes[i].astype(np.uint64) ^ eight[starts[i] + 8 * lane] & _LANE[np.minimum(sizes[i] - 8 * lane, 8)])
+            lane += 1
+            i = i[sizes[i] > 8 * lane]
+        number = self._find(eight, starts, sizes, hashes)
+        while len(new := np.flatnonzero(number < 0)):
+            one = new[np.unique(hashes[new], return_index=True)[1]]
+            self._learn(raw, eight, starts[one], sizes[one], hashes[one], letters)
+            number[new] = self._find(eight, starts[new], sizes[new], hashes[new])
+        return number
+
+    def _by_piece(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, letters = pieces(raw, offsets)
+        sizes = np.diff(np.append(starts, len(raw)))
+        if self.n > REMEMBERED:
+            self.forget()
+        short = sizes <= LONGEST
+        number = self._numbers(raw, starts[short], sizes[short], letters)
+        length = np.zeros(len(starts), np.int64)
+        length[short] = self.lengths[number]
+        far = np.flatnonzero(~short)
+        got = [np.array(self.library.encode(raw[starts[k] : starts[k] + sizes[k]].tobytes().decode(), add_special_tokens=False).ids, self.dtype) for k in far]
+        length[far] = [len(g) for g in got]
+        ends = np.cumsum(length)
+        size = self.lengths[number]
+        held = self.ids[np.repeat(self.starts[number], size) + ragged(size)]
+        if len(far):
+            ids = np.empty(int(ends[-1]), self.dtype)
+            ids[np.repeat(short, length)] = held
+            for k, g in zip(far, got):
+                ids[ends[k] - len(g) : ends[k]] = g
+        else:
+            ids = held
+        cut = np.append(0, ends)[np.searchsorted(starts, offsets)]
+        return ids, np.diff(cut)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and how many each has."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        whole = np.asarray(pc.match_substring_regex(column, _LOOSE)) if self.by_word else np.ones(len(column), bool)
-        for s in self.special:
-            whole |= np.asarray(pc.match_substring(column, s))
-        pieces: list = [None] * len(column)
-        for i in np.flatnonzero(whole):
-            pieces[i] = np.array(self.library.encode(column[int(i)].as_py(), add_special_tokens=False).ids, self.dtype)
-        some = np.flatnonzero(~whole)
-        if len(some):
-            split = pc.split_pattern(column.take(pa.array(some)), " ")
-            offsets = split.offsets.to_numpy().astype(np.int64)
-            coded = pc.dictionary_encode(split.flatten())
-            index = coded.indices.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            first = offsets[:-1]
-            words = coded.dictionary.to_pylist()
-            head, tail = self._slots(words, " ")
-            firsts, where = np.unique(index[first], return_inverse=True)
-            head0, tail0 = self._slots([words[k] for k in firsts], "")
-            slots = np.empty((len(index), 2), np.int64)
-            slots[:, 0], slots[:, 1] = head[index], tail[index]
-            slots[first, 0], slots[first, 1] = head0[where], tail0[where]
-            flat = slots.ravel()
-            size = self.lengths[flat]
-            at = np.repeat(self.starts[flat], size) + ragged(size)
-            ids = self.ids[at]
-            cut = np.append(0, np.cumsum(size))[2 * offsets]
-            for k, i in enumerate(some):
-                pieces[i] = ids[cut[k] : cut[k + 1]]
-        return np.concatenate([*pieces, np.zeros(0, self.dtype)]), np.array([len(p) for p in pieces], np.int64)
+        raw, offsets = utf8(column)
+        body = raw.tobytes()
+        if self.by_piece and not any(s in body for s in self.special):
+            return self._by_piece(raw, offsets)
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if self.by_piece and not any(s in body[a:b] for s in self.special):
+                out.append(self._by_piece(raw[a:b], np.array([0, b - a]))[0])
+            else:
+                out.append(np.array(self.library.encode(body[a:b].decode(), add_special_tokens=False).ids, self.dtype))
+        return np.concatenate([*out, np.zeros(0, self.dtype)]), np.array([len(p) for p in out], np.int64)
 
 
 def _encoder(path: str) -> Encoder:
