@@ -67,6 +67,8 @@ def word_count(text: Column) -> Column:
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _M64 = (1 << 64) - 1
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def release() -> None:
@@ -130,8 +132,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _rotate(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotate(acc + lane * P2, 31) * P1
+
+
+def xxh64(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of slices of a buffer that has 8 bytes to spare, for all slices at once: longer ones first, so that each step takes a prefix."""
+    order = np.argsort(-lengths, kind="stable")
+    at, length = starts[order], lengths[order]
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    four = np.ndarray((len(buffer) - 3,), "<u4", buffer, strides=(1,))
+    s = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        h = np.full(len(at), s + P5, np.uint64)
+        big = int(np.searchsorted(-length, -32, "right"))
+        if big:
+            acc = [np.full(big, x, np.uint64) for x in (s + P1 + P2, s + P2, s, s - P1)]
+            for stripe in range(int(length[0]) // 32):
+                m = int(np.searchsorted(-length[:big], -32 * (stripe + 1), "right"))
+                for lane in range(4):
+                    acc[lane][:m] = _round(acc[lane][:m], eight[at[:m] + 32 * stripe + 8 * lane])
+            h[:big] = _rotate(acc[0], 1) + _rotate(acc[1], 7) + _rotate(acc[2], 12) + _rotate(acc[3], 18)
+            for a in acc:
+                h[:big] = (h[:big] ^ _round(np.zeros(big, np.uint64), a)) * P1 + P4
+        h += length.astype(np.uint64)
+        at = at + length // 32 * 32
+        rest = length % 32
+        for _ in range(3):
+            i = np.flatnonzero(rest >= 8)
+            if not len(i):
+                break
+            h[i] = _rotate(h[i] ^ _round(np.zeros(len(i), np.uint64), eight[at[i]]), 27) * P1 + P4
+            at[i] += 8
+            rest[i] -= 8
+        i = np.flatnonzero(rest >= 4)
+        h[i] = _rotate(h[i] ^ four[at[i]].astype(np.uint64) * P1, 23) * P2 + P3
+        at[i] += 4
+        rest[i] -= 4
+        for _ in range(3):
+            i = np.flatnonzero(rest > 0)
+            if not len(i):
+                break
+            h[i] = _rotate(h[i] ^ buffer[at[i]].astype(np.uint64) * P5, 11) * P1
+            at[i] += 1
+            rest[i] -= 1
+        h = (h ^ h >> np.uint64(33)) * P2
+        h = (h ^ h >> np.uint64(29)) * P3
+        h ^= h >> np.uint64(32)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any slice, from one running sum. The base is odd, so its powers can be divided out."""
+    """Polynomial hashes modulo 2**64 of any slice of 64-bit hashes, from one running sum. The base is odd, so its powers can be divided out.
+
+    Only for values that are sound hashes themselves, and slices of some hundred at most: modulo a power of two, long sequences of two values can be made to collide.
+    """
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -156,16 +217,14 @@ class Rolling:
 
 
 class Hasher:
-    """64-bit hashes of words and of windows of words; seeds give independent ones."""
+    """64-bit hashes of words (XXH64) and of windows of words; seeds give independent ones."""
 
     def __init__(self, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, _M64, 256, np.uint64, endpoint=True)
-        a, b = (int(x) | 1 for x in rng.integers(1 << 40, _M64, 2, np.uint64, endpoint=True))
-        self.bytes, self.words = Rolling(a), Rolling(b)
+        self.seed = seed
+        self.words = Rolling(int(np.random.default_rng(seed).integers(1 << 40, _M64, dtype=np.uint64)) | 1)
 
     def word(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.bytes.hashes(self.bytes.sums(self.table[raw]), starts, ends)
+        return xxh64(np.concatenate([raw, np.zeros(8, np.uint8)]), starts, ends - starts, self.seed)
 
     def window(self, word_hashes: np.ndarray, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
         return self.words.hashes(self.words.sums(word_hashes), at, at + width)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, ragged, steps, text_of, tidy, utf8, words
 
-#: Words that may differ, as a share of the item's; each piece has PROBE words at least, whose hash is looked up.
+#: Words that may differ, as a share of the item's; a piece is looked up by the hash of its first PROBE words, or of all if it has fewer.
 ERROR_RATE, PROBE = 0.15, 4
 #: Items of fewer words are not looked for, unless shortest says otherwise: the registered query and the pipeline look for all that have a word.
 MIN_WORDS = 5
@@ -81,8 +81,8 @@ def folded(column: pa.Array) -> pa.Array:
 
 
 def budget(m: int, rate: float = ERROR_RATE) -> int:
-    """Edits allowed in an item of m words; pieces keep PROBE words."""
-    return max(0, min(int(m * rate), m // PROBE - 1))
+    """Edits allowed in an item of m words: no more than leave each piece a word."""
+    return max(0, min(int(m * rate), m - 1))
 
 
 def myers(pattern: list, text: list) -> tuple[int, int]:
@@ -126,7 +126,7 @@ class Block:
         at, length, item = (np.array(x, np.int64) for x in (at, length, item))
         probes = hasher.window(self.words, at, np.minimum(length, PROBE))
         self.tables = []
-        for width in np.unique(np.minimum(length, PROBE)).tolist():  # a piece under PROBE words is the whole of a short item, and its own probe
+        for width in np.unique(np.minimum(length, PROBE)).tolist():  # a piece under PROBE words is its own probe
             mine = np.flatnonzero(np.minimum(length, PROBE) == width)
             mine = mine[np.argsort(probes[mine], kind="stable")]
             maybe = np.zeros(_FILTER, bool)
