@@ -1,7 +1,7 @@
 """Near-duplicate removal: SimHash and shared prefixes find which documents may be alike, their five-word shingles decide, and one of each group stays.
 
-Fingerprints of two-word shingles within DISTANCE bits make groups of suspects, linearly many links whatever a group's size. Inside
-a group the shingle sets themselves are compared, block against block, in tasks of bounded size that give only links that join, not all pairs.
+Fingerprints of two-word shingles within DISTANCE bits make groups of suspects, linearly many links whatever a group's size. The shingle set of each
+suspect is compared with that of its group's least text.
 
 SimHash is a first probe only. Whatever it misses is found by prefixes: in one order of all shingles, two sets of n and m with a similarity of SIMILAR share
 one of their first n - ceil(SIMILAR n) + 1 shingles at least. Texts that meet at such a shingle are compared with the least text there first, which joins most
@@ -29,9 +29,6 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Words of the shingles in fingerprints, and the bits in which fingerprints of near duplicates may differ: a changed word touches two of
 #: its shingles, so texts that share 0.8 of their five-word shingles mostly stay within 8 of 64 bits.
 FINGERPRINT, DISTANCE = 2, 8
-#: Texts of a block; two blocks are in memory at once.
-BLOCK = 64
-_COLUMNS = 1 << 15
 #: Shingles in COMMON or more of one text in SAMPLE come last in the order (a bitmap of COMMON_BITS, by hash). The order decides the cost only: any is complete.
 SAMPLE, COMMON, COMMON_BITS = 16, 3, 1 << 23
 #: The first round compares a text with the least one at its shingles if they meet at one shingle in so many of the text's.
@@ -149,56 +146,6 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
-def similar(hashes: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of sets (given on end, each without repeats) have a Jaccard similarity of least or more: a matrix."""
-    n = len(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    order = np.argsort(hashes, kind="stable")
-    h, row = hashes[order], row[order]
-    number = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1 if len(h) else np.zeros(0, np.int64)
-    shared = np.bincount(number)[number] > 1 if len(h) else np.zeros(0, bool)
-    number, row = np.unique(number[shared], return_inverse=True)[1], row[shared]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, _COLUMNS):
-        a, b = np.searchsorted(number, (lo, lo + _COLUMNS))
-        x = np.zeros((n, _COLUMNS), np.float32)
-        x[row[a:b], number[a:b] - lo] = 1
-        both += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - both
-    return (both >= least * union) & (union > 0) | (union == 0)
-
-
-@tidy
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that join the similar texts of each unit; rows are sorted by unit."""
-    key, held = None, []
-
-    def linked() -> pa.RecordBatch:
-        digests = [d for d, _ in held]
-        sets = [np.frombuffer(s, np.uint64) for _, s in held]
-        near = similar(np.concatenate(sets), np.array([len(s) for s in sets]), SIMILAR)
-        label = np.arange(len(held))
-        while True:  # each takes the least label around it
-            new = np.where(near, label[None, :], len(held)).min(1)
-            new = np.minimum(new, label)
-            if (new == label).all():
-                break
-            label = new
-        a = [k for k in range(len(held)) if label[k] != k]
-        return pa.RecordBatch.from_arrays([pa.array([digests[k] for k in a], pa.binary()), pa.array([digests[label[k]] for k in a], pa.binary())], ["a", "b"])
-
-    for batch in batches:
-        roots, i, j, digest, sets = (batch.column(c).to_pylist() for c in ("root", "i", "j", "digest", "shingles"))
-        for unit, d, s in zip(zip(roots, i, j), digest, sets):
-            if unit != key:
-                if len(held) > 1:
-                    yield linked()
-                key, held = unit, []
-            held.append((d, s))
-    if len(held) > 1:
-        yield linked()
-
-
 def _common(texts: DataFrame) -> bytes:
     """A bitmap of the shingles that several texts of a sample have."""
     sample = texts.filter(F.pmod("id", F.lit(SAMPLE)) == 0).dropDuplicates(["id"]).select("text").mapInArrow(_each, "h long")
@@ -221,18 +168,18 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(both.mapInArrow(_judge, "a binary, b binary"), "near-links")
 
 
-def missed_links(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The links (digests a, b), with more so that all similar texts are joined."""
-    spark = rows.sparkSession
-    texts = rows.select(F.unhex(F.md5("text")).alias("digest"), "text").withColumn("id", F.xxhash64("digest"))
+def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
+    """Links (digests a, b) that join all similar texts. texts: (id, digest, text), ids by digest; probed: pairs (a, b) of ids to look at first."""
+    spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_common(texts))
     keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int")
     keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "id")
     shared = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, hub long, hub_size int"), "near-shared")
     alike = lambda m, n: F.least(m, n) >= F.greatest(m, n) * SIMILAR - 1e-6
     star = shared.filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).groupBy(F.col("hub").alias("a"), F.col("id").alias("b"))
-    star = stage(star.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter(F.col("n") * MEET >= F.col("size")).select("a", "b"), "near-pairs")
-    links = links.unionByName(_similar_pairs(star, texts))
+    star = star.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter(F.col("n") * MEET >= F.col("size")).select("a", "b")
+    star = stage(star.unionByName(probed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    links = _similar_pairs(star, texts)
     roots = components(links).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
     placed = stage(shared.select("h", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
     # Of two texts in different groups one is not in the largest group at their shingle: those texts meet all others there.
@@ -259,15 +206,10 @@ def near_groups(rows: DataFrame) -> DataFrame:
     texts = stage(each.groupBy("digest", "fp").agg(first).select("digest", "fp", "first.doc_id", "first.n"), "near-texts")
     roots = components(links(stage(texts.select("fp").distinct(), "near-fps"), DISTANCE)).withColumnRenamed("node", "fp")
     members = stage(texts.join(roots, "fp", "left").select("digest", F.coalesce("root", "fp").alias("root")), "near-members")
-    crowds = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    suspects = stage(members.join(crowds, "root"), "near-suspects")
-    wanted = passing(rows.withColumn("digest", F.unhex(F.md5("text"))), hit_filter(suspects)).select("digest", "text")
-    sets = wanted.join(suspects, "digest").select("digest", "root", "nb", "text").mapInArrow(_shingles, "digest binary, root long, nb int, shingles binary")
-    mine = F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int")
-    units = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda c: F.struct(F.least(mine, c).alias("i"), F.greatest(mine, c).alias("j")))
-    sets = stage(sets.dropDuplicates(["digest"]), "near-sets").select("digest", "root", "shingles", F.explode(units).alias("u")).select("root", "u.i", "u.j", "digest", "shingles")
-    units = sets.repartition(partitions(rows.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "digest")
-    found = missed_links(rows, stage(units.mapInArrow(_compare, "a binary, b binary"), "near-links"))
+    number = F.xxhash64("digest")
+    least = members.groupBy("root").agg(F.min("digest").alias("least"))
+    probed = stage(members.join(least, "root").filter("digest != least").select(F.xxhash64("least").alias("a"), number.alias("b")), "near-probed")
+    found = similar_links(rows.select(F.unhex(F.md5("text")).alias("digest"), "text").withColumn("id", number), probed)
     joined = components(found).withColumnRenamed("node", "digest").withColumnRenamed("root", "group")
     return texts.join(joined, "digest", "left").select("digest", "doc_id", "n", F.coalesce("group", "digest").alias("group"))
 
@@ -281,8 +223,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     groups = stage(near_groups(rows), "near-groups")
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("best"))
-    chosen = stage(best.select("best.digest", "best.doc_id", "best.n"), "near-chosen").select(F.struct("digest", "doc_id", "n").alias("_near_chosen"))
-    kept = docs.withColumn("_near_digest", F.unhex(F.md5(text_of(text_col)))).join(chosen, F.col("_near_digest") == F.col("_near_chosen.digest")).filter(F.col(id_col).eqNullSafe(F.col("_near_chosen.doc_id")))
-    if not chosen.filter("_near_chosen.n > 1").isEmpty():  # rows that repeat with identifier and text
-        kept = kept.dropDuplicates(["_near_digest"])
-    return kept.select(*[f"`{c}`" for c in cols])
+    chosen = stage(best.select("best.digest", "best.doc_id", "best.n"), "near-chosen").select(F.struct("digest", "doc_id", "n").alias("chosen"))
+    own = docs.select(F.struct(*[f"`{c}`" for c in cols]).alias("doc"), F.unhex(F.md5(text_of(text_col))).alias("digest"))
+    kept = own.join(chosen, F.col("digest") == F.col("chosen.digest")).filter(F.col("doc")[id_col].eqNullSafe(F.col("chosen.doc_id")))
+    if not chosen.filter("chosen.n > 1").isEmpty():  # rows that repeat with identifier and text
+        kept = kept.dropDuplicates(["digest"])
+    return kept.select("doc.*")
