@@ -1,8 +1,10 @@
-"""Secret scans: rules find the base spans; a character convolutional network judges every other candidate with its surrounding text.
+"""Secret scans: rules find the base spans; a character convolutional network judges every candidate with its surrounding text.
 
-Candidates are all runs of MIN_RUN or more characters that keys and tokens are made of. The network is trained on the driver in numpy, on
-labelled findings: a seeded set of written-out secrets and look-alikes, and the candidates of a bounded sample of the corpus, labelled by the rules.
-Its scores are calibrated on findings held out of training, and the threshold is the highest that keeps the recall asked for there.
+Candidates are runs of MIN_RUN or more characters that keys, tokens and passwords are made of, if they hold a digit or a capital after a small letter:
+nothing but its surroundings tells a password of plain letters from a word. The network is trained on the driver in numpy, on labelled findings: a
+seeded set of written-out secrets and look-alikes, with and without a keyword, set into text of the corpus, and what rules label in a bounded sample of
+the corpus (secrets by the base rules; addresses, dates and numbers as clean). What no rule knows is left unlabelled. Its scores are calibrated on
+findings held out of training; named and bare findings have thresholds of their own, each the highest that keeps the recall asked for there.
 """
 
 from __future__ import annotations
@@ -25,19 +27,25 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 KINDS = ("assign", "access", "hex", "model")
 
-MIN_RUN = 12
+#: Words that announce a secret; they tell which threshold a finding takes.
+NAMES = re.compile(rb"(?i:passw|pwd|pass|secret|token|key|auth|bearer|cred)")
+#: Formats that are no secrets: addresses, dates, times, phone and plain numbers, web and mail addresses.
+CLEAN = re.compile(rb"(?:\d{1,3}\.){3}\d{1,3}|[\d.+/_=-]{0,15}|\d{4}-\d\d-\d\d[A-Za-z0-9.+-]{0,12}|(?:www\.|http)[^@]*|[\w.+-]+@[\w-]+\.[\w.-]+")
+
+MIN_RUN = 8
 #: Characters before, inside and after that the network sees at once; a longer run is judged in windows, the highest counts.
 BEFORE, INSIDE, AFTER = 24, 40, 8
-#: Documents of the corpus sample, and written findings of each label, that it is trained on; the share of secrets that the threshold must keep.
-SAMPLE_DOCS, WRITTEN, RECALL = 2000, 1500, 0.98
-WIDTH, FILTERS = 5, 16
+#: Expected documents in the corpus sample, written findings of each label, and the share of held-out secrets that each threshold must keep.
+SAMPLE_DOCS, WRITTEN, RECALL = 2000, 3000, 0.99
+WIDTH, FILTERS = 5, 24
 
-_VALUE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-" for b in range(256)])
+_VALUE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-!@#$%^&*~?" for b in range(256)])
 _HEX = np.array([chr(b) in "0123456789abcdef" for b in range(256)])
+_LOW, _UP, _DIGIT = (np.array([lo <= b <= hi for b in range(256)]) for lo, hi in ((97, 122), (65, 90), (48, 57)))
 
 
 def _classes() -> np.ndarray:
-    """The class of each byte: single letters matter less than their kinds. 0 is beyond the text."""
+    """The class of each byte inside a candidate, where kinds of characters matter. 0 is beyond the text."""
     table = np.full(256, 1, np.uint8)
     for chars, c in (("abcdef", 2), ("ghijklmnopqrstuvwxyz", 3), ("ABCDEF", 4), ("GHIJKLMNOPQRSTUVWXYZ", 5), ("0123456789", 6), ("+/", 7), ("_", 8), (".", 9), ("=", 10), ("-", 11), ("\"'", 12), (":", 13), (" ", 14), ("\n\t\r", 15), ("@", 16)):
         for ch in chars:
@@ -47,55 +55,66 @@ def _classes() -> np.ndarray:
 
 
 _CLASS, N_CLASSES = _classes(), 18
+#: Outside of the candidate the network reads letters, without their case.
+_READ = np.where(_LOW, np.arange(256) - 97 + N_CLASSES, np.where(_UP, np.arange(256) - 65 + N_CLASSES, _CLASS)).astype(np.uint8)
+N_READ = N_CLASSES + 26
 _SPAN = BEFORE + INSIDE + AFTER
 
 
 def views(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the network sees of each run [starts, ends) in a text [lo, hi): classes, with the number of classes added inside the run; and the run of each view."""
+    """What the network sees of each run [starts, ends) in a text [lo, hi): symbols, from N_READ on inside the run; and the run of each view."""
     per = np.maximum(1, -(-(ends - starts) // INSIDE))
     run = np.repeat(np.arange(len(starts)), per)
     first = starts[run] + INSIDE * (np.arange(len(run)) - np.repeat(np.cumsum(per) - per, per))
     at = first[:, None] + np.arange(-BEFORE, INSIDE + AFTER)
     seen = (at >= lo[run][:, None]) & (at < hi[run][:, None])
-    code = np.where(seen, _CLASS[raw[np.clip(at, 0, max(len(raw) - 1, 0))]], 0).astype(np.int64)
     inside = (at >= starts[run][:, None]) & (at < ends[run][:, None])
-    return code + N_CLASSES * inside, run
+    byte = raw[np.clip(at, 0, max(len(raw) - 1, 0))]
+    return np.where(seen, np.where(inside, _CLASS[byte] + N_READ, _READ[byte]), 0).astype(np.uint8), run
+
+
+def named(raw: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a word that announces a secret stands shortly before each run."""
+    return np.array([NAMES.search(raw[max(a, s - BEFORE) : s].tobytes()) is not None for a, s in zip(lo.tolist(), starts.tolist())], bool)
 
 
 class Net:
-    """Embedding, one convolution, maximum over positions, one output."""
+    """One convolution over symbols, the maximum and the mean over positions, one output."""
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.params = {"w": rng.normal(0, 0.15, (WIDTH, 2 * N_CLASSES, FILTERS)), "b": np.zeros(FILTERS), "v": rng.normal(0, 0.3, FILTERS), "c": np.zeros(1)}
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
-
-    def _pool(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, n = self.params["w"], x.shape[1] - WIDTH + 1
-        out = np.zeros((len(x), n, FILTERS), np.float32)
-        for k in range(WIDTH):
-            out += w[k].astype(np.float32)[x[:, k : k + n]]
+        n = N_READ + N_CLASSES
+        self.params = {"w": rng.normal(0, 0.15, (WIDTH, n, FILTERS)), "b": np.zeros(FILTERS), "v": rng.normal(0, 0.3, 2 * FILTERS), "c": np.zeros(1)}
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5)
+
+    def _pool(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Activations at all positions, where each filter's maximum is, and the pooled values."""
+        w, n = self.params["w"].astype(np.float32), x.shape[1] - WIDTH + 1
+        out = w[0][x[:, :n]]
+        for k in range(1, WIDTH):
+            out += w[k][x[:, k : k + n]]
+        out = np.maximum(out + self.params["b"].astype(np.float32), 0)
         top = out.argmax(1)
-        return np.take_along_axis(out, top[:, None], 1)[:, 0] + self.params["b"], top
+        return out, top, np.concatenate([np.take_along_axis(out, top[:, None], 1)[:, 0], out.mean(1)], 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        parts = [np.maximum(self._pool(x[k : k + 512])[0], 0) @ self.params["v"] + self.params["c"] for k in range(0, len(x), 512)]
+        parts = [self._pool(x[k : k + 256])[2] @ self.params["v"] + self.params["c"] for k in range(0, len(x), 256)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 10, rate: float = 0.006) -> None:
         rng, weight = np.random.default_rng(seed), np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         state = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in self.params.items()}
-        t = 0
+        t, n, symbols = 0, _SPAN - WIDTH + 1, np.eye(N_READ + N_CLASSES, dtype=np.float32)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 128)):
-                pooled, top = self._pool(x[part])
-                hidden = np.maximum(pooled, 0)
-                p = 1 / (1 + np.exp(-(hidden @ self.params["v"] + self.params["c"])))
+                out, top, pooled = self._pool(x[part])
+                p = 1 / (1 + np.exp(-(pooled @ self.params["v"] + self.params["c"])))
                 d = (p - y[part]) * weight[part] / len(part)
-                dh = np.outer(d, self.params["v"]) * (pooled > 0)
-                grads = {"w": np.zeros_like(self.params["w"]), "b": dh.sum(0), "v": hidden.T @ d, "c": np.array([d.sum()])}
-                for k in range(WIDTH):
-                    np.add.at(grads["w"][k], (np.take_along_axis(x[part], top + k, 1), np.arange(FILTERS)), dh)
+                back = np.repeat((np.outer(d, self.params["v"][FILTERS:]) / n).astype(np.float32)[:, None], n, 1)
+                np.put_along_axis(back, top[:, None], np.take_along_axis(back, top[:, None], 1) + np.outer(d, self.params["v"][:FILTERS])[:, None], 1)
+                back *= out > 0
+                flat = back.reshape(-1, FILTERS)
+                grads = {"w": np.stack([symbols[x[part][:, k : k + n].ravel()].T @ flat for k in range(WIDTH)]), "b": flat.sum(0), "v": pooled.T @ d, "c": np.array([d.sum()])}
                 t += 1
                 for name, g in grads.items():
                     m, s = state[name]
@@ -103,8 +122,8 @@ class Net:
                     s += 0.001 * (g * g - s)
                     self.params[name] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out findings, then the highest threshold that keeps the recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, announced: np.ndarray, recall: float) -> None:
+        """Platt scaling on held-out findings, then of bare and of named ones the highest threshold that keeps the recall."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(30):
@@ -114,38 +133,64 @@ class Net:
             h = np.array([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-3]])
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
-        good = np.sort(self.score(x)[y == 1])
-        self.threshold = float(good[int(np.floor((1 - recall) * len(good)))]) if len(good) else 1.0
+        good = [np.sort(self.score(x[(y == 1) & (announced == kind)])) for kind in (False, True)]
+        self.thresholds = tuple(float(g[int(np.floor((1 - recall) * len(g)))]) if len(g) else 1.0 for g in good)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
+    def judge(self, score: np.ndarray, announced: np.ndarray) -> np.ndarray:
+        return score >= np.where(announced, self.thresholds[1], self.thresholds[0])
+
 
-def written_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
-    """(text, start, end, label): secrets in the ways that they are written down, and what looks like them."""
+def written_findings(n: int, seed: int, contexts: list[tuple[str, str]] | None = None) -> list[tuple[bytes, int, int, int]]:
+    """(text, start, end, label): n secrets in the ways that they are written down, and n of what looks like them. contexts: text before and after, of the corpus."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
     draw = lambda chars, lo, hi: "".join(pick(chars) for _ in range(rng.integers(lo, hi + 1)))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: draw(lower, 2, 9)
+    letters = lower + upper + digits
+    syllables = [a + b for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "on")]
+    word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 5)))
+    number = lambda lo, hi: str(rng.integers(lo, hi))
+    keys = ["password", "passwd", "pwd", "pass", "secret", "token", "api_key", "apikey", "auth", "bearer", "private_key", "access_key", "client_secret", "credential", "auth_token", "db_pass"]
+    tokens = [
+        lambda: draw("0123456789abcdef", 16, 64), lambda: draw(letters, 16, 48), lambda: draw(letters + "+/", 24, 60) + pick(["", "=", "=="]), lambda: "AKIA" + draw(upper + digits, 14, 18),
+        lambda: pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "key-", "pk.", "AIza", "npm_"]) + draw(letters + "_-", 16, 40), lambda: "-".join(draw(letters, 8, 14) for _ in range(3)),
+        lambda: ".".join(draw(letters + "_-", 12, 40) for _ in range(3)),
+    ]
+    passwords = [lambda: draw(letters + "!@#$%^&*_-", 9, 20), lambda: pick([str.capitalize, str.lower])(word() + word()) + number(1, 9999) + pick("!@#$%&*"), lambda: draw(letters, 8, 16)]
+    camel = lambda: word() + "".join(word().capitalize() for _ in range(rng.integers(1, 4)))
+    clean = [
+        lambda: ".".join(number(1, 256) for _ in range(4)), lambda: f"{number(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}" + pick(["", f"T{rng.integers(10, 24)}:00Z"[:4]]), lambda: number(10**7, 10**15),
+        lambda: f"www.{word()}{number(1, 99)}.example.{pick(['com', 'org', 'net'])}", lambda: "/".join([word(), word() + number(1, 999), word()]), lambda: f"{word()}_{number(1, 9999)}_{word()}.{pick(['py', 'txt', 'pdf', 'html', 'json'])}",
+        camel, camel, lambda: camel() + number(1, 99), lambda: f"v{number(1, 20)}.{number(0, 20)}.{number(0, 99)}-{pick(['rc', 'beta', 'alpha'])}{number(1, 9)}", lambda: f"{draw(upper, 2, 4)}-{number(100, 10**6)}",
+        lambda: f"{word()}.{word()}{number(1, 99)}@{word()}.com", lambda: word() + number(1, 2100) + pick(["", "s", "th"]), lambda: f"+{number(1, 99)}-{number(100, 999)}-{number(1000, 9999)}", lambda: f"{word()}-{number(1, 99)}-{word()}", lambda: f"${number(1000, 10**6)}.{number(10, 99)}",
+        lambda: word().capitalize() + pick(["%%%", "###", "&&&", "***", "$$$"]) + number(1, 99), lambda: "".join(pick([str.upper, str.lower])(ch) for ch in word() + word()) if rng.random() < 0.3 else camel(),
+        lambda: f"get_{word()}_v{number(1, 9)}", lambda: f"{word().upper()}_{word().upper()}_{number(1, 99)}", lambda: f"{word()}={number(1, 10**5)}", lambda: f"{word()}#{number(1, 10**6)}",
+    ]
     out = []
-    for k in range(2 * n):
-        label = k % 2
-        before, after = " ".join(word() for _ in range(4)) + " ", " " + word() + " " + word()
+    while len(out) < 2 * n:
+        label = len(out) % 2
+        before, after = pick(contexts) if contexts and rng.random() < 0.6 else (" ".join(word() for _ in range(4)), " ".join(word() for _ in range(2)))
+        before, after = before + " ", " " + after
+        way = rng.integers(6 if label else 5)
+        key, sign, quote = pick([str.upper, str.lower, str.capitalize])(pick(keys)), pick([" = ", "=", ": ", ":", " => ", ":= "]), pick(["", '"', "'"])
+        value = (pick(tokens) if label == 1 and (way < 3 or rng.random() < 0.5) else pick(passwords) if label else pick(clean))()
         if label:
-            value = pick([draw("0123456789abcdef", 20, 64), draw(lower + upper + digits, 16, 48), draw(lower + upper + digits + "+/", 20, 60) + pick(["", "=", "=="]), "AKIA" + draw(upper + digits, 14, 18), pick(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + draw(lower + upper + digits, 20, 40)])
-            key, sign, quote = pick(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "bearer", "private_key", "access_key", "client_secret", "credential"]), pick([" = ", "=", ": ", ":", " => "]), pick(["", '"', "'"])
-            before, after = before + pick([key, key.upper()]) + sign + quote, quote + after
-        else:
-            kind = rng.integers(9)
-            value = [
-                lambda: "".join(word() for _ in range(4)), lambda: ".".join(str(rng.integers(100, 256)) for _ in range(4)), lambda: draw(digits, 13, 19),
-                lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}", lambda: f"www.{word()}{word()}.example.{pick(['com', 'org', 'net'])}",
-                lambda: "/".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(4)), lambda: f"{word()}_{word()}_{word()}.py", lambda: "".join(word().capitalize() for _ in range(3)),
-            ][kind]()
-            value = value.ljust(MIN_RUN, "a") if kind != 2 else value
-            if rng.random() < 0.15:
-                before += pick(["see", "note", "size", "name"]) + pick([" = ", ": "])
+            if way == 3 or way == 4:
+                before, after = before + key + sign + quote, quote + after
+            elif way == 5:
+                before += pick([f"{key} is ", f"{key} ", f"your {key}: ", f"Authorization: {key} ", f"//{word()}:"])
+            else:
+                before, after = before + quote, quote + after
+        elif way == 0:  # a look-alike with a word that announces a secret
+            before += pick([key + sign, f"{key} ", f"the {key} of "])
+        elif way == 1:
+            before += pick(["see", "note", "size", "name", "id", "version", "file"]) + pick([" = ", ": ", " "])
+        value = re.sub(r"[^!-~]", "", value)
+        if len(value) < MIN_RUN or not (any(c.isdigit() for c in value) or re.search("[a-z][A-Z]", value)):
+            continue
         text = (before + value + after).encode()
         out.append((text, len(before.encode()), len((before + value).encode()), label))
     return out
@@ -171,53 +216,73 @@ def scan(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[int, int, int
     long = ends - starts >= MIN_HEX
     base += [(int(np.searchsorted(offsets, a, "right")) - 1, 2, int(a), int(b)) for a, b in zip(starts[long], ends[long])]
     starts, ends, _ = words(raw, offsets, ~_VALUE)
-    long = ends - starts >= MIN_RUN
-    starts, ends = starts[long], ends[long]
+    telling = _DIGIT[raw]
+    telling[1:] |= _UP[raw[1:]] & _LOW[raw[:-1]]
+    sums = np.append(0, np.cumsum(telling))
+    use = (ends - starts >= MIN_RUN) & (sums[ends] > sums[np.minimum(starts + 1, len(raw))] - _DIGIT[raw[starts]])
+    starts, ends = starts[use], ends[use]
     return base, np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
-def _overlap(base: list[tuple[int, int, int, int]], starts: np.ndarray, ends: np.ndarray, kinds: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
-    """Which candidates share characters with a base span of these kinds."""
+def _covered(base: list[tuple[int, int, int, int]], starts: np.ndarray, ends: np.ndarray, kinds: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
+    """Which candidates lie within one base span of these kinds, but for marks at their ends."""
     spans = np.array(sorted((a, b) for _, k, a, b in base if k in kinds), np.int64).reshape(-1, 2)
     if not len(spans):
         return np.zeros(len(starts), bool)
     reach = np.maximum.accumulate(spans[:, 1])
-    before = np.searchsorted(spans[:, 0], ends, "left")  # spans that begin before the candidate's end
-    return (before > 0) & (reach[np.maximum(before - 1, 0)] > starts)
+    before = np.searchsorted(spans[:, 0], starts, "right")  # spans that begin where the candidate does or before
+    return (before > 0) & (reach[np.maximum(before - 1, 0)] >= ends)
 
 
 @tidy
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Views and labels of the candidates: 1 where a rule names it a secret, 0 where none does; bare hex runs are left out."""
+    """Views, labels and names of the candidates that a rule labels, and (label null) a place of each text: what stands before and after it."""
     for batch in batches:
         raw_all, offsets_all = utf8(batch.column("text"))
         for lo, hi in steps(offsets_all):
             raw, offsets = raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo]
             base, row, starts, ends = scan(raw, offsets)
+            secret = _covered(base, starts, ends, (0, 1))
+            clean = np.array([CLEAN.fullmatch(raw[a:b].tobytes()) is not None for a, b in zip(starts.tolist(), ends.tolist())], bool) & ~_covered(base, starts, ends)
             x, run = views(raw, offsets[row], offsets[row + 1], starts, ends)
-            named, hexed = _overlap(base, starts, ends, (0, 1)), _overlap(base, starts, ends, (2,))
-            use = (named | ~hexed)[run]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"x": [v.astype(np.uint8).tobytes() for v in x[use]], "y": named[run][use].astype(np.int64)}), preserve_index=False)
+            use = (secret | clean)[run]
+            out = [(v.tobytes(), int(s), bool(k)) for v, s, k in zip(x[use], secret[run][use], named(raw, offsets[row], starts)[run][use])]
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                body = raw[a:b].tobytes()
+                cut = body.find(b" ", len(body) // 2)
+                if cut > 0:
+                    out.append((body[max(0, cut - BEFORE) : cut] + b"\0" + body[cut + 1 : cut + 1 + AFTER], None, None))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["x", "y", "named"]).astype({"y": "Int64", "named": "boolean"}), schema=pa.schema([("x", pa.binary()), ("y", pa.int64()), ("named", pa.bool_())]), preserve_index=False)
+
+
+def placed(found: list[tuple[bytes, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Views, labels and names of written findings, and the finding of each view."""
+    raw = np.frombuffer(b"".join(t for t, *_ in found), np.uint8)
+    hi = np.cumsum([len(t) for t, *_ in found])
+    lo = hi - np.array([len(t) for t, *_ in found])
+    starts = lo + np.array([a for _, a, _, _ in found])
+    x, run = views(raw, lo, hi, starts, lo + np.array([b for _, _, b, _ in found]))
+    return x, np.array([label for *_, label in found])[run], named(raw, lo, starts)[run], run
 
 
 def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Net:
-    """The calibrated network. The corpus sample is the SAMPLE_DOCS documents whose hash is least; only views of their candidates come to the driver."""
-    written = written_findings(WRITTEN, seed)
-    raw = np.frombuffer(b"".join(t for t, *_ in written), np.uint8)
-    size = np.array([len(t) for t, *_ in written])
-    hi = np.cumsum(size)
-    lo = hi - size
-    x, run = views(raw, lo, hi, lo + np.array([a for _, a, _, _ in written]), lo + np.array([b for _, _, b, _ in written]))
-    y = np.array([label for *_, label in written])[run]
-    sample = docs.select(text_of(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).mapInArrow(_sampled, "x binary, y long").toPandas()
-    sample = pd.concat([part.drop_duplicates().head(2 * WRITTEN) for _, part in sample.groupby("y")]) if len(sample) else sample
-    if len(sample):
-        x = np.concatenate([x, np.stack([np.frombuffer(v, np.uint8) for v in sample["x"]]).astype(np.int64)])
-        y = np.concatenate([y, sample["y"].to_numpy()])
+    """The calibrated network. The corpus sample is the documents whose hash lies below a cut, SAMPLE_DOCS of them on average, drawn where they are read;
+    only views of their labelled candidates, and one place of each, come to the driver. All labelled ones are used, repeated views once."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    drawn = docs.select(text_of(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sample = drawn.mapInArrow(_sampled, "x binary, y long, named boolean").distinct().toPandas().drop_duplicates("x").sort_values("x")
+    places = [p.split(b"\0") for p in sample.x[sample.y.isna()]]
+    contexts = [(a.decode(errors="ignore"), b.decode(errors="ignore")) for a, b in (p for p in places if len(p) == 2)]
+    x, y, announced, _ = placed(written_findings(WRITTEN, seed, contexts))
+    if len(sample := sample[sample.y.notna()]):
+        x = np.concatenate([x, np.stack([np.frombuffer(v, np.uint8) for v in sample.x])])
+        y, announced = np.concatenate([y, sample.y.to_numpy(np.int64)]), np.concatenate([announced, sample.named.to_numpy(bool)])
+    by_rule = np.arange(len(y)) >= len(y) - len(sample)
     held = np.random.default_rng(seed).random(len(y)) < 0.3
     net = Net(seed)
     net.fit(x[~held], y[~held].astype(float), seed)
-    net.calibrate(x[held], y[held].astype(float), RECALL)
+    told = held & ~(by_rule & (y == 1))  # findings that the rules name do not set the thresholds
+    net.calibrate(x[told], y[told].astype(float), announced[told], RECALL)
     return net
 
 
@@ -233,7 +298,7 @@ def _scanner(net: Net) -> Callable:
                 x, of = views(raw, offsets[row], offsets[row + 1], starts, ends)
                 score = np.zeros(len(starts))
                 np.maximum.at(score, of, net.score(x))
-                add = (score >= net.threshold) & ~_overlap(base, starts, ends)
+                add = net.judge(score, named(raw, offsets[row], starts)) & ~_covered(base, starts, ends)
                 spans = [(r, a, k, b, 1.0) for r, k, a, b in base] + [(int(r), int(a), 3, int(b), float(s)) for r, a, b, s in zip(row[add], starts[add], ends[add], score[add])]
                 points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 found += [(lo + r, int(points[a] - points[offsets[r]]), k, int(points[b] - points[offsets[r]]), s) for r, a, k, b, s in spans]
@@ -249,7 +314,7 @@ def _scanner(net: Net) -> Callable:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Net | None = None) -> DataFrame:
     """One row per input row: doc_id, spans: array of (kind, start, end, score) in code points, end exclusive, by start and kind.
 
-    Kinds: assign, access and hex by rule; model for candidates that only the network names and no rule's span touches. A null text is empty and
+    Kinds: assign, access and hex by rule; model for candidates that the network names and that reach beyond any rule's span. A null text is empty and
     has no spans; repeated rows are told alike; an empty table gives an empty result (the network then knows the written findings only).
     Other columns are not read.
     """
