@@ -89,6 +89,43 @@ def test_exact_dedup_tells_colliding_digests_apart(docs, monkeypatch):
     assert all(got[i].keep_id == min(j for j, y in t.items() if x == y) for i, x in t.items())
 
 
+def scanned(df):
+    """Rows that the scans of a collected frame gave."""
+    plan, out, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+            continue
+        if p.nodeName().startswith("Scan"):
+            out += p.metrics().apply("numOutputRows").value()
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return out
+
+
+def test_index_levels_and_lookup(spark):
+    """Runs of two levels merge; a lookup reads no row group that its filter or range rules out."""
+    digest = lambda k: hashlib.sha256(b"%d" % k).digest()
+    rows = spark.createDataFrame([(digest(k), k) for k in range(4000)], "digest binary, doc_id long").repartition(8)
+    runs = exact_dedup.flush(rows)
+    one = exact_dedup.compact(exact_dedup.entries(runs))
+    two = exact_dedup.compact(one.unionByName(exact_dedup.entries(exact_dedup.flush(spark.createDataFrame([(digest(7), -1), (digest(7), 9999), (digest(5000), 5000)], rows.schema)))))
+    assert two.count() == 4001 and [tuple(r)[1:] for r in exact_dedup.lookup(two, [digest(7)]).collect()] == [(3, -1, 9999)]
+    bounds = sorted((r.a, r.z) for r in two.groupBy(F.input_file_name()).agg(F.min("digest").alias("a"), F.max("digest").alias("z")).collect())
+    assert all(z < a for (_, z), (a, _) in zip(bounds, bounds[1:]))
+    absent = exact_dedup.lookup(runs, [digest(10**6)])
+    assert absent.collect() == [] and scanned(absent) < 2000  # of 4000, in eight runs that all span the range
+
+
+@pytest.mark.parametrize("bits", [1 << 29, 1])
+def test_passing(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", bits)
+    rows, hits = spark.range(5000).withColumn("x", F.lit(1)), spark.range(0, 5000, 100)
+    got = {r.id for r in exact_dedup.passing(rows, hits, "id").collect()}
+    assert set(range(0, 5000, 100)) <= got and len(got) < 600
+
+
 @pytest.mark.parametrize("limit", [500, 3000, 10**9])
 def test_sharding(docs, messy, empty, limit):
     rows = sharding.shard_directory(messy, limit).collect()

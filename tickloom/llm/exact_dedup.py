@@ -1,10 +1,11 @@
 """Exact dedup by a log-structured merge index over text digests, in DataFrame operations only.
 
-Level 0: every input partition is a memtable; it flushes one run of (digest, identifier), sorted by digest, as a
-Parquet file with a Bloom filter on the digest. Compaction merges all runs into one row a digest with the smallest and
-largest identifier and the count; partial aggregation leaves a row a task of even the hottest digest. Digests with more than one row are hits.
-A bitmap of fixed size over the hits lets only their texts through to the verification, which groups by the bytes
-themselves, again with partial aggregation, so that a group of copies of any size meets as one row a task.
+Level 0: every input partition is a memtable; it flushes one run of (digest, identifier), sorted by digest, as a Parquet file with a Bloom filter and
+range statistics, which lookup() reads. Compaction merges runs of any level into one row a digest with its count and its smallest and largest identifier;
+partial aggregation leaves a row a task of even the hottest digest. The next level is range-partitioned and sorted by digest, so that its files don't
+overlap. In the batch job it holds the hits only, the digests of several rows, and their identifiers come from there.
+
+A filter over the hits lets only their texts through to the verification, which compares the bytes. Digests whose bytes differ are told apart by the bytes.
 """
 
 from __future__ import annotations
@@ -14,29 +15,52 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_of
 
-#: Bits of the hit filter: 8 MB whatever the input; when it fills up, more texts are verified, and results stay the same.
-FILTER_BITS = 1 << 26
-
-
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
+#: Bits of a hit filter for each key, and in all at least and at most (64 MB, which is broadcast); more keys are joined by a shuffle.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 29
+_BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
 
 
-def hit_filter(hits: DataFrame, key: str = "digest") -> DataFrame:
-    """(page, bitmap) over the hits' keys: at most FILTER_BITS / 32768 rows of 4 KB."""
-    at = _bit(F.col(key))
-    return hits.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
-def passing(rows: DataFrame, pages: DataFrame, key: str = "digest") -> DataFrame:
-    """The rows whose key may be a hit. The pages have a proven size, so they are broadcast."""
-    at = _bit(F.col(key))
+def passing(rows: DataFrame, hits: DataFrame, key: str = "digest") -> DataFrame:
+    """The rows whose key is among those of hits (a staged table), and few others. The filter is a bitmap in pages of 4 KB; its size follows the number of
+    hits and is bounded, so the pages are broadcast. Beyond the bound the keys are joined by a shuffle."""
+    n = hits.count()
+    bits = max(LEAST_BITS, 1 << (KEY_BITS * n).bit_length())
+    if bits > MOST_BITS:
+        return rows.join(hits.select(key).distinct(), key, "left_semi")
+    at = _bit(F.col(key), bits)
     position = F.bitmap_bit_position(at)
+    pages = hits.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.pmod(position, F.lit(8)).cast("int") + 1)) != 0
     return rows.withColumn("page", F.bitmap_bucket_number(at)).join(F.broadcast(pages), "page").filter(set_).drop("page", "bitmap")
 
 
+def flush(rows: DataFrame) -> DataFrame:
+    """Level 0: a sorted run (digest, doc_id) of each partition of rows, written with its filter."""
+    return stage(rows.select("digest", "doc_id").sortWithinPartitions("digest", "doc_id"), "dedup-runs", **_BLOOM)
+
+
+def entries(runs: DataFrame) -> DataFrame:
+    """Rows of level 0 in the form of higher levels: digest, n, lo, hi."""
+    return runs.select("digest", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"))
+
+
+def compact(runs: DataFrame, least: int = 1) -> DataFrame:
+    """Runs (digest, n, lo, hi) of any levels merged into one sorted run of disjoint files: of each digest with least rows or more, how many rows it has and
+    its smallest and largest identifier; null ones are passed over."""
+    merged = runs.groupBy("digest").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("n") >= least)
+    return stage(merged.repartitionByRange("digest").sortWithinPartitions("digest"), "dedup-level", **_BLOOM)
+
+
+def lookup(run: DataFrame, digests: list[bytes]) -> DataFrame:
+    """The rows of a run with these digests; row groups are passed over by their range and their filter."""
+    return run.filter(F.col("digest").isin([F.lit(d) for d in digests]))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -45,21 +69,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat with identifier and text are all marked kept if theirs is the identifier that stays. An empty
     table gives an empty result. Other columns are not read.
     """
+    end = "lo" if keep == "smallest" else "hi"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    runs = stage(rows.select("digest", "doc_id").sortWithinPartitions("digest", "doc_id"), "dedup-runs", **{"parquet.bloom.filter.enabled#digest": "true"})
-    compacted = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    hits = stage(compacted.filter("n > 1").select("digest"), "dedup-hits")
-    suspects = passing(rows, hit_filter(hits))
-    chosen = F.min("doc_id") if keep == "smallest" else F.max("doc_id")
-    classes = suspects.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), chosen.alias("keep"))
-    classes = stage(classes.select("digest", F.xxhash64("text").alias("variant"), "n", "keep"), "dedup-classes")
-    several = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
-    if several.isEmpty():
-        joined = runs.join(classes.drop("variant"), "digest", "left")
-    else:  # equal digests of different bytes: the rows find their class by a second hash as well
-        keyed = rows.select("doc_id", "digest", F.xxhash64("text").alias("variant"))
-        joined = keyed.join(classes, ["digest", "variant"], "left")
-    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    runs = flush(rows)
+    hits = compact(entries(runs), least=2)
+    bodies = stage(passing(rows, hits).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).select("digest", F.xxhash64("text").alias("variant"), "n", "lo", "hi"), "dedup-bodies")
+    collided = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("digest")
+    if collided.isEmpty():
+        joined = runs.join(hits, "digest", "left")
+    else:  # equal digests of different bytes: their rows find their class by the bytes, through a second hash
+        collided = stage(collided, "dedup-collided")
+        apart = bodies.join(collided, "digest").withColumnRenamed("digest", "of")
+        same = runs.join(collided, "digest", "left_anti").join(hits, "digest", "left")
+        keyed = passing(rows, collided).join(collided, "digest").select("digest", "doc_id", F.xxhash64("text").alias("found"))
+        joined = same.unionByName(keyed.join(apart, (F.col("digest") == F.col("of")) & (F.col("found") == F.col("variant"))).select(*same.columns))
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col(end))
     return joined.select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),

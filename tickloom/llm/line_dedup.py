@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_of, tidy
-from .exact_dedup import hit_filter, passing
+from .exact_dedup import passing
 
 #: A chunk ends after one line in EVERY, on average; it must have LEAST lines to be removed.
 EVERY, LEAST = 3, 2
@@ -118,7 +118,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hits = stage(found.join(repeated, ["h1", "h2"]), "line-hits")
     wanted = hits.groupBy("id").agg(F.collect_set("first").alias("firsts"))
-    suspects = stage(passing(rows, hit_filter(hits, "id"), "id").join(wanted, "id"), "line-suspects")
+    suspects = stage(passing(rows, hits, "id").join(wanted, "id"), "line-suspects")
     bodies = suspects.select("ord", "text", "firsts").mapInArrow(_bytes_of, "h1 long, h2 long, ord long, first int, body binary")
     place = F.struct("ord", "first")
     classes = stage(bodies.groupBy("h1", "h2", "body").agg(F.min(place).alias("lead")), "line-classes")

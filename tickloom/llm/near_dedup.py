@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, tidy, utf8
 from .components import components
-from .exact_dedup import hit_filter, passing
+from .exact_dedup import passing
 from .simhash import fingerprint_batch, joined_words, links
 
 #: Words of the shingles that decide, and the Jaccard similarity from which two texts are near duplicates.
@@ -161,7 +161,7 @@ def _common(texts: DataFrame) -> bytes:
 def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of text numbers, the links (digests a, b) of those that are similar."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    wanted = passing(texts, hit_filter(ids, "id"), "id").join(ids, "id", "left_semi").select("id", "digest", "text")
+    wanted = passing(texts, ids, "id").join(ids, "id", "left_semi").select("id", "digest", "text")
     sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary").dropDuplicates(["digest"]), "near-pair-sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("digest").alias(f"d{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hasher, mix, packed, partitions, stage, steps, text_of, tidy, unpacked, utf8, words
-from .exact_dedup import hit_filter, passing
+from .exact_dedup import passing
 
 #: A window of 20 words has 13 places for an anchor of 8 words; the cover is a perfect difference set modulo 13.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -260,7 +260,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = rows.select("id", "text").mapInArrow(_anchors(n, WINDOW, PERIOD, COVER), packed_row)
     twice = home(home(anchors).mapInArrow(_settle(_SIX, _twice, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary")
     twice = stage(twice.withColumnRenamed("at", "anchors"), "substring-twice")
-    suspects = stage(passing(rows, hit_filter(twice, "id"), "id").join(twice, "id"), "substring-suspects")
+    suspects = stage(passing(rows, twice, "id").join(twice, "id"), "substring-suspects")
     ordered = suspects.select("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text", "anchors")
     windows = ordered.mapInArrow(_windows(n, WINDOW, PERIOD), packed_row)
     later = home(home(windows).mapInArrow(_settle(_TWELVE, _later, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary").withColumnRenamed("at", "starts")
