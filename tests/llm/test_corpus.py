@@ -173,6 +173,41 @@ def test_substring_dedup(docs, messy, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_tells_colliding_digests_apart(docs, monkeypatch):
+    """With a digest of three bits every window has the digest of many others; the words decide."""
+    whole = substring_dedup._digests
+
+    def weak(*a):
+        d = whole(*a)
+        d["a"], d["b"] = d["a"] & np.uint64(7), 0
+        return d
+
+    monkeypatch.setattr(substring_dedup, "_digests", weak)
+    few = docs.filter("doc_id < 40 or doc_id between 100 and 303")
+    want = brute_substrings(texts(few))
+    assert {i: (r.n_words, r.n_removed, r.kept) for i, r in by_id(substring_dedup.substring_dedup(few)).items()} == want
+
+
+def thue_morse():
+    """Two unequal words that any polynomial hash modulo 2**64 takes for the same."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_defeat_polynomial_hashes(spark):
+    one, other = thue_morse()
+    same = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{same} {one}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {1: 0, 2: 0, 3: 20}
+    bench = spark.createDataFrame([(1, " ".join([one, other] * 3))], "item_id long, text string")
+    leaky = spark.createDataFrame([(1, " ".join([other, one] * 3)), (2, " ".join([one, other] * 3))], "doc_id long, text string")
+    assert [(r.doc_id, r.distance) for r in decontaminate.leaks(leaky, bench).filter("distance = 0").collect()] == [(2, 0)]
+    near = spark.createDataFrame([(1, " ".join([one] * 3)), (2, " ".join([other] * 3)), (3, " ".join([one] * 3))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(near).collect()) == [1, 2]
+
+
 def test_line_dedup(docs, messy, empty):
     want = run_oracle(docs, line_dedup.ORACLE).set_index("doc_id")
     got = by_id(line_dedup.line_dedup(docs, digest=True))

@@ -3,10 +3,13 @@
 Two equal windows of WINDOW words, wherever they start, have a short window (an anchor) in common that starts at a cover position modulo
 PERIOD in both documents, as every difference modulo the period is one of two cover positions. So only anchors at cover positions
 are hashed and compared over the corpus. Where an anchor occurs twice, it is extended to all whole windows around it; these are
-compared by a 96-bit digest of their words, and all occurrences but the earliest go.
+compared by a 96-bit digest of their words, and all occurrences but the earliest go, once their words have been compared with those of the earliest.
 
 Both comparisons work on packed rows: each batch of documents sends one row a bucket, with one entry for each hash that it holds. What repeats inside a
 batch is settled there, so a passage that a third of all documents share meets as one entry a batch.
+
+Words are compared inside a batch where they lie, and between batches by sending each removed passage, in pieces, to the document that it repeats.
+Should a digest stand for different words, its windows are told apart by the words themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +28,12 @@ from .exact_dedup import passing
 #: A window of 20 words has 13 places for an anchor of 8 words; the cover is a perfect difference set modulo 13.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 _SEEDS = (21, 22)
-_HASH = "hashes binary, ids binary, ords binary, counts binary, at binary"
+_HASH = "hashes binary, ids binary, ords binary, counts binary, at binary, leads binary, lead_at binary"
+_POSITIONS = "id long, ord long, at binary, leads binary, lead_at binary"
+#: Windows of a passage that are sent in one piece, by the place of the first in the earlier document.
+PIECE = 128
+#: In place of the earlier occurrence's position: the words have been compared already.
+_COMPARED = (1 << 32) - 1
 
 
 def _by_document(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,44 +44,43 @@ def _by_document(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, np.diff(np.append(at, len(row))), bucket[at]
 
 
-def _sent(bucket: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray, ords: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One packed row a bucket; entries are sorted by bucket and row. Entries without hashes are settled and only pass through."""
+def _sent(bucket: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray, ords: np.ndarray, row: np.ndarray, at: np.ndarray, leads: np.ndarray | None = None, lead_at: np.ndarray | None = None) -> pa.RecordBatch:
+    """One packed row a bucket; entries are sorted by bucket and row. Entries without hashes are settled and only pass through, with the place that they repeat."""
     begin, length, of = _by_document(row, bucket)
     names, n_docs = np.unique(of, return_counts=True)
     _, n = np.unique(bucket, return_counts=True)
-    none = pa.nulls(len(names), pa.binary())
+    maybe = lambda values, kind: pa.nulls(len(names), pa.binary()) if values is None else packed(values.astype(kind), n)
     columns = [
-        pa.array(names.astype(np.int64)),
-        none if hashes is None else packed(hashes, n),
-        packed(ids[row[begin]], n_docs), packed(ords[row[begin]], n_docs), packed(length.astype(np.uint32), n_docs), packed(at.astype(np.uint32), n),
+        pa.array(names.astype(np.int64)), pa.nulls(len(names), pa.binary()) if hashes is None else packed(hashes, n),
+        packed(ids[row[begin]], n_docs), packed(ords[row[begin]], n_docs), packed(length.astype(np.uint32), n_docs), packed(at.astype(np.uint32), n), maybe(leads, np.int64), maybe(lead_at, np.uint32),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "hashes", "ids", "ords", "counts", "at"])
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "hashes", "ids", "ords", "counts", "at", "leads", "lead_at"])
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _entries(batch: pa.RecordBatch, kind: object) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, identifier, order and position of each entry of packed rows that all have hashes, or all have none."""
+def _entries(batch: pa.RecordBatch, kind: object) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, identifier, order, position, and the place repeated, of each entry of packed rows that all have hashes, or all have none."""
     hashes = unpacked(batch.column("hashes"), kind)[0] if not batch.column("hashes").null_count else None
-    ids, _ = unpacked(batch.column("ids"), np.int64)
-    ords, _ = unpacked(batch.column("ords"), np.int64)
-    counts, _ = unpacked(batch.column("counts"), np.uint32)
-    at, _ = unpacked(batch.column("at"), np.uint32)
-    return hashes, np.repeat(ids, counts), np.repeat(ords, counts), at
+    ids, ords, counts, at = (unpacked(batch.column(c), k)[0] for c, k in (("ids", np.int64), ("ords", np.int64), ("counts", np.uint32), ("at", np.uint32)))
+    none = batch.column("leads").null_count == batch.num_rows
+    leads, lead_at = (np.zeros(len(at), np.int64), np.full(len(at), _COMPARED, np.uint32)) if none else (unpacked(batch.column(c), k)[0] for c, k in (("leads", np.int64), ("lead_at", np.uint32)))
+    return hashes, np.repeat(ids, counts), np.repeat(ords, counts), at, leads, lead_at
 
 
-def _addressed(ids: np.ndarray, at: np.ndarray, n: int) -> pa.RecordBatch:
+def _addressed(ids: np.ndarray, ords: np.ndarray, at: np.ndarray, leads: np.ndarray, lead_at: np.ndarray, n: int) -> pa.RecordBatch:
     """Positions on their way to their documents: one packed row for each bucket of identifiers, not one a document."""
-    names, row = np.unique(ids, return_inverse=True)
-    bucket = _bucket(mix(names.view(np.uint64)), n)[row]
-    order = np.lexsort((row, bucket))
-    return _sent(bucket[order], None, names, np.zeros_like(names), row[order], at[order])
+    bucket = _bucket(mix(ids.view(np.uint64)), n)
+    order = np.lexsort((ords, ids, bucket))
+    row = np.cumsum(np.append(False, (ids[order[1:]] != ids[order[:-1]]) | (ords[order[1:]] != ords[order[:-1]])))
+    first = order[np.append(True, row[1:] != row[:-1])]
+    return _sent(bucket[order], None, ids[first], ords[first], row, at[order], leads[order], lead_at[order])
 
 
 def _settle(kind: object, judge: Callable, n: int) -> Callable:
-    """Of one bucket: the positions that judge picks from all entries with hashes, and those that were settled before."""
+    """Of one bucket: the positions that judge picks from all entries with hashes, with the places that they repeat, and those that were settled before."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, settled = [], []
@@ -81,19 +88,19 @@ def _settle(kind: object, judge: Callable, n: int) -> Callable:
             null = np.asarray(batch.column("hashes").is_null())
             for part in (batch.filter(pa.array(null)), batch.filter(pa.array(~null))):
                 if part.num_rows:
-                    hashes, ids, ords, at = _entries(part, kind)
+                    hashes, *rest = _entries(part, kind)
                     if hashes is None:
-                        settled.append((ids, at))
+                        settled.append(rest)
                     else:
-                        found.append((hashes, ids, ords, at))
+                        found.append((hashes, *rest[:3]))
         if found:
             hashes, ids, ords, at = (np.concatenate(x) for x in zip(*found))
-            picked = judge(hashes, ords, at)
-            settled.append((ids[picked], at[picked]))
+            picked, lead = judge(hashes, ids, ords, at)
+            settled.append([ids[picked], ords[picked], at[picked], ids[lead], at[lead]])
         if settled:
-            ids, at = (np.concatenate(x) for x in zip(*settled))
-            if len(ids):
-                yield _addressed(ids, at, n)
+            columns = [np.concatenate(x) for x in zip(*settled)]
+            if len(columns[0]):
+                yield _addressed(*columns, n)
 
     return run
 
@@ -101,13 +108,14 @@ def _settle(kind: object, judge: Callable, n: int) -> Callable:
 @tidy
 def _by_identifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket of identifiers: a row a document with all its positions."""
-    found = [(ids, at) for batch in batches for _, ids, _, at in [_entries(batch, None)]]
+    found = [_entries(batch, None)[1:] for batch in batches]
     if found:
-        ids, at = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(ids, kind="stable")
-        ids, at = ids[order], at[order]
-        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), packed(at, np.diff(np.append(begin, len(ids))))], ["id", "at"])
+        ids, ords, at, leads, lead_at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((at, ords, ids))
+        ids, ords = ids[order], ords[order]
+        begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (ords[1:] != ords[:-1])))
+        n = np.diff(np.append(begin, len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(ords[begin]), *(packed(x[order], n) for x in (at, leads, lead_at))], ["id", "ord", "at", "leads", "lead_at"])
 
 
 # ---------------------------------------------------------------- anchors
@@ -124,7 +132,7 @@ def _anchors(n_buckets: int, width: int, period: int, cover: tuple[int, ...]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_SEEDS[0])
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, ords = batch.column("id").to_numpy(), batch.column("ord").to_numpy()
             raw_all, offsets_all = utf8(batch.column("text"))
             hs, rows, ats = [], [], []
             for lo, hi in steps(offsets_all):
@@ -147,21 +155,22 @@ def _anchors(n_buckets: int, width: int, period: int, cover: tuple[int, ...]) ->
             bucket = _bucket(h[one], n_buckets)
             one = one[np.argsort(bucket, kind="stable")]
             six = np.ascontiguousarray(h[one].view(np.uint8).reshape(-1, 8)[:, :6]).view(_SIX).ravel()
-            yield _sent(_bucket(h[one], n_buckets), six, ids, np.zeros_like(ids), row[one], at[one])
+            yield _sent(_bucket(h[one], n_buckets), six, ids, ords, row[one], at[one])
             own = np.sort(order[again])
             if len(own):
-                yield _sent(np.full(len(own), int(h[0] % np.uint64(n_buckets))), None, ids, np.zeros_like(ids), row[own], at[own])
+                yield _sent(np.full(len(own), int(h[0] % np.uint64(n_buckets))), None, ids, ords, row[own], at[own])
 
     return run
 
 
-def _twice(six: np.ndarray, ords: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _twice(six: np.ndarray, ids: np.ndarray, ords: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros((len(six), 8), np.uint8)
     h[:, :6] = six.view(np.uint8).reshape(-1, 6)
     h = h.view(np.uint64).ravel()
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
-    return order[np.append(False, same) | np.append(same, False)]
+    twice = order[np.append(False, same) | np.append(same, False)]
+    return twice, twice
 
 
 # ---------------------------------------------------------------- windows
@@ -169,6 +178,42 @@ def _twice(six: np.ndarray, ords: np.ndarray, at: np.ndarray) -> np.ndarray:
 _TWELVE = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
+def _window_places(first: np.ndarray, n: np.ndarray, row: np.ndarray, pos: np.ndarray, width: int, period: int) -> np.ndarray:
+    """Where a window starts that lies around one of the anchors at word pos of its row, as numbers of words over all rows."""
+    open_, shut = np.maximum(pos - period + 1, 0), np.minimum(pos, n[row] - width)
+    fits = open_ <= shut
+    edge = np.zeros(int(first[-1]) + 1, np.int64)
+    np.add.at(edge, (first[row] + open_)[fits], 1)
+    np.add.at(edge, (first[row] + shut + 1)[fits], -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
+
+def _digests(hashers: list[Hasher], raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    d = np.zeros(len(at), _TWELVE)
+    d["a"], d["b"] = (h.window(h.word(raw, starts, ends), at, width).astype(t) for h, t in zip(hashers, ("<u8", "<u4")))
+    return d
+
+
+def _alike(a: list[bytes], b: list[bytes], width: int) -> np.ndarray:
+    """Of two equally long runs of words, which of the windows are equal."""
+    differ = np.append(0, np.cumsum([x != y for x, y in zip(a, b)]))
+    return differ[width:] == differ[:-width]
+
+
+def _equal(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the windows at words a and b are the same words, run by run of windows that go on side by side."""
+    order = np.lexsort((a, b - a))
+    x, y = a[order], b[order]
+    begin = np.flatnonzero(np.append(True, (np.diff(x) != 1) | (np.diff(y) != 1))[: len(a)])
+    out = np.ones(len(a), bool)
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(a)]):
+        p, q, more = x[lo], y[lo], hi - lo + width - 2
+        one, other = raw[starts[p] : ends[p + more]].tobytes(), raw[starts[q] : ends[q + more]].tobytes()
+        if one != other:
+            out[order[lo:hi]] = _alike(one.split(), other.split(), width)
+    return out
+
+
 def _windows(n_buckets: int, width: int, period: int) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,29 +221,25 @@ def _windows(n_buckets: int, width: int, period: int) -> Callable:
         for batch in batches:
             ids, ords = batch.column("id").to_numpy(), batch.column("ord").to_numpy()
             raw_all, offsets_all = utf8(batch.column("text"))
-            ds, rows, ats = [], [], []
+            ds, rows, ats, places, starts_all, ends_all, seen = [], [], [], [], [], [], 0
             for lo, hi in steps(offsets_all):
                 starts, ends, first = words(raw := raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo])
                 n = np.diff(first)
                 pos, per = unpacked(batch.column("anchors").slice(lo, hi - lo), np.uint32)
-                row = np.repeat(np.arange(hi - lo), per)
-                pos = pos.astype(np.int64)
-                open_, shut = np.maximum(pos - period + 1, 0), np.minimum(pos, n[row] - width)
-                fits = open_ <= shut
-                edge = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(edge, (first[row] + open_)[fits], 1)
-                np.add.at(edge, (first[row] + shut + 1)[fits], -1)
-                at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                d = np.zeros(len(at), _TWELVE)
-                d["a"], d["b"] = (h.window(h.word(raw, starts, ends), at, width).astype(t) for h, t in zip(hashers, ("<u8", "<u4")))
+                at = _window_places(first, n, np.repeat(np.arange(hi - lo), per), pos.astype(np.int64), width, period)
+                ds.append(_digests(hashers, raw, starts, ends, at, width))
                 row = np.searchsorted(first, at, "right") - 1
-                ds.append(d)
                 rows.append((row + lo).astype(np.int32))
                 ats.append((at - first[row]).astype(np.uint32))
+                places.append(at + seen)
+                starts_all.append(starts + offsets_all[lo])
+                ends_all.append(ends + offsets_all[lo])
+                seen += len(starts)
             if not ds or not sum(map(len, ds)):
                 continue
-            d, row, at = (np.concatenate(x) for x in (ds, rows, ats))
-            later = _later(d, ords[row], at)
+            d, row, at, place, starts, ends = (np.concatenate(x) for x in (ds, rows, ats, places, starts_all, ends_all))
+            later, lead = _later(d, ids[row], ords[row], at)
+            later = later[_equal(raw_all, starts, ends, place[later], place[lead], width)]
             mine = np.ones(len(d), bool)
             mine[later] = False
             one = np.flatnonzero(mine)
@@ -211,60 +252,163 @@ def _windows(n_buckets: int, width: int, period: int) -> Callable:
     return run
 
 
-def _later(d: np.ndarray, ords: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The windows whose words also start earlier."""
-    order = np.lexsort((at, ords, d["b"], d["a"]))
-    a, b, o, p = d["a"][order], d["b"][order], ords[order], at[order]
+def _later(d: np.ndarray, ids: np.ndarray, ords: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows whose words also start earlier, and the earliest with these words."""
+    order = np.lexsort((at, ids, ords, d["b"], d["a"]))
+    a, b = d["a"][order], d["b"][order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order[(o != o[lead]) | (p != p[lead])]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = (ords[order] != ords[lead]) | (ids[order] != ids[lead]) | (at[order] != at[lead])
+    return order[later], lead[later]
+
+
+# ---------------------------------------------------------------- what goes, and the comparison of its words
+
+_SENT = pa.list_(pa.struct([("lead", pa.int64()), ("piece", pa.int32()), ("skip", pa.int32()), ("body", pa.binary())]))
+
+
+def _passages(own: list[bytes], at: np.ndarray, leads: np.ndarray, lead_at: np.ndarray, width: int) -> list[dict]:
+    """The passages that repeat another document's, in pieces: whose, the piece of it, the words of it to skip, the words."""
+    far = lead_at != _COMPARED
+    at, leads, lead_at = at[far].astype(np.int64), leads[far], lead_at[far].astype(np.int64)
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(lead_at) != 1) | (leads[1:] != leads[:-1]) | (lead_at[1:] % PIECE == 0))[: len(at)]
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(at)))
+    return [
+        {"lead": lead, "piece": q // PIECE, "skip": q % PIECE, "body": b" ".join(own[p : p + k + width - 1])}
+        for p, lead, q, k in zip(at[begin].tolist(), leads[begin].tolist(), lead_at[begin].tolist(), n.tolist())
+    ]
 
 
 def _kept(width: int, with_starts: bool, digest: bool) -> Callable:
+    """Without the windows at starts; add and drop, where given, correct these. The passages that have to be compared come along."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            starts = batch.column("starts").to_pylist() if with_starts else [None] * batch.num_rows
-            for text, gone in zip(batch.column("text"), starts):
+            n_words, n_removed, kept, passages = [], [], [], []
+            column = lambda name: batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
+            for text, at, leads, lead_at, add, drop in zip(batch.column("text"), *(column(c) for c in ("at", "leads", "lead_at", "add", "drop"))):
                 own = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()  # at \x20 and \x09-\x0d
                 n_words.append(len(own))
-                if gone:
+                sent = []
+                if at or add:
+                    at = np.frombuffer(at or b"", np.uint32)
+                    if add is None and drop is None:
+                        sent = _passages(own, at, np.frombuffer(leads, np.int64), np.frombuffer(lead_at, np.uint32), width)
+                    at = np.union1d(np.setdiff1d(at, drop or []), add or []).astype(np.int64)
                     edge = np.zeros(len(own) + width + 1, np.int32)
-                    at = np.unique(np.frombuffer(gone, np.uint32)).astype(np.int64)
                     edge[at] += 1
                     edge[at + width] -= 1
                     stay = np.cumsum(edge)[: len(own)] == 0
                     own = [w for w, s in zip(own, stay.tolist()) if s]
+                passages.append(sent)
                 n_removed.append(n_words[-1] - len(own))
                 left = b" ".join(own)
                 kept.append(hashlib.sha256(left).hexdigest().encode() if digest else left)
             columns = [batch.column("id"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "n_words", "n_removed", "kept"])
+            names = ["id", "doc_id", "n_words", "n_removed", "kept"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(passages, _SENT)] if with_starts else columns, [*names, "passages"] if with_starts else names)
+
+    return run
+
+
+def _pieces(width: int) -> Callable:
+    """The words of a document in pieces that hold all windows which start there."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, number, body = [], [], []
+            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                own = text.as_buffer().to_pybytes().split()
+                for k in range(-(-max(0, len(own) - width + 1) // PIECE)):
+                    ids.append(ident)
+                    number.append(k)
+                    body.append(b" ".join(own[k * PIECE : (k + 1) * PIECE + width - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(body, pa.binary())], ["lead", "piece", "there"])
+
+    return run
+
+
+def _differing(width: int) -> Callable:
+    """The digests of the windows whose words are not those of the window that they were taken to repeat."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = [Hasher(s) for s in _SEEDS]
+        for batch in batches:
+            found = [np.zeros(0, _TWELVE)]
+            for skip, body, there in zip(batch.column("skip").to_pylist(), batch.column("body").to_pylist(), batch.column("there").to_pylist()):
+                own = body.split(b" ")
+                other = (there or b"").split(b" ")[skip : skip + len(own)]
+                if own != other:
+                    wrong = np.flatnonzero(~_alike(own, other + [b""] * (len(own) - len(other)), width))
+                    raw = np.frombuffer(body, np.uint8)
+                    starts, ends, _ = words(raw, np.array([0, len(raw)]))
+                    found.append(_digests(hashers, raw, starts, ends, wrong, width))
+            d = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(d["a"].view(np.int64)), pa.array(d["b"].astype(np.int64))], ["a", "b"])
 
     return run
 
 
+def _spelled(width: int, period: int) -> Callable:
+    """A row for each window: its digest, place and words."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = [Hasher(s) for s in _SEEDS]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                raw, offsets = utf8(one.column("text"))
+                starts, ends, first = words(raw, offsets)
+                pos = unpacked(one.column("anchors"), np.uint32)[0].astype(np.int64)
+                at = _window_places(first, np.diff(first), np.zeros(len(pos), np.int64), pos, width, period)
+                d, own = _digests(hashers, raw, starts, ends, at, width), raw.tobytes().split()
+                fixed = [pa.array(np.full(len(at), one.column(c)[0].as_py(), np.int64)) for c in ("id", "ord")]
+                body = pa.array([b" ".join(own[p : p + width]) for p in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(d["a"].view(np.int64)), pa.array(d["b"].astype(np.int64)), *fixed, pa.array(at.astype(np.int32)), body], ["a", "b", "id", "ord", "at", "body"])
+
+    return run
+
+
+def _corrections(suspects: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(id, ord, drop, add): the windows whose digest stands for different words, and those of them whose words do start earlier."""
+    spelled = suspects.select("id", "ord", "text", "anchors").mapInArrow(_spelled(WINDOW, PERIOD), "a long, b long, id long, ord long, at int, body binary").join(wrong, ["a", "b"], "left_semi")
+    spelled, place = stage(spelled, "substring-spelled"), F.struct("ord", "id", "at")
+    leads = spelled.groupBy("body").agg(F.min(place).alias("lead"))
+    later = F.when(place > F.col("lead"), F.col("at"))
+    return spelled.join(leads, "body").groupBy("id", "ord").agg(F.collect_set("at").alias("drop"), F.collect_set(later).alias("add"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, one space between; with digest, their SHA-256 in hex).
 
     A word goes if a window of WINDOW words over it also starts earlier: in a document of smaller identifier, or earlier in one of the same
     identifier. Identifiers are whole numbers; null comes after all others. Rows alike in identifier and text count as one document and lose the
-    same words. Null, empty and short texts lose nothing. An empty table gives an empty result. Other columns are not read.
+    same words; other texts of one identifier come in an order of their own. Null, empty and short texts lose nothing. An empty table gives an empty
+    result. Other columns are not read.
     """
     n = partitions(docs.sparkSession)
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("id"))
-    packed_row = "bucket long, " + _HASH
+    text, ident = text_of(text_col), F.col(id_col).cast("long")
+    rows = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ord"), text.alias("text"), F.xxhash64(ident, text).alias("id"))
+    packed_row, key = "bucket long, " + _HASH, ["id", "ord"]
     home = lambda df: df.repartitionById(n, F.col("bucket").cast("int"))
-    anchors = rows.select("id", "text").mapInArrow(_anchors(n, WINDOW, PERIOD, COVER), packed_row)
-    twice = home(home(anchors).mapInArrow(_settle(_SIX, _twice, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary")
-    twice = stage(twice.withColumnRenamed("at", "anchors"), "substring-twice")
-    suspects = stage(passing(rows, twice, "id").join(twice, "id"), "substring-suspects")
-    ordered = suspects.select("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text", "anchors")
-    windows = ordered.mapInArrow(_windows(n, WINDOW, PERIOD), packed_row)
-    later = home(home(windows).mapInArrow(_settle(_TWELVE, _later, n), packed_row)).mapInArrow(_by_identifier, "id long, at binary").withColumnRenamed("at", "starts")
+    anchors = rows.select("id", "ord", "text").mapInArrow(_anchors(n, WINDOW, PERIOD, COVER), packed_row)
+    twice = home(home(anchors).mapInArrow(_settle(_SIX, _twice, n), packed_row)).mapInArrow(_by_identifier, _POSITIONS)
+    twice = stage(twice.select("id", "ord", F.col("at").alias("anchors")), "substring-twice")
+    suspects = stage(passing(rows, twice, "id").join(twice, key), "substring-suspects")
+    windows = suspects.select("id", "ord", "text", "anchors").mapInArrow(_windows(n, WINDOW, PERIOD), packed_row)
+    later = stage(home(home(windows).mapInArrow(_settle(_TWELVE, _later, n), packed_row)).mapInArrow(_by_identifier, _POSITIONS), "substring-later")
     schema = "id long, doc_id long, n_words long, n_removed long, kept string"
-    cut = suspects.select("id", "doc_id", "text").join(later, "id", "left").select("id", "doc_id", "text", "starts").mapInArrow(_kept(WINDOW, True, digest), schema)
+    found = suspects.select("id", "ord", "doc_id", "text").join(later, key, "left")
+    sent = ", passages array<struct<lead:long,piece:int,skip:int,body:binary>>"
+    cut = stage(found.select("id", "doc_id", "text", "at", "leads", "lead_at").mapInArrow(_kept(WINDOW, True, digest), schema + sent), "substring-cut")
+    passages = cut.select(F.explode("passages").alias("p")).select("p.*")
+    leads = stage(passages.select(F.col("lead").alias("id")).distinct(), "substring-leads")
+    there = stage(passing(suspects.select("id", "text"), leads, "id").mapInArrow(_pieces(WINDOW), "lead long, piece int, there binary").dropDuplicates(["lead", "piece"]), "substring-pieces")
+    wrong = passages.join(there, ["lead", "piece"], "left").select("skip", "body", "there").mapInArrow(_differing(WINDOW), "a long, b long")
+    wrong = stage(wrong.distinct(), "substring-wrong")
+    if not wrong.isEmpty():
+        mended = found.join(_corrections(suspects, wrong), key, "left")
+        cut = mended.select("id", "doc_id", "text", "at", "leads", "lead_at", "drop", "add").mapInArrow(_kept(WINDOW, True, digest), schema + sent)
     whole = rows.select("id", "doc_id", "text").mapInArrow(_kept(WINDOW, False, digest), schema).join(suspects.select("id").distinct(), "id", "left_anti")
-    return cut.unionByName(whole).drop("id")
+    return cut.drop("passages").unionByName(whole).drop("id")
