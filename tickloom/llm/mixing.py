@@ -1,7 +1,8 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
-All that is done per source works on sums with partial aggregation. A source's fraction is a set of hash bins, at most BINS a source,
-taken from the first one on until the bound nearest to the target, so no source's rows are sorted or gathered.
+All that is done per source works on sums with partial aggregation. A source's fraction is a set of hash bins, at most BINS a source, taken
+from the first one on while they fit; then the heaviest bins that still fit, once more each, fill what is left. Bins heavier than all that is wanted (a long document in a
+small source) stand aside, and the others repeat more instead. So no source's rows are sorted or gathered.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small, stage, text_of, word_count
 
-#: Hash bins of a source: the mix misses a source's target by half of the heaviest bin in use at most.
-BINS = 4096
+#: Hash bins of a source, how many single bins fill up what the first ones leave of its target, and how many too heavy ones may stand aside.
+BINS, FILLERS, ASIDE = 4096, 4, 16
 
 
 def hash_bin(ident: Column, text: Column, seed: int) -> Column:
@@ -47,24 +48,51 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def plan(sized: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, target, whole, last_bin from staged (source, size, bin)."""
+    """source, source_size, target, and what times() goes by, from staged (source, size, bin)."""
     bins = stage(sized.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
     sources = numbered(bins.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("n") % len(weights) + 1).cast("int"))
     filled = water_fill(stage(sources.select("source", "source_size", weight.alias("weight")), "mix-sources"), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     filled = filled.withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    upto = F.sum("size").over(W.partitionBy("source").orderBy("bin"))
-    steps = bins.select(F.col("source").alias("of"), "bin", (upto * 2 - F.col("size")).alias("twice"))
-    taken = steps.join(filled, F.col("of").eqNullSafe(F.col("source"))).filter("twice <= 2 * rest and whole < " + str(max_epochs))
-    last = taken.groupBy(F.col("of")).agg(F.max("bin").alias("last_bin"))
-    return stage(filled.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", F.coalesce("last_bin", F.lit(-1)).alias("last_bin")), "mix-plan")
+    same = F.col("of").eqNullSafe(F.col("source"))
+    of = bins.withColumnRenamed("source", "of")
+    # -size first: array_sort puts the heaviest in front; a source has BINS entries at most
+    heavy = of.join(filled, same).filter("whole < " + str(max_epochs) + " and size > rest and rest > 0").groupBy("of").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "bin"))), 1, ASIDE).alias("heavy"))
+    light = F.col("source_size") + F.aggregate(F.col("heavy.minus"), F.lit(0).cast("long"), lambda x, y: x + y)
+    filled = filled.join(heavy, same, "left").withColumn("aside", F.coalesce(F.col("heavy.bin"), F.array().cast("array<int>"))).withColumn("light", F.coalesce(light, F.col("source_size")))
+    again = F.when(F.col("light") > 0, F.least(F.floor(F.col("rest") / F.col("light")), F.lit(max_epochs) - F.col("whole"))).otherwise(0).cast("long")
+    filled = filled.withColumn("again", again).select("source", "source_size", "target", "whole", "aside", "again", (F.col("rest") - F.col("again") * F.col("light")).alias("rest"))
+    filled, room = stage(filled, "mix-filled"), F.col("whole") + F.col("again") < max_epochs
+    open_ = of.join(filled, same).filter(room & ~F.array_contains("aside", F.col("bin"))).select("of", "bin", "size", "rest")
+    taken = open_.withColumn("upto", F.sum("size").over(W.partitionBy("of").orderBy("bin"))).filter("upto <= rest")
+    last = taken.groupBy("of").agg(F.max("bin").alias("last_bin"), F.max("upto").alias("got"))
+    left = F.when(room, F.col("rest") - F.coalesce("got", F.lit(0))).otherwise(0.0)
+    plain = ["source", "source_size", "target", "whole", "aside", "again"]
+    planned = filled.join(last, same, "left").select(*plain, F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), left.alias("left"), F.array().cast("array<int>").alias("extra"))
+    for _ in range(FILLERS):
+        planned = stage(planned, "mix-plan")
+        fits = of.join(planned, same).filter("size > 0 and size <= left and not array_contains(aside, bin)").filter(times(F.col("bin")) < max_epochs)
+        best = fits.groupBy("of").agg(F.max_by(F.struct("bin", "size"), F.col("size") * BINS - F.col("bin")).alias("best"))
+        more = F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.bin")))
+        planned = planned.join(best, same, "left").select(*plain, "last_bin", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), more.alias("extra"))
+    return stage(planned.drop("left"), "mix-plan")
+
+
+RULE = ("whole", "aside", "again", "last_bin", "extra")
+
+
+def times(bin_: Column, rule: str = "") -> Column:
+    """How often the documents of a bin are taken, by the columns RULE (under the struct rule)."""
+    whole, aside, again, last_bin, extra = (F.col(rule + c) for c in RULE)
+    more = F.size(F.filter(extra, lambda x: x == bin_)).cast("long")
+    return whole + F.when(F.array_contains(aside, bin_), 0).otherwise(again + (bin_ <= last_bin).cast("long") + more)
 
 
 def repetitions(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """Adds source_size, target and reps to rows with (source, bin). The plan is broadcast if it counts few sources, else joined by shuffle."""
     planned = small(planned.withColumnRenamed("source", "of"))
-    return rows.join(planned, F.col("source").eqNullSafe(F.col("of"))).withColumn("reps", F.col("whole") + (F.col("bin") <= F.col("last_bin")).cast("long")).drop("of", "whole", "last_bin")
+    return rows.join(planned, F.col("source").eqNullSafe(F.col("of"))).withColumn("reps", times(F.col("bin"))).drop("of", *RULE)
 
 
 def mix_plan(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -84,10 +112,10 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     cols = docs.columns
     key = F.struct(F.col(source_col).alias("source"), hash_bin(F.col(id_col), text_of(text_col), seed).alias("bin"))
     sized = stage(docs.select(key.alias("k"), word_count(text_of(text_col)).alias("size")).select("k.source", "k.bin", "size"), "mix-sizes")
-    planned = small(plan(sized, max_epochs, weights).select(F.struct("source", "whole", "last_bin").alias("_mix_plan")))
-    rows = docs.withColumn("_mix_key", key).join(planned, F.col("_mix_key.source").eqNullSafe(F.col("_mix_plan.source")))
-    reps = F.col("_mix_plan.whole") + (F.col("_mix_key.bin") <= F.col("_mix_plan.last_bin")).cast("long")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).select(*[f"`{c}`" for c in cols])
+    planned = small(plan(sized, max_epochs, weights).select(F.struct("source", *RULE).alias("p")))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in cols]).alias("doc"), key.alias("k")).join(planned, F.col("k.source").eqNullSafe(F.col("p.source")))
+    reps = times(F.col("k.bin"), "p.")
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).select("doc.*")
 
 
 ORACLE = f"""
@@ -107,8 +135,21 @@ water AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY k LIMIT
 filled AS (SELECT source, source_size, CASE WHEN level * weight > cap THEN cap::DOUBLE ELSE level * weight END AS target FROM sources, water),
 split AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM filled),
 bins AS (SELECT source, bin, sum(size)::BIGINT AS size FROM sized GROUP BY ALL),
-runs AS (SELECT source, bin, 2 * sum(size) OVER (PARTITION BY source ORDER BY bin) - size AS twice FROM bins),
-cut AS (SELECT s.*, coalesce((SELECT max(bin) FROM runs r WHERE r.source IS NOT DISTINCT FROM s.source AND r.twice <= 2 * (s.target - s.whole * s.source_size) AND s.whole < 3), -1) AS last_bin FROM split s)
-SELECT z.doc_id, z.source, z.size, c.source_size, c.target, c.whole + (z.bin <= c.last_bin)::BIGINT AS reps, z.size * (c.whole + (z.bin <= c.last_bin)::BIGINT) AS taken
-FROM sized z JOIN cut c ON z.source IS NOT DISTINCT FROM c.source
+wanted AS (SELECT *, target - whole * source_size AS rest FROM split),
+heavy AS (SELECT b.source, (list(bin ORDER BY size DESC, bin))[1:{ASIDE}] AS aside, list_sum((list(size ORDER BY size DESC, bin))[1:{ASIDE}])::BIGINT AS weight
+  FROM bins b JOIN wanted w ON b.source IS NOT DISTINCT FROM w.source WHERE whole < 3 AND size > rest AND rest > 0 GROUP BY b.source),
+parted AS (SELECT w.*, coalesce(aside, []::INTEGER[]) AS aside, source_size - coalesce(weight, 0) AS light FROM wanted w LEFT JOIN heavy h ON h.source IS NOT DISTINCT FROM w.source),
+once AS (SELECT *, CASE WHEN light > 0 THEN least(floor(rest / light), 3 - whole) ELSE 0 END::BIGINT AS again FROM parted),
+open_ AS (SELECT o.source, bin, size, sum(size) OVER (PARTITION BY o.source ORDER BY bin) AS upto, rest - again * light AS rest
+  FROM bins b JOIN once o ON b.source IS NOT DISTINCT FROM o.source WHERE whole + again < 3 AND NOT list_contains(aside, bin)),
+cut AS (SELECT source, max(bin) AS last_bin, max(upto) AS got FROM open_ WHERE upto <= rest GROUP BY source),
+fill0 AS (SELECT o.* EXCLUDE (rest, light), coalesce(last_bin, -1) AS last_bin, CASE WHEN whole + again < 3 THEN rest - again * light - coalesce(got, 0) ELSE 0 END AS left_, []::INTEGER[] AS extra
+  FROM once o LEFT JOIN cut c ON c.source IS NOT DISTINCT FROM o.source),
+{"".join(f"""fill{k + 1} AS (SELECT f.* EXCLUDE (left_, extra), left_ - coalesce(b.size, 0) AS left_, CASE WHEN b.bin IS NULL THEN extra ELSE list_append(extra, b.bin) END AS extra FROM fill{k} f
+  LEFT JOIN (SELECT g.source, arg_max(bin, size * {BINS} - bin) AS bin, max(size) AS size FROM bins g JOIN fill{k} h ON g.source IS NOT DISTINCT FROM h.source
+    WHERE size > 0 AND size <= left_ AND NOT list_contains(aside, bin) AND whole + again + (bin <= last_bin)::BIGINT + len(list_filter(extra, lambda x: x = bin)) < 3 GROUP BY g.source) b ON b.source IS NOT DISTINCT FROM f.source),
+""" for k in range(FILLERS))}
+done AS (SELECT *, whole + CASE WHEN list_contains(aside, z.bin) THEN 0 ELSE again + (z.bin <= last_bin)::BIGINT + len(list_filter(extra, lambda x: x = z.bin)) END AS reps
+  FROM sized z JOIN fill{FILLERS} c ON z.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, source, size, source_size, target, reps, size * reps AS taken FROM done
 """
