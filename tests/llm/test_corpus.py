@@ -145,6 +145,12 @@ def test_mixing(docs, messy, empty):
     assert all(r.taken == want.taken[r.doc_id] and r.target == want.target[r.doc_id] for r in rows)
     assert all(r.taken <= 3 * r["size"] and r.target <= 3 * r.source_size for r in rows)
     assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(sum(r["size"] for r in rows))
+    sources = {r.source for r in rows}
+    for source in sources:
+        own = [r for r in rows if r.source == source]
+        assert 0 <= own[0].target - sum(r.taken for r in own) <= 0.02 * own[0].target
+    clash = docs.withColumn("_mix_key", F.lit(1)).withColumn("k", F.lit(2)).withColumn("doc", F.lit(3))
+    assert mixing.mix(clash).columns == clash.columns and {(r.k, r.doc, r._mix_key) for r in mixing.mix(clash).collect()} == {(2, 3, 1)}
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {r.doc_id: r.reps for r in rows if r.reps}
     assert mixing.mix_plan(messy).count() == messy.count() and mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
@@ -268,12 +274,6 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, messy, empty):
     assert near_dedup.drop_near_duplicates(messy).count() <= messy.count() and near_dedup.drop_near_duplicates(empty).count() == 0
 
 
-def test_similar_sets():
-    a, b, c = np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)
-    near = near_dedup.similar(np.concatenate([a, b, c]), np.array([10, 10, 10]), 0.8)
-    assert near[0, 1] and near[1, 0] and not near[2, :2].any() and not near[:2, 2].any()  # a set is not compared with itself
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -464,6 +464,26 @@ def test_near_dedup_finds_appended_cut_and_replaced_text(spark):
     assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect()) == sorted(i for i, t in rows if i % 2 == 0 or jaccard(rows[i - 1][1].split(), t.split()) < 0.8)
 
 
+def test_near_dedup_groups_by_brute_force(spark, monkeypatch):
+    """Groups of copies with random edits at many shingles in common, against all pairs; a frequent passage makes the shingles common."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    rng, rows = random.Random(11), []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(35):
+            w = list(base)
+            for at in rng.sample(range(120), rng.randint(0, 6)):
+                w[at] = f"r{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w[: rng.choice([120, 120, 110, 100])])))
+    root = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if a // 35 == b // 35 and jaccard(rows[a][1].split(), rows[b][1].split()) >= 0.8]
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == sorted(set(root)) and 4 < len(set(root)) < 135
+
+
 def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
     items = ["机器学习模型的训练数据不应该包含测试题目", "ภาษาไทยไม่มีช่องว่างระหว่างคำ", "Forty-two", "¿Dónde está la biblioteca «central» de la ciudad?", "東京", "…"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

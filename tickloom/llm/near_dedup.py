@@ -4,8 +4,9 @@ Fingerprints of two-word shingles within DISTANCE bits make groups of suspects,
 suspect is compared with that of its group's least text.
 
 SimHash is a first probe only. Whatever it misses is found by prefixes: in one order of all shingles, two sets of n and m with a similarity of SIMILAR share
-one of their first n - ceil(SIMILAR n) + 1 shingles at least. Texts that meet at such a shingle are compared with the least text there first, which joins most
-of a group by linearly many pairs; then all pairs that meet and are not yet of one group, if they share enough to reach SIMILAR at all.
+one of their first n - ceil(SIMILAR n) + 1 shingles at least; the first that they share leaves room, in both, for all that they must share. Texts that meet at
+such a shingle are compared with the most central text there, the one with the fewest shingles before it; then those that are not of the largest group there with
+the most central one of that. This joins groups of copies by linearly many pairs. Last come all pairs that meet and are still of different groups.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, tidy, utf8
@@ -31,8 +32,8 @@ SHINGLE, SIMILAR = 5, 0.8
 FINGERPRINT, DISTANCE = 2, 8
 #: Shingles in COMMON or more of one text in SAMPLE come last in the order (a bitmap of COMMON_BITS, by hash). The order decides the cost only: any is complete.
 SAMPLE, COMMON, COMMON_BITS = 16, 3, 1 << 23
-#: The first round compares a text with the least one at its shingles if they meet at one shingle in so many of the text's.
-MEET = 16
+#: Rounds in which texts that meet are compared with the largest group's most central text before all pairs are.
+ROUNDS = 2
 
 
 @tidy
@@ -89,7 +90,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(common: Broadcast) -> Callable:
-    """(h, id, size): the first shingles of each text, those that are common coming last; size is the number of all its shingles."""
+    """(h, id, size, pos): the first shingles of each text, those that are common coming last; pos: how many come before it; size: how many there are in all."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +101,10 @@ def _prefixes(common: Broadcast) -> Callable:
             late = bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((h, late, row))
-            h = h[order][ragged(size) < np.repeat(size - least_shared(size, size) + 1, size)]
             taken = np.where(size > 0, size - least_shared(size, size) + 1, 0)
+            h = h[order][ragged(size) < np.repeat(taken, size)]
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(ids, taken)), pa.array(np.repeat(size, taken).astype(np.int32))], ["h", "id", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(ids, taken)), pa.array(np.repeat(size, taken).astype(np.int32)), pa.array(ragged(taken).astype(np.int32))], ["h", "id", "size", "pos"])
 
     return run
 
@@ -115,10 +116,11 @@ def least_shared(size: np.ndarray, union: np.ndarray) -> np.ndarray:
 
 @tidy
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h and id: those whose h several texts have, each once, with the least text there (its hub). A run may go on in the next batch."""
-    held = np.zeros((0, 3), np.int64)  # the first row of the open run, and its latest if it has several: these were given already
+    """Of rows sorted by h, pos and id: those whose h several texts have, each once, with the most central text there (its hub). A run may go on in the next batch."""
+    names = ["h", "id", "size", "pos"]
+    held = np.zeros((0, 4), np.int64)  # the first row of the open run, and its latest if it has several: these were given already
     for batch in batches:
-        rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "id", "size")])])
+        rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])])
         new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]
         given = np.arange(len(rows)) < (2 if len(held) == 2 else 0)
         rows, given = rows[new], given[new]
@@ -131,7 +133,9 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = several & ~given
         last = np.flatnonzero(run == run[-1])
         held = rows[[last[0], last[-1]] if len(last) > 1 else [last[0]]]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[out, 0]), pa.array(rows[out, 1]), pa.array(rows[out, 2].astype(np.int32)), pa.array(hub[out, 1]), pa.array(hub[out, 2].astype(np.int32))], ["h", "id", "size", "hub", "hub_size"])
+        kinds = {"h": np.int64, "id": np.int64, "size": np.int32, "pos": np.int32}
+        columns = [pa.array(table[out, k].astype(kinds[c])) for table, cs in ((rows, names), (hub, names[1:])) for k, c in enumerate(names) if c in cs]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "hub", "hub_size", "hub_pos"])
 
 
 @tidy
@@ -168,33 +172,54 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(both.mapInArrow(_judge, "a binary, b binary"), "near-links")
 
 
+def _room(a: str, b: str) -> Column:
+    """Whether two texts that meet first at a shingle may be similar: what comes from there on holds all that they must share."""
+    size = lambda x: F.col(f"{x}_size")
+    least = F.ceil((size(a) + size(b)) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+    return F.least(size(a) - F.col(f"{a}_pos"), size(b) - F.col(f"{b}_pos")) >= least
+
+
+def _pairs(met: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """The distinct pairs (a, b) of met that were not tested yet, staged."""
+    out = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for t in tested:
+        out = out.join(t, ["a", "b"], "left_anti")
+    return stage(out, "near-pairs")
+
+
 def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
-    """Links (digests a, b) that join all similar texts. texts: (id, digest, text), ids by digest; probed: pairs (a, b) of ids to look at first."""
+    """Links (digests a, b) that join all similar texts. texts: (id, digest, text), ids by digest; probed: pairs (x, y) of ids to look at first."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_common(texts))
-    keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int")
-    keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "id")
-    shared = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, hub long, hub_size int"), "near-shared")
-    alike = lambda m, n: F.least(m, n) >= F.greatest(m, n) * SIMILAR - 1e-6
-    star = shared.filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).groupBy(F.col("hub").alias("a"), F.col("id").alias("b"))
-    star = star.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter(F.col("n") * MEET >= F.col("size")).select("a", "b")
-    star = stage(star.unionByName(probed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    links = _similar_pairs(star, texts)
-    roots = components(links).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
-    placed = stage(shared.select("h", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
+    keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int, pos int")
+    keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "pos", "id")
+    met = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, pos int, hub long, hub_size int, hub_pos int"), "near-met")
+    texts_at = met.select("h", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"))
+    star = met.select(F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"), F.col("hub").alias("y"), F.col("hub_size").alias("y_size"), F.col("hub_pos").alias("y_pos"))
+    tested = [_pairs(star.filter((F.col("x") != F.col("y")) & _room("x", "y")).select("x", "y").unionByName(probed), [])]
+    links = _similar_pairs(tested[0], texts)
+    for _ in range(1, ROUNDS):
+        placed, groups = _placed(texts_at, links)
+        star = placed.join(groups, "h").filter((F.col("x_root") != F.col("y_root")) & _room("x", "y"))
+        tested.append(_pairs(star, tested))
+        links = links.unionByName(_similar_pairs(tested[-1], texts))
     # Of two texts in different groups one is not in the largest group at their shingle: those texts meet all others there.
-    parts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    open_ = stage(placed.join(parts.filter("parts > 1").select("h", "main"), "h"), "near-open")
-    one = open_.filter("root != main").select("h", F.col("id").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    other = open_.select("h", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), "main")
-    met = one.join(other, "h").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("na"), F.col("nb")))
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    met = met.groupBy(low.alias("a"), high.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("less"), F.first(F.greatest("na", "nb")).alias("more"))
-    # Beyond the prefix that ends first they share no more than what is left of its set.
-    after = F.ceil(F.col("more") * SIMILAR - 1e-6) - 1
-    enough = F.ceil((F.col("less") + F.col("more")) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
-    pairs = stage(met.filter(F.col("n") + after >= enough).select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
-    return links.unionByName(_similar_pairs(pairs, texts))
+    placed, groups = _placed(texts_at, links)
+    open_ = stage(placed.join(groups.select("h", F.col("y_root").alias("main")), "h"), "near-open")
+    other = open_.select("h", *[F.col(c).alias(c.replace("x", "y", 1)) for c in ("x", "x_size", "x_pos", "x_root")])
+    apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))
+    last = _pairs(open_.filter("x_root != main").join(other, "h").filter(apart & _room("x", "y")), tested)
+    return links.unionByName(_similar_pairs(last, texts))
+
+
+def _placed(texts_at: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts_at with the group that links put each text in (x_root), and of each shingle that texts of several groups have: the root of the largest (y_root) and its
+    most central text there (y, y_size, y_pos)."""
+    roots = components(links).select(F.xxhash64("node").alias("x"), F.xxhash64("root").alias("x_root"))
+    placed = stage(texts_at.join(roots, "x", "left").withColumn("x_root", F.coalesce("x_root", "x")), "near-placed")
+    groups = placed.groupBy("h", "x_root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x_pos", "x", "x_size")).alias("hub"))
+    largest = groups.groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.max_by(F.struct("x_root", "hub"), F.struct("n", "x_root")).alias("g")).filter("groups > 1")
+    return placed, stage(largest.select("h", F.col("g.x_root").alias("y_root"), F.col("g.hub.x").alias("y"), F.col("g.hub.x_size").alias("y_size"), F.col("g.hub.x_pos").alias("y_pos")), "near-groups-at")
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
@@ -208,7 +233,7 @@ def near_groups(rows: DataFrame) -> DataFrame:
     members = stage(texts.join(roots, "fp", "left").select("digest", F.coalesce("root", "fp").alias("root")), "near-members")
     number = F.xxhash64("digest")
     least = members.groupBy("root").agg(F.min("digest").alias("least"))
-    probed = stage(members.join(least, "root").filter("digest != least").select(F.xxhash64("least").alias("a"), number.alias("b")), "near-probed")
+    probed = stage(members.join(least, "root").filter("digest != least").select(F.xxhash64("least").alias("x"), number.alias("y")), "near-probed")
     found = similar_links(rows.select(F.unhex(F.md5("text")).alias("digest"), "text").withColumn("id", number), probed)
     joined = components(found).withColumnRenamed("node", "digest").withColumnRenamed("root", "group")
     return texts.join(joined, "digest", "left").select("digest", "doc_id", "n", F.coalesce("group", "digest").alias("group"))
