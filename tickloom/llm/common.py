@@ -111,6 +111,13 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of one step each, so that little is in memory at once."""
+    for batch in batches:
+        for lo, hi in steps(utf8(batch.column(text))[1]):
+            yield batch.slice(lo, hi - lo)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends in bytes of all words, and of each document the number of the first one. apart: of each byte, whether it parts words."""
     solid = ~apart[raw]

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, packed, partitions, ragged, stage, steps, text_of, tidy, utf8
+from .common import Hasher, packed, partitions, ragged, slices, stage, steps, text_of, tidy, utf8
 from .components import components
 from .exact_dedup import passing
 from .simhash import fingerprint_batch, joined_words, links
@@ -66,18 +66,11 @@ def shingle_sets(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(sizes)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of one step each, so that the shingles of few texts are in memory at once."""
-    for batch in batches:
-        for lo, hi in steps(utf8(batch.column("text"))[1]):
-            yield batch.slice(lo, hi - lo)
-
-
 @tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns but the text, and the text's set."""
     hasher = Hasher(51)
-    for batch in _slices(batches):
+    for batch in slices(batches):
         rest = batch.drop_columns(["text"])
         yield rest.append_column("shingles", packed(*shingle_sets(batch.column("text"), hasher)))
 
@@ -85,7 +78,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @tidy
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(51)
-    for batch in _slices(batches):
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"), hasher)[0].view(np.int64))], ["h"])
 
 
@@ -95,7 +88,7 @@ def _prefixes(common: Broadcast) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = Hasher(51), np.frombuffer(common.value, np.uint8)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             h, size = shingle_sets(batch.column("text"), hasher)
             bit = h & np.uint64(COMMON_BITS - 1)
             late = bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, mix, packed, partitions, stage, steps, text_of, tidy, unpacked, utf8, words
+from .common import Hasher, mix, packed, partitions, slices, stage, steps, text_of, tidy, unpacked, utf8, words
 from .exact_dedup import passing
 
 #: A window of 20 words has 13 places for an anchor of 8 words; the cover is a perfect difference set modulo 13.
@@ -232,8 +232,8 @@ def _windows(n_buckets: int, width: int, period: int) -> Callable:
                 rows.append((row + lo).astype(np.int32))
                 ats.append((at - first[row]).astype(np.uint32))
                 places.append(at + seen)
-                starts_all.append(starts + offsets_all[lo])
-                ends_all.append(ends + offsets_all[lo])
+                starts_all.append((starts + offsets_all[lo]).astype(np.int32))
+                ends_all.append((ends + offsets_all[lo]).astype(np.int32))
                 seen += len(starts)
             if not ds or not sum(map(len, ds)):
                 continue
@@ -284,7 +284,7 @@ def _kept(width: int, with_starts: bool, digest: bool) -> Callable:
     """Without the windows at starts; add and drop, where given, correct these. The passages that have to be compared come along."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept, passages = [], [], [], []
             column = lambda name: batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
             for text, at, leads, lead_at, add, drop in zip(batch.column("text"), *(column(c) for c in ("at", "leads", "lead_at", "add", "drop"))):
@@ -316,7 +316,7 @@ def _pieces(width: int) -> Callable:
     """The words of a document in pieces that hold all windows which start there."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, number, body = [], [], []
             for ident, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 own = text.as_buffer().to_pybytes().split()
