@@ -222,6 +222,29 @@ def test_line_dedup(docs, messy, empty):
     assert line_dedup.line_dedup(messy).count() == messy.count() and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_chunks_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        lines = [b"%d" % rng.randint(0, 5) for _ in range(rng.randint(1, 30))]
+        h, want, begin = line_dedup.line_hashes(lines).tolist(), [], 0
+        for i in range(1, len(lines) + 1):
+            may = i > 1 and ((h[i - 1] + h[i - 2] * line_dedup.BASE) % line_dedup.PRIME % line_dedup.EVERY == 0 or h[i - 1] == h[i - 2])
+            if i - begin >= line_dedup.LEAST and may or i == len(lines):
+                want.append((begin, i))
+                begin = i
+        assert line_dedup.chunks(lines) == want
+
+
+def test_line_dedup_of_shifted_passages_and_equal_lines(spark):
+    rng = random.Random(4)
+    passage = ["line %d" % rng.randint(0, 10**6) for _ in range(60)]
+    own = lambda: ["own %d" % rng.randint(0, 10**9) for _ in range(rng.randint(1, 9))]
+    rows = [(k, "\n".join([*own(), *passage, *own()])) for k in range(20)] + [(50, "\n".join(["same"] * 30))]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[0].n_removed == 0 and all(54 <= got[k].n_removed <= 60 for k in range(1, 20)) and got[50].n_removed >= 26
+    assert all(x not in got[k].kept for k in range(1, 20) for x in passage[6:-6]) and all(t.split("\n")[0] in got[k].kept for k, t in rows)
+
+
 def brute_fingerprint(text, width=3):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + width]).encode(), 42) for k in range(max(1, len(w) - width + 1))] if w else []

@@ -1,7 +1,9 @@
 """Line dedup with content-defined chunks of lines.
 
-A rolling hash over the hashes of two successive lines decides where a chunk ends, so the same run of lines is cut alike wherever it stands,
-whatever comes before it. Chunks of several lines that occurred before in the corpus are removed, after their bytes have been compared.
+A rolling hash over the hashes of two successive lines tells where a chunk may end: after one line in EVERY on average, and within a run of equal lines
+after each. A chunk has LEAST lines or more, so it ends at every other one of such places where they follow each other. What comes before a
+passage thus shifts its cuts as far as the next place that is no end only, and the same run of lines is cut alike wherever it stands. Chunks
+that occurred before in the corpus are removed, after their bytes have been compared. Lines at the ends of a repeated passage stay if their chunk reaches beyond it.
 
 Chunks are compared in two steps: their hashes with partial aggregation over the whole corpus (a chunk that all documents share meets as one row a task), then
 the bytes of those chunks only whose hash repeats, again with partial aggregation.
@@ -20,26 +22,29 @@ from pyspark.sql import functions as F
 from .common import stage, text_of, tidy
 from .exact_dedup import passing
 
-#: A chunk ends after one line in EVERY, on average; it must have LEAST lines to be removed.
-EVERY, LEAST = 3, 2
+#: A chunk may end after one line in EVERY, on average; it has LEAST lines at least, but for the last of a text, which is not removed if it has fewer.
+EVERY, LEAST = 2, 2
 #: Fixed values of the rolling hash: line hashes are below PRIME, and the line before counts BASE times.
 PRIME, BASE = 2147483647, 1000003
 
 
-def line_hash(line: bytes) -> int:
-    return int.from_bytes(hashlib.md5(line).digest()[:4], "big") % PRIME
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    heads = b"".join([hashlib.md5(line).digest()[:4] for line in lines])
+    return np.frombuffer(heads, ">u4").astype(np.int64) % PRIME
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first, after last) of all chunks of the lines."""
-    out, begin, before = [], 0, 0
-    for i, line in enumerate(lines, 1):
-        own = line_hash(line)
-        if (own + before * BASE) % PRIME % EVERY == 0 or i == len(lines):
-            out.append((begin, i))
-            begin = i
-        before = own
-    return out
+    own = line_hashes(lines)
+    before = np.append(0, own[:-1])
+    may = (own + before * BASE) % PRIME % EVERY == 0
+    may[1:] |= own[1:] == own[:-1]
+    may[0] = False  # of places that follow each other, every other one from the first on
+    place = np.arange(len(own))
+    since = place - np.maximum.accumulate(np.where(may, -1, place))
+    ends = np.flatnonzero(may & (since % LEAST == 1)) + 1
+    ends = np.unique(np.append(ends, len(own)))
+    return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
 
 
 def _cut(text: pa.Scalar) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -115,22 +120,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, ident = text_of(text_col), F.col(id_col).cast("long")
     rows = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ord"), text.alias("text"), F.xxhash64(ident, text).alias("id"))
     found = stage(rows.select("id", "ord", "text").mapInArrow(_hashed, "h1 long, h2 long, id long, ord long, first int"), "line-chunks")
-    repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    repeated = stage(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-repeated")
     hits = stage(found.join(repeated, ["h1", "h2"]), "line-hits")
-    wanted = hits.groupBy("id").agg(F.collect_set("first").alias("firsts"))
-    suspects = stage(passing(rows, hits, "id").join(wanted, "id"), "line-suspects")
+    wanted = hits.groupBy("id", "ord").agg(F.collect_set("first").alias("firsts"))
+    suspects = stage(passing(rows, hits, "id").join(wanted, ["id", "ord"]), "line-suspects")
     bodies = suspects.select("ord", "text", "firsts").mapInArrow(_bytes_of, "h1 long, h2 long, ord long, first int, body binary")
     place = F.struct("ord", "first")
     classes = stage(bodies.groupBy("h1", "h2", "body").agg(F.min(place).alias("lead")), "line-classes")
-    alike = classes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("bodies"), F.min("lead").alias("lead"))
-    judged = hits.join(alike, ["h1", "h2"]).filter((F.col("bodies") == 1) & (place > F.col("lead"))).select("id", "first")
+    # written, so that nothing but shuffles stands below the joins and adaptive execution can split a chunk of very many documents
+    alike = stage(classes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("bodies"), F.min("lead").alias("lead")), "line-alike")
+    judged = hits.join(alike, ["h1", "h2"]).filter((F.col("bodies") == 1) & (place > F.col("lead"))).select("id", "ord", "first")
     collided = alike.filter("bodies > 1").select("h1", "h2")
     if not collided.isEmpty():  # equal hashes of different bytes: these occurrences find their class by the bytes
         apart = suspects.select("id", "ord", "text", "firsts").mapInArrow(_with_id(_bytes_of), "h1 long, h2 long, ord long, first int, body binary, id long").join(collided, ["h1", "h2"], "left_semi")
-        judged = judged.unionByName(apart.join(classes, ["h1", "h2", "body"]).filter(place > F.col("lead")).select("id", "first"))
-    gone = judged.groupBy("id").agg(F.collect_set("first").alias("gone"))
+        judged = judged.unionByName(apart.join(classes, ["h1", "h2", "body"]).filter(place > F.col("lead")).select("id", "ord", "first"))
+    gone = judged.groupBy("id", "ord").agg(F.collect_set("first").alias("gone"))
     schema = "id long, doc_id long, n_lines long, n_removed long, kept string"
-    cut = suspects.select("id", "doc_id", "text").join(gone, "id", "left").mapInArrow(_kept(True, digest), schema)
+    cut = suspects.select("id", "ord", "doc_id", "text").join(gone, ["id", "ord"], "left").mapInArrow(_kept(True, digest), schema)
     whole = rows.select("id", "doc_id", "text").mapInArrow(_kept(False, digest), schema).join(suspects.select("id").distinct(), "id", "left_anti")
     return cut.unionByName(whole).drop("id")
 
@@ -152,7 +158,9 @@ ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % {PRIME} AS h FROM lines),
-marked AS (SELECT *, (h + coalesce(lag(h) OVER d * {BASE}, 0)) % {PRIME} % {EVERY} = 0 AS last FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+near AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hashed),
+may AS (SELECT *, before IS NOT NULL AND ((h + before * {BASE}) % {PRIME} % {EVERY} = 0 OR h = before) AS may FROM near),
+marked AS (SELECT *, may AND (i - max(CASE WHEN may THEN 0 ELSE i END) OVER (PARTITION BY doc_id ORDER BY i)) % {LEAST} = 1 AS last FROM may),
 placed AS (SELECT *, coalesce(sum(last::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked),
 chunks AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM placed GROUP BY ALL),
 judged AS (SELECT doc_id, chunk, n >= {LEAST} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM chunks)
