@@ -406,15 +406,61 @@ def test_quality(spark, messy, empty):
     rows = [(i, good() if i % 3 else bad(), "en", f"s{i % 5}") for i in range(400)] + [(None, None, None, None), (900, "", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 200)] + [(5, None)], "doc_id long, quality int")
-    model = quality.train(df, labels, **sites())
-    got = quality.classify(df, model, **sites()).filter("doc_id < 400").collect()
+    model, scored = quality.train(df, labels, **sites())
+    got = quality.verdicts(scored, model).filter("doc_id < 400").collect()
     assert all(r.keep == (r.doc_id % 3 > 0) for r in got if r.doc_id >= 200)
-    assert quality.keep_good(df, model, **sites()).columns == df.columns
-    none = quality.train(df, labels.limit(0), **sites())
-    assert quality.classify(df, none, **sites()).filter("not keep").count() == 0
-    rates = {r.path: (r.n, r.path_rate, r.m) for r in model.paths.withColumn("m", F.lit(0.0)).collect()}
-    assert all(0 < p < 1 for _, p, _ in rates.values())
-    assert quality.classify(empty, model, **sites()).count() == 0 and quality.classify(messy, model, **sites()).count() == messy.count()
+    clash = df.withColumns({"_host": F.lit(1), "host": F.lit(2), "out": F.lit(3), "at": F.lit(4)})
+    kept = quality.keep_good(clash, model, **sites())
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} >= {r.doc_id for r in got if r.keep}
+    none, scored = quality.train(df, labels.limit(0), **sites())
+    assert quality.verdicts(scored, none).filter("not keep").count() == 0
+    again = quality.score(messy, model.evidence, **sites())
+    assert quality.verdicts(again, model).count() == messy.count() and quality.verdicts(quality.score(empty, model.evidence, **sites()), model).count() == 0
+    assert quality.verdicts(quality.train(empty, labels, **sites())[1], model).count() == 0
+
+
+def test_quality_learns_words_and_shrinks_sites(spark):
+    """Bad documents differ by their words only; hosts differ in their rates. Rates, posteriors and the threshold against plain loops; recall on labels that are held out."""
+    rng = random.Random(6)
+    fine, spam = "tree river stone cloud wind grass hill meadow valley forest".split(), "casino jackpot bonus winner credit loan pills cheap deal click".split()
+    text = lambda bad: " ".join(rng.choice(spam if bad and rng.random() < 0.4 else fine) for _ in range(60)) + "."
+    rows = []
+    for k in range(900):
+        host = rng.choice(["good.org", "mixed.net", "bad.com", None])
+        bad = rng.random() < {"good.org": 0.02, "mixed.net": 0.3, "bad.com": 0.9, None: 0.5}[host]
+        rows.append((k, text(bad), host, rng.choice(["a", "b", "rare" if k % 50 == 0 else "c"]), bad))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(k, int(not bad)) for k, _, _, _, bad in rows if k % 2], "doc_id long, quality int")
+    model, scored = quality.train(df, labels, F.col("host"), F.col("path"))
+    got = by_id(quality.verdicts(scored, model))
+    unseen = [(got[k].keep, bad) for k, *_, bad in rows if k % 2 == 0]
+    assert sum(not keep for keep, bad in unseen if bad) > 0.95 * sum(bad for _, bad in unseen) and sum(keep for keep, bad in unseen if not bad) > 0.97 * sum(not bad for _, bad in unseen)
+
+    good = {k: 1 / (1 + np.exp(-got[k].evidence)) for k, *_ in rows}
+    rate = sum(good.values()) / len(good)
+
+    def shrink(groups, prior):
+        n = {g: len(v) for g, v in groups.items()}
+        m = {g: sum(good[k] for k in v) for g, v in groups.items()}
+        total, squares = sum(n.values()), sum(x * x for x in n.values())
+        spread, chance = sum(n[g] * (m[g] / n[g] - prior(g)) ** 2 for g in groups), sum(prior(g) * (1 - prior(g)) for g in groups)
+        between = (spread - chance * (len(n) - 1) / len(n)) / (total - squares / total)
+        strength = min(max(chance / len(n) / between - 1, 2.0), 1e6) if between > 0 else 1e6
+        return {g: (prior(g) * strength + m[g]) / (strength + n[g]) for g in groups}
+
+    hosts, paths = {}, {}
+    for k, _, host, path, _ in rows:
+        hosts.setdefault(host, []).append(k)
+        paths.setdefault((host, path), []).append(k)
+    host_rate = shrink(hosts, lambda g: rate)
+    path_rate = shrink(paths, lambda g: host_rate[g[0]])
+    logit = lambda p: np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for k, _, host, path, _ in rows:
+        assert got[k].host_rate == pytest.approx(host_rate[host]) and got[k].path_rate == pytest.approx(path_rate[host, path])
+        shift = min(max(logit(path_rate[host, path]) - logit(rate), -quality.MOST_SHIFT), quality.MOST_SHIFT)
+        assert got[k].posterior == pytest.approx(1 / (1 + np.exp(-got[k].evidence - shift)))
+        assert got[k].keep == (got[k].posterior >= model.threshold)
+    assert host_rate["bad.com"] < host_rate["mixed.net"] < host_rate["good.org"] and model.threshold <= quality.MOST
 
 
 @settings(max_examples=60, deadline=None)

@@ -34,7 +34,8 @@ def sites() -> dict:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels"), **sites()), **sites())
+    model, scored = quality.train(docs, table(spark, sf_dir, "labels"), **sites())
+    return quality.verdicts(scored, model)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
