@@ -13,7 +13,8 @@ from tickloom.llm.queries import sites, tokenizer
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), **sites()), **sites())
+    model, _ = quality.train(docs, table(spark, sf_dir, "labels"), **sites())
+    return quality.keep_good(docs, model, **sites())
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
