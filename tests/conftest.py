@@ -1,7 +1,10 @@
+import os
 import tempfile
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "2")  # before numpy: Spark's threads use the cores
+
 from tickloom.session import session
 
 

@@ -20,10 +20,10 @@ from tickloom.operators.labels import triple_barrier
 from tickloom.operators.metrics import metrics, report
 from tickloom.operators.risk import net_pnl, position_size
 from tickloom.operators.scan import ewm
-from tickloom.plans.guard import LiveTradingDisabled, live_allowed, route_order
+from tickloom.plans.guard import OrdersDisabled, live_allowed, route_order
 from tickloom.sources.broker import BrokerUnavailable, bar_count, fetch_bars, fetch_window
 from tickloom.sources.csv import BadBars, read_bars, write_bars
-from tickloom.sources.sample import sample_bars, walk
+from tickloom.sources.sample import sample_bars
 
 SCHEMA = "symbol string, i long, timestamp timestamp, open double, high double, low double, close double, volume double"
 T0 = datetime(2024, 1, 1)
@@ -147,7 +147,7 @@ def test_backtest_matches_a_loop(spark, seed, limit, gaps):
     assert summary.first()["halted"] == halted
     m = metrics(curve, trades, summary).first().asDict()
     assert m["num_trades"] == len(want) and math.isclose(m["final_equity"], marks[-1], rel_tol=1e-9)
-    assert report(m).count("\n") == 13
+    assert report(m).count("\n") == len(m) - 1 and f"num trades: {len(want)}" in report(m)
 
 
 def test_no_trades_give_zeros(spark):
@@ -173,8 +173,7 @@ def test_folds_are_purged(spark):
 
 def test_matrix_is_causal(spark):
     cfg = Config()
-    rows = [(t, *p) for t, *p in walk(220, seed=5)]
-    df = spark.createDataFrame([("A", i, *r) for i, r in enumerate(rows)], SCHEMA)
+    df = sample_bars(spark, rows=220, seed=5)
 
     def at(n, i):
         part = df.filter(F.col("i") < n)
@@ -216,11 +215,14 @@ def test_csv(spark, tmp_path):
 
 
 def test_sample_source(spark, tmp_path):
-    df = sample_bars(spark, rows=50, symbols=2)
-    assert df.count() == 100 and df.filter("symbol = 'XAUUSD'").orderBy("i").first().open == 2000.0
-    assert [r.close for r in df.filter("symbol = 'XAUUSD'").orderBy("i").collect()] == [b[4] for b in walk(50)]
-    write_bars(df.filter("symbol = 'XAUUSD'"), str(tmp_path / "out"))
-    assert read_bars(spark, str(tmp_path / "out"), strict=False).count() == 50
+    df = sample_bars(spark, rows=900, symbols=2)
+    rows = df.filter("symbol = 'SAMPLE'").orderBy("i").collect()
+    assert df.count() == 1800 and rows[0].open == 2000.0 and all(a.close == b.open for a, b in zip(rows, rows[1:]))
+    assert all(r.low <= min(r.open, r.close) and r.high >= max(r.open, r.close) and 1000 < r.low < r.high < 4000 for r in rows)
+    assert rows == sample_bars(spark, rows=900, symbols=5).repartition(7).filter("symbol = 'SAMPLE'").orderBy("i").collect()
+    assert rows != sample_bars(spark, rows=900, seed=8).orderBy("i").collect()
+    write_bars(df.filter("symbol = 'SAMPLE'"), str(tmp_path / "out"))
+    assert read_bars(spark, str(tmp_path / "out"), strict=False).count() == 900
 
 
 def test_config_guard_and_broker(tmp_path):
@@ -229,9 +231,9 @@ def test_config_guard_and_broker(tmp_path):
         from_dict({"features": {"atr_window": 20}})
     (tmp_path / "c.yaml").write_text("features:\n  ema_windows: [3, 4]\n  ict:\n    primary_entry: fvg\n")
     assert load_config(str(tmp_path / "c.yaml")).features.ema_windows == (3, 4)
-    live = from_dict({"execution": {"live_trading_enabled": True, "mode": "LIVE"}})
-    assert live_allowed(live) and not live_allowed(Config()) and not live_allowed(from_dict({"execution": {"live_trading_enabled": True}}))
-    with pytest.raises(LiveTradingDisabled):
+    live = from_dict({"execution": {"live_orders_enabled": True, "mode": "LIVE"}})
+    assert live_allowed(live) and not live_allowed(Config()) and not live_allowed(from_dict({"execution": {"live_orders_enabled": True}}))
+    with pytest.raises(OrdersDisabled):
         route_order(Config(), None)
     with pytest.raises(NotImplementedError):
         route_order(live, None)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from test_bars import SCHEMA, frame, noise
 
 from tickloom.config import Config
+from tickloom.operators import backtest as bt
 from tickloom.sources.bars import bars
-from tickloom.streaming.paper import FILL, Trader, paper_fills
+from tickloom.streaming.paper import opened, paper_fills, step
 from tickloom.streaming.ticks import stream_bars
 
 
@@ -23,16 +24,16 @@ def test_stream_bars_match_batch(spark):
     assert want.count() - got.count() < 20  # the last intervals are still open
 
 
-def test_paper_stream_matches_trader(spark):
+def test_paper_stream_matches_rules_and_backtest(spark):
     cfg, rng = Config(), random.Random(8)
     raw = noise(120, 8)
     df = frame(spark, raw)
     more = spark.createDataFrame([(i, rng.choice(["long", "short", "none"]), 2.0, 3.0, rng.random(), "fvg") for i in range(120)], "i long, direction string, stop_dist double, target_dist double, probability double, entry_type string")
     rows = df.join(more, "i").select("symbol", "i", "high", "low", "close", "direction", "stop_dist", "target_dist", "probability", "entry_type", F.lit(None).cast("string").alias("control"))
-    trader, fills = Trader(cfg), []
-    account = trader.start()
+    book, fills = opened(cfg), []
     for r in rows.orderBy("i").collect():
-        if fill := trader.on_bar(account, r.asDict()):
+        book, fill = step(book, r.asDict(), cfg)
+        if fill:
             fills.append((fill["entry_i"], fill["exit_i"], fill["exit_reason"], round(fill["net_pnl"], 6)))
     folder = tempfile.mkdtemp(prefix="spark-test-")
     for lo in (0, 60):
@@ -42,6 +43,16 @@ def test_paper_stream_matches_trader(spark):
     q.awaitTermination(180)
     got = [(r.entry_i, r.exit_i, r.exit_reason, round(r.net_pnl, 6)) for r in spark.table("fills").orderBy("entry_i", "exit_i").collect()]
     assert got == fills and len(fills) > 3
-    open_ = trader.start()
-    trader.on_bar(open_, {"i": 0, "high": 1.0, "low": 1.0, "close": 1.0, "direction": "long", "stop_dist": 1.0, "target_dist": 1.0, "probability": 1.0})
-    assert trader.on_bar(open_, {"i": 1, "close": 1.5, "control": "close"})["exit_reason"] == "forced"
+    trades, _, _ = bt.backtest(df.join(more, "i").withColumn("tradable", F.lit(True)), cfg)
+    batch = [(r.entry_i, r.exit_i, r.exit_reason, round(r.net_pnl, 6)) for r in trades.orderBy("entry_i").collect()]
+    assert got == batch[: len(got)] and len(batch) <= len(got) + 1  # the batch closes what is open at the end
+
+
+def test_forced_close_and_late_bars():
+    cfg = Config()
+    book, fill = step(opened(cfg), {"i": 5, "high": 1.0, "low": 1.0, "close": 1.0, "direction": "long", "stop_dist": 1.0, "target_dist": 1.0, "probability": 1.0}, cfg)
+    assert fill is None and book.open.entry_price == 1.0
+    assert step(book, {"i": 5, "high": 9.0, "low": 0.0, "close": 1.0}, cfg) == (book, None)
+    closed, fill = step(book, {"i": 6, "close": 1.5, "control": "close"}, cfg)
+    assert fill["exit_reason"] == "forced" and fill["exit_price"] == 1.5 and closed.open is None
+    assert step(closed, {"i": 7, "close": 1.5, "control": "close"}, cfg) == (closed, None)

@@ -62,12 +62,12 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--out")
         s.set_defaults(do=run)
     s = sub.add_parser("make-sample")
-    s.add_argument("--out", default="data/sample/XAUUSD_sample.csv")
+    s.add_argument("--out", default="data/sample/bars.csv")
     s.add_argument("--rows", type=int, default=300)
     s.add_argument("--seed", type=int, default=7)
     s.set_defaults(do=make_sample)
     s = sub.add_parser("fetch-mt5")
-    for name, default in (("symbol", "XAUUSD"), ("timeframe", "M15"), ("start", None), ("end", None), ("out", "data/mt5_candles.csv")):
+    for name, default in (("symbol", "SAMPLE"), ("timeframe", "M15"), ("start", None), ("end", None), ("out", "data/mt5_candles.csv")):
         s.add_argument(f"--{name}", default=default)
     s.add_argument("--days", type=int)
     s.set_defaults(do=fetch)

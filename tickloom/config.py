@@ -78,7 +78,7 @@ class Risk:
 
 @dataclass(frozen=True)
 class Execution:
-    live_trading_enabled: bool = False
+    live_orders_enabled: bool = False
     mode: str = "paper"
     broker: str = "mt5"
     magic_number: int = 20240101
@@ -86,10 +86,10 @@ class Execution:
 
 @dataclass(frozen=True)
 class Data:
-    symbol: str = "XAUUSD"
+    symbol: str = "SAMPLE"
     timeframe: str = "M5"
-    sample_csv: str = "data/sample/XAUUSD_sample.csv"
-    csv_path: str = "data/sample/XAUUSD_sample.csv"
+    sample_csv: str = "data/sample/bars.csv"
+    csv_path: str = "data/sample/bars.csv"
 
 
 @dataclass(frozen=True)

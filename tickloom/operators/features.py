@@ -14,18 +14,28 @@ from . import signals as sig
 from . import structure as st
 from . import zones as z
 
+#: The matrix's columns in order. {p}, {s}: one column for each window of returns, of averages.
+COLUMNS = """
+ret_{p} logret_{p}
+volatility
+ema_{s}_dist
+rsi macd macd_signal macd_hist atr bb_pctb bb_bandwidth channel_pos
+body_ratio upper_wick_ratio lower_wick_ratio candle_range is_doji is_hammer is_shooting_star is_bullish_engulfing is_bearish_engulfing
+ms_bias ms_bos ms_choch bars_since_bos bars_since_choch in_killzone pd_position premium
+buyside_sweep sellside_sweep dist_to_buyside dist_to_sellside dist_to_fvg dist_to_ifvg is_in_ifvg_retest signal_dir entry_is_primary
+"""
+#: The columns that come again with lags, at the end.
 LAGGED = ("ret_1", "rsi", "macd_hist", "ms_bias", "atr")
 
 
 def feature_names(cfg: Config) -> list[str]:
-    f = cfg.features
-    names = [n for p in f.return_windows for n in (f"ret_{p}", f"logret_{p}")] + ["volatility"] + [f"ema_{s}_dist" for s in f.ema_windows]
-    names += ["rsi", "macd", "macd_signal", "macd_hist", "atr", "bb_pctb", "bb_bandwidth", "channel_pos"]
-    names += ["body_ratio", "upper_wick_ratio", "lower_wick_ratio", "candle_range", "is_doji", "is_hammer", "is_shooting_star", "is_bullish_engulfing", "is_bearish_engulfing"]
-    names += ["ms_bias", "ms_bos", "ms_choch", "bars_since_bos", "bars_since_choch", "in_killzone", "pd_position", "premium"]
-    names += ["buyside_sweep", "sellside_sweep", "dist_to_buyside", "dist_to_sellside", "dist_to_fvg", "dist_to_ifvg", "is_in_ifvg_retest", "signal_dir", "entry_is_primary"]
-    lags = [f"{s}_lag{k}" for s in LAGGED if s in names for k in f.return_windows]
-    return list(dict.fromkeys(names + lags))
+    windows = {"{p}": cfg.features.return_windows, "{s}": cfg.features.ema_windows}
+    out: dict[str, None] = {}
+    for line in COLUMNS.split("\n"):
+        mark = next((m for m in windows if m in line), None)
+        for w in windows.get(mark, [""]):
+            out |= dict.fromkeys((line.replace(mark, str(w)) if mark else line).split())
+    return [*out, *(f"{c}_lag{k}" for c in LAGGED if c in out for k in dict.fromkeys(cfg.features.return_windows))]
 
 
 def base(bars: DataFrame, cfg: Config) -> DataFrame:

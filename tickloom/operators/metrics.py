@@ -49,12 +49,7 @@ def metrics(curve: DataFrame, trades: DataFrame, summary: DataFrame, bars_per_ye
 
 
 def report(m: dict) -> str:
-    """The metrics of one symbol as text."""
-    share = lambda x: f"{x * 100:.2f}%"
-    factor = "inf" if m["profit_factor"] == math.inf else f"{m['profit_factor']:.2f}"
-    rows = [
-        ("Initial capital", f"{m['initial_capital']:.2f}"), ("Final equity", f"{m['final_equity']:.2f}"), ("Total return", share(m["total_return"])), ("CAGR", share(m["cagr"])),
-        ("Sharpe (ann.)", f"{m['sharpe']:.2f}  (bars/year={m['bars_per_year']})"), ("Max drawdown", f"{share(m['max_drawdown'])}  (duration {m['max_drawdown_duration']} bars)"), ("Win rate", share(m["win_rate"])),
-        ("Avg win / loss", f"{m['avg_win']:.2f} / {m['avg_loss']:.2f}"), ("Profit factor", factor), ("Num trades", str(m["num_trades"])), ("Exposure", share(m["exposure"])), ("Trading halted", str(m["halted"])),
-    ]
-    return "\n".join(["===== Backtest Performance =====", *(f"{k:<16}: {v}" for k, v in rows), "================================"])
+    """The metrics of one symbol as text, a line each."""
+    kinds = {"%": ("total_return", "cagr", "max_drawdown", "win_rate", "exposure"), "d": ("num_trades", "max_drawdown_duration", "bars_per_year")}
+    told = lambda name, x: f"{x:.2%}" if name in kinds["%"] else f"{x:d}" if name in kinds["d"] else f"{x:.2f}" if isinstance(x, float) else str(x)
+    return "\n".join(f"{name.replace('_', ' ')}: {told(name, value)}" for name, value in m.items())

@@ -1,21 +1,21 @@
-"""Live trading: allowed only if asked for twice, and then still not built."""
+"""Real orders: allowed only if asked for twice, and then still not built."""
 
 from __future__ import annotations
 
 from ..config import Config
 
 
-class LiveTradingDisabled(RuntimeError):
+class OrdersDisabled(RuntimeError):
     pass
 
 
 def live_allowed(cfg: Config) -> bool:
-    return bool(cfg.execution.live_trading_enabled) and str(cfg.execution.mode).lower() == "live"
+    return cfg.execution.live_orders_enabled is True and str(cfg.execution.mode).strip().lower() == "live"
 
 
 def require_live(cfg: Config) -> None:
     if not live_allowed(cfg):
-        raise LiveTradingDisabled("real orders need execution.live_trading_enabled: true and execution.mode: live; both are off by default")
+        raise OrdersDisabled("real orders need execution.live_orders_enabled: true and execution.mode: live; both are off by default")
 
 
 def route_order(cfg: Config, order: object) -> None:

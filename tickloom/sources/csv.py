@@ -72,7 +72,7 @@ def unique(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("symbol", "timestamp").orderBy("_at"))).filter("_n = 1").drop("_n")
 
 
-def read_bars(spark: SparkSession, path: str, symbol: str = "XAUUSD", strict: bool = True) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, symbol: str = "SAMPLE", strict: bool = True) -> DataFrame:
     """Bars of a CSV file or folder. strict: a bad row raises; else bad rows are left out (checked() tells them)."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())

@@ -1,80 +1,46 @@
-"""A seeded random walk of bars with clustered volatility, as a Python data source: one partition a symbol."""
+"""Made-up bars for trying things out, in DataFrame operations only: every draw is a hash of (seed, symbol, bar, step), so rows are the same however they
+are dealt out, and any number of symbols is made in parallel.
+
+A bar is STEPS steps of a random walk of the log price. Volatility is one draw for each REGIME bars; every CYCLE bars the walk is bent back to where it began.
+"""
 
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Iterator
-from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bars import minutes
 
-#: Fixed values of the walk: base volatility, its persistence and reaction, the band, the level it reverts to and how strongly.
-BASE_VOL, PERSISTENCE, REACTION = 0.0025, 0.94, 0.06
-BAND, LEVEL, PULL = (1800.0, 2400.0), 2100.0, 0.001
-
-
-def walk(rows: int, seed: int = 7, start_price: float = 2000.0, start_time: str = "2023-01-02T00:00:00", timeframe: str = "M15") -> Iterator[tuple]:
-    """(timestamp, open, high, low, close, volume) of each bar. Six draws a bar in a fixed order make a seed's rows the same everywhere."""
-    rng, price, vol = random.Random(seed), float(start_price), BASE_VOL
-    begin, step = datetime.fromisoformat(start_time), timedelta(minutes=minutes(timeframe))
-    unit = BASE_VOL**2
-    for i in range(rows):
-        shock = rng.gauss(0.0, 1.0)
-        vol = math.sqrt(PERSISTENCE * vol**2 + REACTION * unit * shock**2 + (1.0 - PERSISTENCE - REACTION) * unit)
-        change = PULL * (LEVEL - price) / LEVEL + vol * rng.gauss(0.0, 1.0)
-        end = price * (1.0 + change)
-        reach = abs(price) * vol * (0.5 + rng.random())
-        high = max(price, end) + reach * rng.random()
-        low = max(min(price, end) - reach * rng.random(), 1.0)
-        if end < BAND[0]:
-            end = BAND[0] + abs(change) * end
-        elif end > BAND[1]:
-            end = BAND[1] - abs(change) * end
-        volume = round(500.0 + 4000.0 * (vol / BASE_VOL) * rng.random(), 2)
-        yield begin + i * step, round(price, 2), round(high, 2), round(low, 2), round(end, 2), volume
-        price = end
-
-
-class _Symbol(InputPartition):
-    def __init__(self, k: int) -> None:
-        self.value = k
-
-
-class SampleReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Symbol(k) for k in range(int(self.options.get("symbols", 1)))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        o, k = self.options, partition.value
-        name = o.get("symbol", "XAUUSD") + (f"_{k}" if k else "")
-        bars = walk(int(o.get("rows", 300)), int(o.get("seed", 7)) + k, float(o.get("start_price", 2000.0)), o.get("start_time", "2023-01-02T00:00:00"), o.get("timeframe", "M15"))
-        for i, (t, *prices) in enumerate(bars):
-            yield name, i, t.isoformat(), *prices
-
+STEPS, REGIME, CYCLE, STEP_VOLATILITY = 8, 40, 400, 0.0008
 
-class SampleBars(DataSource):
-    """Options: rows, seed, start_price, start_time, timeframe, symbol, symbols."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "sample_bars"
+def _uniform(*key: Column) -> Column:
+    """In (0, 1), by hash."""
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-    def schema(self) -> str:
-        return "symbol string, i long, time string, open double, high double, low double, close double, volume double"
 
-    def reader(self, schema) -> SampleReader:  # noqa: ANN001
-        return SampleReader(dict(self.options))
+def _normal(*key: Column) -> Column:
+    return F.sqrt(-2 * F.log(_uniform(*key, F.lit("r")))) * F.cos(2 * math.pi * _uniform(*key, F.lit("a")))
 
 
-def sample_bars(spark: SparkSession, **options: object) -> DataFrame:
-    spark.dataSource.register(SampleBars)
-    df = spark.read.format("sample_bars").options(**{k: str(v) for k, v in options.items()}).load()
-    return df.select("symbol", "i", F.to_timestamp("time").alias("timestamp"), "open", "high", "low", "close", "volume")
+def sample_bars(spark: SparkSession, rows: int = 300, seed: int = 7, start_price: float = 2000.0, start_time: str = "2023-01-02T00:00:00", timeframe: str = "M15", symbol: str = "SAMPLE", symbols: int = 1) -> DataFrame:
+    """Bars of symbols symbols: the first is called symbol, the others symbol_1 and so on. The first opens at start_price, and each bar opens where the one before closed."""
+    name = F.concat(F.lit(symbol), F.when(F.col("s") > 0, F.concat(F.lit("_"), F.col("s"))).otherwise(""))
+    df = spark.range(rows * symbols).select((F.col("id") / rows).cast("long").alias("s"), (F.col("id") % rows).alias("i")).withColumn("symbol", name)
+    regime = F.exp(0.5 * _normal(F.lit(seed), F.col("s"), F.floor(F.col("i") / REGIME), F.lit("v")))
+    moves = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda k: _normal(F.lit(seed), F.col("s"), F.col("i"), k))
+    df = df.withColumn("vol", regime * STEP_VOLATILITY).withColumn("moves", moves)
+    path = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: F.aggregate(F.slice("moves", 1, k), F.lit(0.0), lambda a, b: a + b) * F.col("vol"))
+    df = df.withColumn("path", path).withColumn("move", F.element_at("path", -1))
+    bars = W.partitionBy("symbol", F.floor(F.col("i") / CYCLE))
+    whole = F.sum("move").over(bars) * ((F.col("i") % CYCLE + 1) / F.count(F.lit(1)).over(bars))
+    df = df.withColumn("after", F.sum("move").over(bars.orderBy("i")) - whole).withColumn("before", F.coalesce(F.lag("after").over(W.partitionBy("symbol").orderBy("i")), F.lit(0.0)))
+    price = lambda level: F.round(F.lit(start_price) * F.exp(level), 2)
+    inside = F.transform("path", lambda x: F.col("before") + x)
+    first, last = price(F.col("before")), price(F.col("after"))
+    volume = F.round((200 + 1500 * _uniform(F.lit(seed), F.col("s"), F.col("i"), F.lit("n"))) * F.col("vol") / STEP_VOLATILITY, 2)
+    time = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(start_time))) + F.col("i") * (60 * minutes(timeframe)))
+    return df.select("symbol", "i", time.alias("timestamp"), first.alias("open"), F.greatest(price(F.array_max(inside)), first, last).alias("high"), F.least(price(F.array_min(inside)), first, last).alias("low"), last.alias("close"), volume.alias("volume"))
