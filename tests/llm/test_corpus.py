@@ -533,6 +533,16 @@ def test_near_dedup_finds_appended_cut_and_replaced_text(spark):
     assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect()) == sorted(i for i, t in rows if i % 2 == 0 or jaccard(rows[i - 1][1].split(), t.split()) < 0.8)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 400), max_size=150), st.sets(st.integers(0, 400), max_size=150))
+def test_parity_bitmaps_rule_out_no_similar_pair(a, b):
+    x, y = (np.sort(np.array([hash(("s", k)) & (1 << 63) - 1 for k in s], np.uint64)) for s in (a, b))
+    bitmaps = [near_dedup.parity(h, max(64, 1 << (near_dedup.PARITY * len(h) - 1).bit_length())).tobytes() for h in (x, y)]
+    row = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "na": [len(x)], "nb": [len(y)], "ba": bitmaps[:1], "bb": bitmaps[1:]})
+    possible = sum(r.num_rows for r in near_dedup._possible(iter([row]))) == 1
+    assert possible or len(a & b) < 0.8 * len(a | b)
+
+
 def test_near_dedup_groups_by_brute_force(spark, monkeypatch):
     """Groups of copies with random edits at many shingles in common, against all pairs; a frequent passage makes the shingles common."""
     monkeypatch.setattr(near_dedup, "SAMPLE", 1)

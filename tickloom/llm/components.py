@@ -9,14 +9,14 @@ from .common import stage
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Each node hands its neighbours (the larger ones, or the smaller ones and itself) to the least node around it. The least ones are written first, so that
-    nothing but shuffles stands below the join, and adaptive execution can split a node with very many links."""
+    """Each node hands its neighbours (the larger ones, or the smaller ones and itself) to the least node around it. For the larger ones the least are written first,
+    so that nothing but shuffles stands below the join, and adaptive execution can split a node with very many links."""
     if large:
         around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stage(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "links-least")
         new = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # every link goes from the larger node a to the smaller node b
-        least = stage(links.groupBy("a").agg(F.min("b").alias("m")), "links-least")
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
         new = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
     return new.filter("a != b").distinct()
 

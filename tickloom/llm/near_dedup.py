@@ -5,8 +5,9 @@ suspect is compared with that of its group's least text.
 
 SimHash is a first probe only. Whatever it misses is found by prefixes: in one order of all shingles, two sets of n and m with a similarity of SIMILAR share
 one of their first n - ceil(SIMILAR n) + 1 shingles at least; the first that they share leaves room, in both, for all that they must share. Texts that meet at
-such a shingle are compared with the most central text there, the one with the fewest shingles before it; then those that are not of the largest group there with
-the most central one of that. This joins groups of copies by linearly many pairs. Last come all pairs that meet and are still of different groups.
+such a shingle are compared with the most central text there, the one with the fewest shingles before it, which joins groups of copies by linearly many
+pairs; then all pairs that meet and are still of different groups. Pairs are judged by small parity bitmaps first, which rule out most that are not similar
+and none that is, then by their whole sets.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SHINGLE, SIMILAR = 5, 0.8
 FINGERPRINT, DISTANCE = 2, 8
 #: Shingles in COMMON or more of one text in SAMPLE come last in the order (a bitmap of COMMON_BITS, by hash). The order decides the cost only: any is complete.
 SAMPLE, COMMON, COMMON_BITS = 16, 3, 1 << 23
-#: Rounds in which texts that meet are compared with the largest group's most central text before all pairs are.
-ROUNDS = 2
+#: Bits of a set's parity bitmap for each shingle; the next power of two is taken.
+PARITY = 2
 
 
 @tidy
@@ -66,13 +67,31 @@ def shingle_sets(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(sizes)
 
 
+def parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap in bytes: each bit is whether an odd number of the hashes fall on it. So two bitmaps differ in no more bits than the sets do in elements."""
+    return np.packbits(np.bincount((h >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1)
+
+
 @tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All columns but the text, and the text's set."""
+    """id and digest, the text's set, its size and parity bitmap."""
     hasher = Hasher(51)
     for batch in slices(batches):
-        rest = batch.drop_columns(["text"])
-        yield rest.append_column("shingles", packed(*shingle_sets(batch.column("text"), hasher)))
+        h, size = shingle_sets(batch.column("text"), hasher)
+        ends = np.cumsum(size)
+        bits = [parity(h[z - n : z], max(64, 1 << (PARITY * n - 1).bit_length())).tobytes() for z, n in zip(ends.tolist(), size.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), packed(h, size), pa.array(size.astype(np.int32)), pa.array(bits, pa.binary())], ["id", "digest", "shingles", "size", "bits"])
+
+
+@tidy
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps do not rule them out; the longer one is folded to the shorter one's length."""
+    for batch in batches:
+        yes = []
+        for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))):
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, min(len(x), len(y))), axis=0) for v in (x, y))
+            yes.append(np.bitwise_count(x ^ y).sum() <= m + n - 2 * int(np.ceil((m + n) * SIMILAR / (1 + SIMILAR) - 1e-6)))
+        yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
 @tidy
@@ -159,9 +178,11 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of text numbers, the links (digests a, b) of those that are similar."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
     wanted = passing(texts, ids, "id").join(ids, "id", "left_semi").select("id", "digest", "text")
-    sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary").dropDuplicates(["digest"]), "near-pair-sets")
-    left, right = (sets.select(F.col("id").alias(c), F.col("digest").alias(f"d{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")
+    sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary, size int, bits binary").dropDuplicates(["digest"]), "near-pair-sets")
+    side = lambda c, *names: sets.select(F.col("id").alias(c), *[F.col(n).alias(n[0] + c if n != "size" else "n" + c) for n in names])
+    met = pairs.select("a", "b").join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b")
+    possible = stage(met.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible, "a long, b long").distinct(), "near-possible")
+    both = possible.join(side("a", "digest", "shingles"), "a").join(side("b", "digest", "shingles"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")
     return stage(both.mapInArrow(_judge, "a binary, b binary"), "near-links")
 
 
@@ -172,12 +193,9 @@ def _room(a: str, b: str) -> Column:
     return F.least(size(a) - F.col(f"{a}_pos"), size(b) - F.col(f"{b}_pos")) >= least
 
 
-def _pairs(met: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """The distinct pairs (a, b) of met that were not tested yet, staged."""
-    out = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    for t in tested:
-        out = out.join(t, ["a", "b"], "left_anti")
-    return stage(out, "near-pairs")
+def _pairs(met: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of met, staged."""
+    return stage(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
 
 
 def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
@@ -187,32 +205,18 @@ def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
     keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int, pos int")
     keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "pos", "id")
     met = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, pos int, hub long, hub_size int, hub_pos int"), "near-met")
-    texts_at = met.select("h", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"))
-    star = met.select(F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"), F.col("hub").alias("y"), F.col("hub_size").alias("y_size"), F.col("hub_pos").alias("y_pos"))
-    tested = [_pairs(star.filter((F.col("x") != F.col("y")) & _room("x", "y")).select("x", "y").unionByName(probed), [])]
-    links = _similar_pairs(tested[0], texts)
-    for _ in range(1, ROUNDS):
-        placed, groups = _placed(texts_at, links)
-        star = placed.join(groups, "h").filter((F.col("x_root") != F.col("y_root")) & _room("x", "y"))
-        tested.append(_pairs(star, tested))
-        links = links.unionByName(_similar_pairs(tested[-1], texts))
+    met = met.withColumnsRenamed({"id": "x", "size": "x_size", "pos": "x_pos", "hub": "y", "hub_size": "y_size", "hub_pos": "y_pos"})
+    star = _pairs(met.filter((F.col("x") != F.col("y")) & _room("x", "y")).select("x", "y").unionByName(probed))
+    links = _similar_pairs(star, texts)
     # Of two texts in different groups one is not in the largest group at their shingle: those texts meet all others there.
-    placed, groups = _placed(texts_at, links)
-    open_ = stage(placed.join(groups.select("h", F.col("y_root").alias("main")), "h"), "near-open")
+    roots = components(links).select(F.xxhash64("node").alias("x"), F.xxhash64("root").alias("x_root"))
+    placed = stage(met.select("h", "x", "x_size", "x_pos").join(roots, "x", "left").withColumn("x_root", F.coalesce("x_root", "x")), "near-placed")
+    groups = placed.groupBy("h", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "x_root"))["x_root"].alias("main"))
+    open_ = stage(placed.join(stage(groups.filter("groups > 1").select("h", "main"), "near-mains"), "h"), "near-open")
     other = open_.select("h", *[F.col(c).alias(c.replace("x", "y", 1)) for c in ("x", "x_size", "x_pos", "x_root")])
     apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))
-    last = _pairs(open_.filter("x_root != main").join(other, "h").filter(apart & _room("x", "y")), tested)
-    return links.unionByName(_similar_pairs(last, texts))
-
-
-def _placed(texts_at: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """texts_at with the group that links put each text in (x_root), and of each shingle that texts of several groups have: the root of the largest (y_root) and its
-    most central text there (y, y_size, y_pos)."""
-    roots = components(links).select(F.xxhash64("node").alias("x"), F.xxhash64("root").alias("x_root"))
-    placed = stage(texts_at.join(roots, "x", "left").withColumn("x_root", F.coalesce("x_root", "x")), "near-placed")
-    groups = placed.groupBy("h", "x_root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x_pos", "x", "x_size")).alias("hub"))
-    largest = groups.groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.max_by(F.struct("x_root", "hub"), F.struct("n", "x_root")).alias("g")).filter("groups > 1")
-    return placed, stage(largest.select("h", F.col("g.x_root").alias("y_root"), F.col("g.hub.x").alias("y"), F.col("g.hub.x_size").alias("y_size"), F.col("g.hub.x_pos").alias("y_pos")), "near-groups-at")
+    last = _pairs(open_.filter("x_root != main").join(other, "h").filter(apart & _room("x", "y"))).join(star, ["a", "b"], "left_anti")
+    return links.unionByName(_similar_pairs(stage(last, "near-last"), texts))
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
