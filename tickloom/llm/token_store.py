@@ -26,7 +26,7 @@ SHARD_IDS = 1 << 20
 END_ID = 2
 SCHEMA = "part int, shard int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
 #: Bytes of text that are encoded at once, and pieces that a Python worker remembers the ids of; longer pieces than so many bytes are not remembered.
-ENCODE_BYTES, REMEMBERED, LONGEST = 6 << 20, 1 << 20, 128
+ENCODE_BYTES, REMEMBERED, LONGEST = 2 << 20, 1 << 20, 128
 
 _BYTE = np.arange(256)
 _LETTER = (_BYTE >= 65) & (_BYTE <= 90) | (_BYTE >= 97) & (_BYTE <= 122)
