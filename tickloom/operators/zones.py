@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.series import lagged
-from .intervals import first_after, matches
+from .intervals import first_after
 
 
 def _touches(low: str, high: str) -> Column:
@@ -42,9 +43,22 @@ def inverted(zones: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def distance_to_nearest(df: DataFrame, zones: DataFrame, name: str) -> DataFrame:
-    """Adds name: the gap, in ATR, between close and the nearest zone created so far (0 inside one; zones never end). Null without ATR or zone. df: with atr."""
-    ends = df.groupBy("symbol").agg(F.max("i").alias("_end"))
-    priced = df.filter("close is not null and atr > 0").select("symbol", "i", "close", "atr")
-    gap = F.greatest(F.lit(0.0), F.col("close") - F.col("top"), F.col("bottom") - F.col("close"))
-    near = matches(zones.select("symbol", "top", "bottom", "created_i").join(ends, "symbol"), priced, F.col("created_i"), F.col("_end")).groupBy("symbol", "i").agg((F.min(gap) / F.first("atr")).alias(name))
-    return df.join(near, ["symbol", "i"], "left")
+    """Adds name: the gap, in ATR, between close and the nearest zone created so far (0 inside one; zones never end). Null without ATR or zone. df: with atr.
+
+    The bars up to i are as many dyadic blocks as i + 1 has bits set; a zone stands in one block of each level. In a block zones and closes are put in one order by
+    price: of the zones that begin at a close or below, the highest top is at the close or above (the close lies in a zone) or is the nearest one below;
+    the next zone to begin is the nearest one above. So bars times levels rows are sorted, and no zone meets all later bars.
+    """
+    priced = df.filter("close is not null and atr > 0").select("symbol", "i", "close")
+    levels = df.groupBy("symbol").agg(F.max("i").alias("_end"))
+    placed = zones.select("symbol", "top", "bottom", "created_i").join(levels, "symbol").withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_end") + 1)).cast("int"))))
+    none = F.lit(None).cast("double")
+    placed = placed.select("symbol", "level", F.expr("shiftright(created_i, level)").alias("block"), F.col("bottom").alias("price"), F.lit(0).alias("kind"), "top", "bottom", F.lit(None).cast("long").alias("i"))
+    bits = F.filter(F.sequence(F.lit(0), F.floor(F.log2(F.col("i") + 1)).cast("int")), lambda k: F.expr("i + 1").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+    asked = priced.withColumn("level", F.explode(bits)).select("symbol", "level", (F.expr("shiftright(i + 1, level)") - 1).alias("block"), F.col("close").alias("price"), F.lit(1).alias("kind"), none.alias("top"), none.alias("bottom"), "i")
+    by_price = W.partitionBy("symbol", "level", "block").orderBy("price", "kind")
+    met = placed.unionByName(asked).withColumns({"below": F.max("top").over(by_price.rowsBetween(W.unboundedPreceding, 0)), "above": F.min("bottom").over(by_price.rowsBetween(0, W.unboundedFollowing))})
+    near = met.filter("kind = 1").groupBy("symbol", "i").agg(F.max("below").alias("_below"), F.min("above").alias("_above"))
+    inside, c = F.col("_below") >= F.col("close"), F.col("close")
+    gap = F.when(inside, 0.0).otherwise(F.least(c - F.col("_below"), F.col("_above") - c))
+    return df.join(near, ["symbol", "i"], "left").withColumn(name, F.when(F.col("atr") > 0, gap / F.when(F.col("atr") > 0, F.col("atr")))).drop("_below", "_above")
