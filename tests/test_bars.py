@@ -14,6 +14,7 @@ from tickloom.operators import features as ft
 from tickloom.operators import folds as fd
 from tickloom.operators import indicators as ind
 from tickloom.operators import model as md
+from tickloom.operators import scan
 from tickloom.operators import structure as st
 from tickloom.operators import zones as z
 from tickloom.operators.labels import triple_barrier
@@ -51,6 +52,9 @@ def noise(n, seed, gaps=0.0):
     return out
 
 
+#: The hand-made candles of the tests below show each rule at its edge.
+
+
 def of_closes(xs):
     return [(x, None if x is None else x + 1, None if x is None else x - 1, x) for x in xs]
 
@@ -80,6 +84,26 @@ def test_long_recurrence_crosses_blocks(spark):
     assert close(column(adjusted, "y"), [None, 1.0, 1.0, (3 + 0.5) / 1.5])
 
 
+def test_blocks_with_gaps_and_a_hot_symbol(spark, monkeypatch):
+    """Short blocks, many of them without a value; a symbol's bars lie in several partitions when the recurrence runs."""
+    monkeypatch.setattr(scan, "BLOCK", 16)
+    for gaps in (0.0, 0.5, 0.97):
+        xs = [b[3] for b in noise(700, 9, gaps)]
+        df = frame(spark, of_closes(xs))
+        for alpha in (0.01, 0.3):
+            assert close(column(ewm(df, "y", F.col("close"), alpha=alpha), "y"), loops.ema(xs, alpha))
+    plan = ewm(frame(spark, of_closes([1.0] * 700)), "y", F.col("close"), alpha=0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and "_block" in plan.split("hashpartitioning(symbol")[1][:40]
+
+
+def test_distance_by_brute_force(spark):
+    rng, bars = random.Random(3), noise(300, 12)
+    zones = [(rng.randint(0, 299), *sorted((rng.uniform(70, 130), rng.uniform(70, 130)))) for _ in range(40)] + [(10, 100.0, 100.0)]
+    zf = spark.createDataFrame([("A", hi, lo, c) for c, lo, hi in zones], "symbol string, top double, bottom double, created_i long")
+    want = [min((max(0.0, b[3] - hi, lo - b[3]) / 2 for c, lo, hi in zones if c <= i), default=None) for i, b in enumerate(bars)]
+    assert close(column(z.distance_to_nearest(frame(spark, bars).withColumn("atr", F.lit(2.0)), zf, "d"), "d"), want)
+
+
 def test_short_series_and_constant_closes(spark):
     df = ind.macd(ind.rsi(ind.atr(frame(spark, of_closes([5.0] * 10)))))
     assert set(column(df, "rsi")) == set(column(df, "atr")) == set(column(df, "macd")) == {None}

@@ -45,14 +45,14 @@ def base(bars: DataFrame, cfg: Config) -> DataFrame:
 
 def with_signals(df: DataFrame, cfg: Config) -> tuple[DataFrame, dict[str, DataFrame]]:
     """df with signals, and the zones, all kept."""
-    found = sig.all_zones(df, cfg)
+    found = sig.all_zones(df, cfg, kept)
     return kept(sig.signals(df, cfg, found)), found
 
 
 def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> DataFrame:
     """symbol, i, timestamp, close, feature_names() as doubles, warmup. df: base() with signals."""
     f, ict = cfg.features, cfg.features.ict
-    names = feature_names(cfg)
+    names, bars = feature_names(cfg), df
     if "ret_1" not in names:
         df = df.withColumn("ret_1", F.lit(None).cast("double"))
     df = ind.volatility(ind.returns(df, f.return_windows), f.bb_window)
@@ -72,8 +72,8 @@ def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> D
     }
     df = df.withColumns(more)
     df = df.withColumns({f"{s}_lag{k}": lagged(F.col(s).cast("double"), k) for s in LAGGED for k in f.return_windows})
-    df = z.distance_to_nearest(df, zones["fvg"], "dist_to_fvg")
-    df = z.distance_to_nearest(df, zones["ifvg"], "dist_to_ifvg") if ict.ifvg_enabled else df.withColumn("dist_to_ifvg", F.lit(None).cast("double"))
+    df = df.join(z.distances(bars, zones["fvg"], "dist_to_fvg"), ["symbol", "i"], "left")
+    df = df.join(z.distances(bars, zones["ifvg"], "dist_to_ifvg"), ["symbol", "i"], "left") if ict.ifvg_enabled else df.withColumn("dist_to_ifvg", F.lit(None).cast("double"))
     lacks = F.lit(False)
     for n in names:
         lacks = lacks | F.col(n).isNull()

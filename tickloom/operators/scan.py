@@ -1,7 +1,8 @@
 """Linear recurrences y = a x + (1 - a) y' without a loop and without Python: a scan over blocks.
 
-Within a block the recurrence is a running sum of x weighted by powers of the decay; what came before enters through the last value of the block
-before. A block is as long as doubles can hold its powers (about exp(300)), so that older blocks no longer count.
+Within a block of bars the recurrence from zero is a running sum of x weighted by powers of the decay; a block is as short as doubles need to hold them. A
+table with one row a block then tells what each block starts from: what the blocks before it end with, decayed, as far back as it counts (about exp(-300)). Bars are
+partitioned by symbol and block, so one symbol with most of the bars spreads over all tasks; only the small table is put in order by symbol.
 """
 
 from __future__ import annotations
@@ -12,31 +13,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.series import before, up_to_now, last_known
+#: Bars of a block at most, and the exponent that doubles hold.
+BLOCK, HELD = 1024, 300
 
 
-def smoothed(df: DataFrame, columns: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Adds each named column: its input (seeded by its first value) smoothed with its weight a. A null input carries the value before on."""
+def _reach(a: float) -> int:
+    """Values after which one is decayed by exp(-HELD)."""
+    return max(1, math.ceil(HELD / -math.log(1 - a))) if a < 1 else 1
+
+
+def smoothed(df: DataFrame, columns: dict[str, tuple[Column, float]], seeded: bool = True) -> DataFrame:
+    """Adds each named column: its input smoothed with its weight a. A null input carries the value before on. It begins as the first input, or, not seeded, from zero."""
     if any(not 0 < a <= 1 for _, a in columns.values()):
         raise ValueError("weights are above 0, and 1 at most")
-    kept = df.columns
-    df = df.withColumns({f"_x_{n}": x.cast("double") for n, (x, _) in columns.items()})
-    df = df.withColumns({f"_k_{n}": F.count(f"_x_{n}").over(up_to_now()) - 1 for n in columns})
-    local, carry, out = {}, {}, {}
-    for n, (_, a) in columns.items():
-        x, k = F.col(f"_x_{n}"), F.col(f"_k_{n}")
-        if a == 1:
-            local[f"_l_{n}"], carry[f"_c_{n}"], out[n] = x, F.lit(0.0), last_known(F.col(f"_l_{n}"))
-            continue
-        decay = 1 - a
-        length = max(1, int(300 / -math.log(decay)))
-        step, block = (k % length).cast("double"), F.floor(k / length)
-        term = F.when(k == 0, x).otherwise(x * a) * F.pow(F.lit(decay), -step)
-        frame = W.partitionBy("symbol", block).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-        local[f"_l_{n}"] = F.when(x.isNotNull(), F.pow(F.lit(decay), step) * F.sum(F.when(x.isNotNull(), term)).over(frame))
-        carry[f"_c_{n}"] = F.coalesce(last_known(F.when(k % length == length - 1, F.col(f"_l_{n}")), before()), F.lit(0.0))
-        out[n] = last_known(F.col(f"_l_{n}") + F.pow(F.lit(decay), step + 1) * F.col(f"_c_{n}"))
-    return df.withColumns(local).withColumns(carry).withColumns(out).select(*kept, *columns)
+    kept, weight = df.columns, {n: a for n, (_, a) in columns.items()}
+    length = min(BLOCK, *(_reach(a) for a in weight.values() if a < 1), BLOCK)
+    df = df.withColumns({f"_x_{n}": x.cast("double") for n, (x, _) in columns.items()}).withColumn("_block", F.floor(F.col("i") / length))
+    inside = W.partitionBy("symbol", "_block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({f"_k_{n}": F.count(f"_x_{n}").over(inside) for n in columns})
+    df = df.withColumns({f"_l_{n}": _local(n, a, inside) for n, a in weight.items()})
+    ends = [e for n in columns for e in (F.count(f"_x_{n}").alias(f"_n_{n}"), F.max_by(f"_l_{n}", "i").alias(f"_c_{n}"), F.min(F.when(F.col(f"_x_{n}").isNotNull(), F.struct("i", f"_x_{n}")))[f"_x_{n}"].alias(f"_f_{n}"))]
+    table = df.groupBy("symbol", "_block").agg(*ends)
+    for n, a in weight.items():
+        table = _carried(table, n, a, length, seeded)
+    df = df.join(table.select("symbol", "_block", *[f"_{c}_{n}" for n in columns for c in ("s", "t")]), ["symbol", "_block"])
+    out = {n: F.when(F.col(f"_t_{n}") + F.col(f"_k_{n}") > 0, F.pow(F.lit(1 - a), F.col(f"_k_{n}").cast("double")) * F.col(f"_s_{n}") + F.col(f"_l_{n}")) for n, a in weight.items()}
+    return df.withColumns(out).select(*kept, *columns)
+
+
+def _local(n: str, a: float, inside: W) -> Column:
+    """What the block's values so far come to, from zero."""
+    x, k = F.col(f"_x_{n}"), F.col(f"_k_{n}").cast("double")
+    if a == 1:
+        return F.coalesce(F.last(x, ignorenulls=True).over(inside), F.lit(0.0))
+    decay = F.lit(1 - a)
+    return F.coalesce(F.pow(decay, k) * F.sum(F.when(x.isNotNull(), x * a * F.pow(decay, -k))).over(inside), F.lit(0.0))
+
+
+def _carried(table: DataFrame, n: str, a: float, length: int, seeded: bool) -> DataFrame:
+    """Adds the values before each block (_t) and what the recurrence has come to there (_s)."""
+    blocks, decay = W.partitionBy("symbol").orderBy("_block"), F.lit(1 - a)
+    table = table.withColumn(f"_t_{n}", F.coalesce(F.sum(f"_n_{n}").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = F.col(f"_t_{n}")
+    recent = W.partitionBy("symbol").orderBy(before).rangeBetween(-_reach(a) - length, -1)
+    ended = F.collect_list(F.struct((before + F.col(f"_n_{n}")).alias("at"), F.col(f"_c_{n}").alias("value"))).over(recent)
+    table = table.withColumn("_ended", ended)
+    sum_ = F.aggregate("_ended", F.lit(0.0), lambda s, e: s + e["value"] * F.pow(decay, (before - e["at"]).cast("double")))
+    first = F.first(f"_f_{n}", ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    start = F.coalesce(first, F.lit(0.0)) * F.pow(decay, before.cast("double")) if seeded else F.lit(0.0)
+    return table.withColumn(f"_s_{n}", sum_ + start).drop("_ended")
 
 
 def ewm(df: DataFrame, name: str, x: Column, span: float | None = None, alpha: float | None = None, adjust: bool = False) -> DataFrame:
@@ -44,9 +69,6 @@ def ewm(df: DataFrame, name: str, x: Column, span: float | None = None, alpha: f
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
     if not adjust:
         return smoothed(df, {name: (x, a)})
-    # with the seed weighted a like the rest, both sums start from zero: scale the first value
     kept = df.columns
-    df = df.withColumn("_v", x.cast("double")).withColumn("_n", F.count("_v").over(up_to_now()))
-    first = F.when((F.col("_n") == 1) & F.col("_v").isNotNull(), F.lit(a)).otherwise(1.0)
-    both = smoothed(df, {"_num": (F.col("_v") * first, a), "_den": (F.when(F.col("_v").isNotNull(), first), a)})
+    both = smoothed(df, {"_num": (x, a), "_den": (F.when(x.isNotNull(), 1.0), a)}, seeded=False)
     return both.withColumn(name, F.try_divide(F.col("_num"), F.col("_den"))).select(*kept, name)

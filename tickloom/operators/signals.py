@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..staging import kept
 from . import zones as z
-from .intervals import binned, matches, spread
+from .intervals import binned, matches, possible
 from .structure import order_blocks
 
 TRIGGERS = ("ifvg", "fvg", "order_block")
@@ -34,21 +34,21 @@ def _hits(pairs: DataFrame, order: str, trigger: str) -> DataFrame:
 def _block_hits(blocks: DataFrame, bars: DataFrame) -> DataFrame:
     """Order blocks never end: bins whose widened range does not meet a block are passed over before their bars are."""
     ends = bars.groupBy("symbol").agg(F.max("i").alias("_end"))
-    reach = binned(bars).groupBy("symbol", "bin").agg(F.min(F.col("low") - F.col("tol")).alias("bin_low"), F.max(F.col("high") + F.col("tol")).alias("bin_high"))
-    wide = spread(blocks.filter("top is not null and bottom is not null").join(ends, "symbol"), F.col("created_i") + 1, F.col("_end")).drop("_end")
-    wide = wide.join(reach, ["symbol", "bin"]).filter("bin_low <= top and bin_high >= bottom").drop("bin_low", "bin_high")
+    reach = bars.select("symbol", "i", (F.col("low") - F.col("tol")).alias("low"), (F.col("high") + F.col("tol")).alias("high"), F.lit(None).cast("double").alias("close"))
+    open_ = blocks.filter("top is not null and bottom is not null").join(ends, "symbol")
+    wide = possible(open_, reach, F.col("created_i") + 1, F.col("_end"), (F.col("bin_low") <= F.col("top")) & (F.col("bin_high") >= F.col("bottom"))).drop("_end")
     return _hits(wide.join(binned(bars), ["symbol", "bin"]).filter("i between _lo and _hi"), "created_i", "order_block")
 
 
-def all_zones(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
-    """fvg and ifvg (with source_i and mitigated_i) and order_block. df: with atr and market_structure()."""
+def all_zones(df: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda zones: zones) -> dict[str, DataFrame]:
+    """fvg and ifvg (with source_i and mitigated_i) and order_block. df: with atr and market_structure(). keep: what is done with each frame, to write it for one."""
     ict = cfg.features.ict
-    gaps = kept(z.gaps(df, ict.fvg_min_gap_atr))
-    ifvg = z.inverted(gaps, df)
+    gaps = keep(z.gaps(df, ict.fvg_min_gap_atr))
+    ifvg = keep(z.inverted(gaps, df))
     return {
-        "fvg": z.mitigated(gaps.withColumn("source_i", F.col("created_i")), df, ["symbol", "created_i"]),
-        "ifvg": z.mitigated(ifvg, df, ["symbol", "source_i"]),
-        "order_block": kept(order_blocks(df, ict.order_block_lookback)),
+        "fvg": keep(z.mitigated(gaps.withColumn("source_i", F.col("created_i")), df, ["symbol", "created_i"])),
+        "ifvg": keep(z.mitigated(ifvg, df, ["symbol", "source_i"])),
+        "order_block": keep(order_blocks(df, ict.order_block_lookback)),
     }
 
 

@@ -94,6 +94,7 @@ CTE: dict[str, str] = {
     "lab": """SELECT c.symbol, c.i, coalesce(arg_min(CASE WHEN stopped THEN -1 ELSE 1 END, x.j), 0) AS label, coalesce(min(x.j) - c.i, 24) AS horizon_used FROM cand c LEFT JOIN (
         SELECT c.symbol, c.i, b.i AS j, CASE WHEN s > 0 THEN b.low <= c.close - c.atr ELSE b.high >= c.close + c.atr END AS stopped, CASE WHEN s > 0 THEN b.high >= c.close + 2 * c.atr ELSE b.low <= c.close - 2 * c.atr END AS reached
         FROM cand c JOIN bars b ON b.symbol = c.symbol AND b.i BETWEEN c.i + 1 AND c.i + 24 WHERE stopped OR reached) x ON x.symbol = c.symbol AND x.i = c.i GROUP BY c.symbol, c.i""",
+    "sale": "SELECT symbol, i, b.close, atr FROM osc JOIN bars b USING (symbol, i) JOIN ends USING (symbol) WHERE atr > 0 AND i + 12 < n",
     "sizes": "SELECT symbol, n, least(2000, greatest(50, floor(n * 0.6)))::BIGINT AS tr, least(500, greatest(20, floor(n * 0.2)))::BIGINT AS te FROM ends",
     "blocks": "SELECT symbol, k AS fold, 0::BIGINT AS train_lo, (tr + k * te)::BIGINT AS train_hi, (tr + 24 + k * te)::BIGINT AS test_lo, (tr + 24 + k * te + te)::BIGINT AS test_hi FROM sizes, (SELECT unnest(range(0, 200)) AS k) WHERE tr + 24 + k * te + te <= n",
     "folds": "SELECT symbol, fold, train_lo, train_hi, test_lo, test_hi FROM blocks UNION ALL SELECT symbol, 0, 0, greatest(1, greatest(1, n - te) - 24), greatest(1, n - te), n FROM sizes WHERE symbol NOT IN (SELECT symbol FROM blocks) AND greatest(1, n - te) < n",

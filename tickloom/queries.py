@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ from .operators.risk import net_pnl, position_size
 from .operators.scan import ewm
 from .oracles import sql
 from .plans.research import prepared
-from .sources.bars import event_bars, order_bars
-from .sources.csv import checked, unique
-from .staging import kept
+from .sources.bars import bars, event_bars, order_bars
+from .sources.csv import checked, read_bars, unique
+from .staging import kept, shared_dir
 
 CFG = Config()
 KEY = ("symbol", "i")
@@ -205,13 +207,13 @@ def fvg(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {_ZONE}, mitigated_i FROM fvgm")
 def fvg_mitigation(spark: SparkSession, d: str) -> DataFrame:
     df = _base(spark, d)
-    return _zone(z.mitigated(z.gaps(df), df, ["symbol", "created_i"]), "mitigated_i")
+    return _zone(z.mitigated(kept(z.gaps(df)), df, ["symbol", "created_i"]), "mitigated_i")
 
 
 @query(f"SELECT {_ZONE}, source_i FROM ifvg")
 def ifvg(spark: SparkSession, d: str) -> DataFrame:
     df = _base(spark, d)
-    return _zone(z.inverted(z.gaps(df), df), "source_i")
+    return _zone(z.inverted(kept(z.gaps(df)), df), "source_i")
 
 
 @query(f"SELECT {_ZONE}, source_i FROM ob")
@@ -232,8 +234,10 @@ def liquidity_sweeps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT b.symbol, b.i, round(dist_to_fvg, 6) AS dist_to_fvg, round(dist_to_ifvg, 6) AS dist_to_ifvg FROM bars b LEFT JOIN zdist USING (symbol, i)")
 def dist_to_zone(spark: SparkSession, d: str) -> DataFrame:
     df = _base(spark, d)
-    gaps = z.gaps(df)
-    return rounded(z.distance_to_nearest(z.distance_to_nearest(df, gaps, "dist_to_fvg"), z.inverted(gaps, df), "dist_to_ifvg"), "dist_to_fvg", "dist_to_ifvg")
+    gaps = kept(z.gaps(df))
+    for zones, name in ((gaps, "dist_to_fvg"), (kept(z.inverted(gaps, df)), "dist_to_ifvg")):
+        df = df.join(z.distances(df.select("symbol", "i", "close", "atr"), zones, name), ["symbol", "i"], "left")
+    return rounded(df, "dist_to_fvg", "dist_to_ifvg")
 
 
 # ---------------------------------------------------------------- signals, labels, folds, features
@@ -248,6 +252,15 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).select(*KEY, "direction", "entry_type", *[r6(c) for c in ("entry_price", "stop_dist", "target_dist", "zone_top", "zone_bottom")])
 
 
+@query("""SELECT symbol, i, CASE type WHEN 'bullish' THEN 'long' ELSE 'short' END AS direction, kind AS entry_type, round(top, 6) AS zone_top, round(bottom, 6) AS zone_bottom FROM hits
+    QUALIFY row_number() OVER (PARTITION BY symbol, i ORDER BY CASE kind WHEN 'fvg' THEN 0 WHEN 'ifvg' THEN 1 ELSE 2 END, source_i) = 1""")
+def signals_fvg_first(spark: SparkSession, d: str) -> DataFrame:
+    """The signals of another primary trigger."""
+    cfg = replace(CFG, features=replace(CFG.features, ict=replace(CFG.features.ict, primary_entry="fvg")))
+    found = ft.with_signals(_base(spark, d), cfg)[0].filter("direction != 'none'")
+    return found.select(*KEY, "direction", "entry_type", r6("zone_top"), r6("zone_bottom"))
+
+
 @query("SELECT symbol, direction, entry_type, count(*) AS n FROM sigs GROUP BY ALL")
 def signal_counts(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).groupBy("symbol", "direction", "entry_type").agg(F.count(F.lit(1)).alias("n"))
@@ -268,6 +281,20 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).filter("label is not null").groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("horizon_used"), "mean_horizon"))
 
 
+@query("""SELECT c.symbol, c.i, coalesce(arg_min(CASE WHEN b.high >= c.close + c.atr THEN -1 ELSE 1 END, b.i), 0) AS label, coalesce(min(b.i) - c.i, 12) AS horizon_used
+    FROM sale c LEFT JOIN bars b ON b.symbol = c.symbol AND b.i BETWEEN c.i + 1 AND c.i + 12 AND (b.high >= c.close + c.atr OR b.low <= c.close - 1.5 * c.atr) GROUP BY c.symbol, c.i""")
+def triple_barrier_short(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of a sale at every bar, other barriers and horizon."""
+    found = triple_barrier(kept(ind.atr(event_bars(spark, d))), 1.5, 1.0, 12, F.lit(" Sell "))
+    return found.filter("label is not null").select(*KEY, "label", "horizon_used")
+
+
+@query("""SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY k) - 1 AS fold, greatest(0, k * 60) AS train_lo, 200 + k * 60 AS train_hi, 224 + k * 60 AS test_lo, 284 + k * 60 AS test_hi
+    FROM ends, (SELECT unnest(range(0, 2000)) AS k) WHERE 284 + k * 60 <= n""")
+def walk_forward_rolling(spark: SparkSession, d: str) -> DataFrame:
+    return fd.walk_forward(event_bars(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), 200, 60, 10, 24, "rolling")
+
+
 @query("SELECT symbol, fold, train_lo, train_hi, test_lo, test_hi FROM folds")
 def walk_forward_folds(spark: SparkSession, d: str) -> DataFrame:
     return fd.adaptive(event_bars(spark, d), CFG)
@@ -359,16 +386,18 @@ def drawdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT symbol, 10000.0::DOUBLE AS initial_capital, round(10000 + coalesce(net, 0), 6) AS final_equity, round((10000 + coalesce(net, 0)) / 10000 - 1, 6) AS total_return,
+    round(CASE WHEN 10000 + coalesce(net, 0) > 0 AND years > 0 THEN power((10000 + coalesce(net, 0)) / 10000, 1 / years) - 1 ELSE 0 END, 6) AS cagr, 24192 AS bars_per_year,
     round(CASE WHEN std > 0 THEN mean / std * sqrt(24192) ELSE 0 END, 6) AS sharpe, round(mdd, 6) AS max_drawdown, CASE WHEN mdd > 0 THEN mdur ELSE 0 END AS max_drawdown_duration, coalesce(num_trades, 0) AS num_trades,
     round(coalesce(wins / num_trades, 0), 6) AS win_rate, round(coalesce(avg_win, 0), 6) AS avg_win, round(coalesce(avg_loss, 0), 6) AS avg_loss, round(CASE WHEN lost > 0 THEN coalesce(profit, 0) / lost WHEN profit > 0 THEN 'infinity'::DOUBLE ELSE 0 END, 6) AS profit_factor,
     round(exposure, 6) AS exposure, symbol IN (SELECT symbol FROM stopped) AS halted
   FROM (SELECT symbol, avg(ret) AS mean, stddev_samp(ret) AS std, max(dd) AS mdd, arg_max(i - peak_i, dd * 1e9 - i * 1e-9) AS mdur, avg(in_market::INTEGER) AS exposure FROM dd GROUP BY symbol)
+  JOIN (SELECT symbol, (epoch(max(timestamp)) - epoch(min(timestamp))) / 31557600.0 AS years FROM dd GROUP BY symbol) USING (symbol)
   LEFT JOIN (SELECT symbol, sum(net) AS net, count(*) AS num_trades, count(*) FILTER (net > 0) AS wins, avg(net) FILTER (net > 0) AS avg_win, avg(net) FILTER (net < 0) AS avg_loss, sum(net) FILTER (net > 0) AS profit, -sum(net) FILTER (net < 0) AS lost FROM trades GROUP BY symbol) t USING (symbol)""")
 def performance(spark: SparkSession, d: str) -> DataFrame:
     trades, curve, summary = _backtest(spark, d)
     m = metrics(curve, trades, summary)
-    whole = ("symbol", "max_drawdown_duration", "num_trades", "halted")
-    return m.drop("cagr", "bars_per_year").select(*[c if c in whole else r6(c) for c in m.columns if c not in ("cagr", "bars_per_year")])
+    whole = ("symbol", "bars_per_year", "max_drawdown_duration", "num_trades", "halted")
+    return m.select(*[c if c in whole else r6(c) for c in m.columns])
 
 
 # ---------------------------------------------------------------- cleaning
@@ -385,6 +414,19 @@ def csv_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.coalesce("error", F.lit("ok")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("open"), 4).alias("total"))
 
 
+@query("""SELECT 'FILE' AS symbol, row_number() OVER (ORDER BY date_trunc('hour', ts)) - 1 AS i, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS time, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high,
+    round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*)::DOUBLE AS volume FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY date_trunc('hour', ts)""")
+def csv_files(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of all events, written as CSV files with odd headers, times day first and spaces around, and read back."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    made = bars(e, F.lit("all"), F.col("ts"), F.col("value"), F.col("event_id"))
+    text = made.select(F.date_format("timestamp", " dd/MM/yyyy HH:mm:ss").alias("Date"), F.lit("x").alias("note"), F.concat(F.lit(" "), F.col("open")).alias("O"), F.col("high").alias("H"), F.col("low").alias("Low"), F.col("close").alias("Adj Close"), F.col("volume").cast("long").alias("TickVol"))
+    folder = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
+    text.repartition(4, "Date").write.csv(folder, header=True, ignoreLeadingWhiteSpace=False)
+    back = read_bars(spark, folder, "FILE")
+    return back.select(*KEY, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("time"), *[r6(c) for c in ("open", "high", "low", "close", "volume")])
+
+
 @query("SELECT event_type AS symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS time, min(event_id) AS kept, round(arg_min(value, event_id), 6) AS value FROM events GROUP BY ALL")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_id").alias("_at"), "value")
