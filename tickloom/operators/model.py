@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 
 import numpy as np
@@ -96,7 +95,3 @@ def save(models: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
-
-
-def to_json(model: dict) -> str:
-    return json.dumps(model)

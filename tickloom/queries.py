@@ -347,6 +347,14 @@ def model_train(spark: SparkSession, d: str) -> DataFrame:
     return md.train(matrix, folds, NAMES, CFG).select("symbol", "fold", F.size("classes").alias("classes"), r6(F.aggregate(F.flatten("weights"), F.lit(0.0), lambda a, w: a + F.abs(w)), "weight"), F.transform("bias", lambda b: F.round(b, 6)).alias("bias"))
 
 
+@query(None)
+def fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each fold's model trained and its test bars scored; folds without a model give 1."""
+    df, matrix = prepared(event_bars(spark, d), CFG)
+    folds, matrix = kept(fd.adaptive(df, CFG)), kept(matrix)
+    return md.score(matrix, folds, kept(md.train(matrix, folds, NAMES, CFG)), NAMES).select(*KEY, r6("probability"))
+
+
 @query("SELECT symbol, i, round(CASE WHEN atr > 0 THEN least(0.01 * 10000 / (atr * 100), 1) ELSE 0 END, 6) AS lots FROM osc")
 def position_sizing(spark: SparkSession, d: str) -> DataFrame:
     r = CFG.risk
