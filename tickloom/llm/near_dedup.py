@@ -32,7 +32,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: its shingles, so texts that share 0.8 of their five-word shingles mostly stay within 8 of 64 bits.
 FINGERPRINT, DISTANCE = 2, 8
 #: Shingles in COMMON or more of one text in SAMPLE come last in the order (a bitmap of COMMON_BITS, by hash). The order decides the cost only: any is complete.
-SAMPLE, COMMON, COMMON_BITS = 16, 3, 1 << 23
+SAMPLE, COMMON, COMMON_BITS = 8, 2, 1 << 26
 #: Bits of a set's parity bitmap for each shingle; the next power of two is taken.
 PARITY = 2
 
@@ -74,13 +74,21 @@ def parity(h: np.ndarray, bits: int) -> np.ndarray:
 
 @tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and digest, the text's set, its size and parity bitmap."""
+    """id, digest and the text's set."""
+    hasher = Hasher(51)
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), packed(*shingle_sets(batch.column("text"), hasher))], ["id", "digest", "shingles"])
+
+
+@tidy
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, the size of the text's set and its parity bitmap."""
     hasher = Hasher(51)
     for batch in slices(batches):
         h, size = shingle_sets(batch.column("text"), hasher)
         ends = np.cumsum(size)
         bits = [parity(h[z - n : z], max(64, 1 << (PARITY * n - 1).bit_length())).tobytes() for z, n in zip(ends.tolist(), size.tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), packed(h, size), pa.array(size.astype(np.int32)), pa.array(bits, pa.binary())], ["id", "digest", "shingles", "size", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int32)), pa.array(bits, pa.binary())], ["id", "size", "bits"])
 
 
 @tidy
@@ -174,15 +182,15 @@ def _common(texts: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of text numbers, the links (digests a, b) of those that are similar."""
-    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    wanted = passing(texts, ids, "id").join(ids, "id", "left_semi").select("id", "digest", "text")
-    sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary, size int, bits binary").dropDuplicates(["digest"]), "near-pair-sets")
-    side = lambda c, *names: sets.select(F.col("id").alias(c), *[F.col(n).alias(n[0] + c if n != "size" else "n" + c) for n in names])
-    met = pairs.select("a", "b").join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b")
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of text numbers, the links (digests a, b) of those that are similar. Only texts that their bitmaps leave possible are shuffled."""
+    side = lambda df, c, **names: df.select(F.col("id").alias(c), *[F.col(old).alias(new) for new, old in names.items()])
+    met = pairs.select("a", "b").join(side(sketches, "a", na="size", ba="bits"), "a").join(side(sketches, "b", nb="size", bb="bits"), "b")
     possible = stage(met.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible, "a long, b long").distinct(), "near-possible")
-    both = possible.join(side("a", "digest", "shingles"), "a").join(side("b", "digest", "shingles"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")
+    ids = stage(possible.select(F.col("a").alias("id")).unionByName(possible.select(F.col("b").alias("id"))).distinct(), "near-ids")
+    wanted = passing(texts, ids, "id").join(ids, "id", "left_semi").select("id", "digest", "text")
+    sets = stage(wanted.mapInArrow(_shingles, "id long, digest binary, shingles binary").dropDuplicates(["digest"]), "near-pair-sets")
+    both = possible.join(side(sets, "a", da="digest", sa="shingles"), "a").join(side(sets, "b", db="digest", sb="shingles"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "sa", "sb")
     return stage(both.mapInArrow(_judge, "a binary, b binary"), "near-links")
 
 
@@ -202,12 +210,13 @@ def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
     """Links (digests a, b) that join all similar texts. texts: (id, digest, text), ids by digest; probed: pairs (x, y) of ids to look at first."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_common(texts))
+    sketches = stage(texts.select("id", "text").mapInArrow(_sketches, "id long, size int, bits binary").dropDuplicates(["id"]), "near-sketches")
     keyed = texts.select("id", "text").mapInArrow(_prefixes(order), "h long, id long, size int, pos int")
     keyed = keyed.repartition(partitions(spark), "h").sortWithinPartitions("h", "pos", "id")
     met = stage(keyed.mapInArrow(_meeting, "h long, id long, size int, pos int, hub long, hub_size int, hub_pos int"), "near-met")
     met = met.withColumnsRenamed({"id": "x", "size": "x_size", "pos": "x_pos", "hub": "y", "hub_size": "y_size", "hub_pos": "y_pos"})
     star = _pairs(met.filter((F.col("x") != F.col("y")) & _room("x", "y")).select("x", "y").unionByName(probed))
-    links = _similar_pairs(star, texts)
+    links = _similar_pairs(star, texts, sketches)
     # Of two texts in different groups one is not in the largest group at their shingle: those texts meet all others there.
     roots = components(links).select(F.xxhash64("node").alias("x"), F.xxhash64("root").alias("x_root"))
     placed = stage(met.select("h", "x", "x_size", "x_pos").join(roots, "x", "left").withColumn("x_root", F.coalesce("x_root", "x")), "near-placed")
@@ -216,7 +225,7 @@ def similar_links(texts: DataFrame, probed: DataFrame) -> DataFrame:
     other = open_.select("h", *[F.col(c).alias(c.replace("x", "y", 1)) for c in ("x", "x_size", "x_pos", "x_root")])
     apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))
     last = _pairs(open_.filter("x_root != main").join(other, "h").filter(apart & _room("x", "y"))).join(star, ["a", "b"], "left_anti")
-    return links.unionByName(_similar_pairs(stage(last, "near-last"), texts))
+    return links.unionByName(_similar_pairs(stage(last, "near-last"), texts, sketches))
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
@@ -229,7 +238,7 @@ def near_groups(rows: DataFrame) -> DataFrame:
     roots = components(links(stage(texts.select("fp").distinct(), "near-fps"), DISTANCE)).withColumnRenamed("node", "fp")
     members = stage(texts.join(roots, "fp", "left").select("digest", F.coalesce("root", "fp").alias("root")), "near-members")
     number = F.xxhash64("digest")
-    least = members.groupBy("root").agg(F.min("digest").alias("least"))
+    least = stage(members.groupBy("root").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-least")
     probed = stage(members.join(least, "root").filter("digest != least").select(F.xxhash64("least").alias("x"), number.alias("y")), "near-probed")
     found = similar_links(rows.select(F.unhex(F.md5("text")).alias("digest"), "text").withColumn("id", number), probed)
     joined = components(found).withColumnRenamed("node", "digest").withColumnRenamed("root", "group")
