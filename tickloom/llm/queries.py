@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_store
+from . import byte_pairs, decontaminate, divergence, exact_dedup, hard_negatives, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_store
 from .common import table
 
 
@@ -64,6 +64,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents"), ranks()), ranks())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.shifted("vec_id", "label"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -75,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op6_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
