@@ -11,20 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .config import Config, load_config
 from .operators.metrics import report
-from .operators.model import save
-from .plans.research import research
+from .plans.research import backend, research
 from .session import session
 from .sources.broker import fetch_bars, fetch_window
 from .sources.csv import read_bars, write_bars
-from .sources.sample import sample_bars
 from .sources.sinks import write_equity, write_metrics
+from .sources.walk import walk_bars
 
 
 def load(spark: SparkSession, cfg: Config, path: str | None, sample: bool) -> DataFrame:
     path = path or cfg.data.csv_path
     if sample or not ("://" in path or os.path.exists(path)):
         rows = max(cfg.backtest.train_size + cfg.backtest.test_size + cfg.labeling.horizon + 50, 700)
-        return sample_bars(spark, rows=rows, seed=7, symbol=cfg.data.symbol)
+        return walk_bars(spark, rows=rows, seed=7, symbol=cfg.data.symbol)
     return read_bars(spark, path, cfg.data.symbol)
 
 
@@ -36,18 +35,18 @@ def run(args: argparse.Namespace) -> int:
         print(report(row.asDict()))
     write_metrics(r.metrics, f"{out}/metrics")
     write_equity(r.curve, f"{out}/equity_curve")
-    save(r.models, f"{out}/models")
+    backend(cfg).save(r.models, f"{out}/models")
     return 0
 
 
 def make_sample(args: argparse.Namespace) -> int:
-    write_bars(sample_bars(session(), rows=args.rows, seed=args.seed), args.out)
+    write_bars(walk_bars(session(), rows=args.rows, seed=args.seed), args.out)
     return 0
 
 
 def fetch(args: argparse.Namespace) -> int:
     start, end = fetch_window(args.start, args.end, args.days)
-    fetch_bars(args.symbol, args.timeframe, start, end)
+    write_bars(fetch_bars(session(), args.symbol, args.timeframe, start, end), args.out)
     return 0
 
 

@@ -44,7 +44,7 @@ class Labeling:
 
 @dataclass(frozen=True)
 class Model:
-    """n_estimators to colsample_bytree are read for files made for a boosted model; the logistic model uses learning_rate and random_state."""
+    """model_type lightgbm: boosted trees; any other: the logistic model, which uses learning_rate and random_state. All rows grow every tree, whatever subsample says."""
 
     model_type: str = "lightgbm"
     n_estimators: int = 300
@@ -78,7 +78,7 @@ class Risk:
 
 @dataclass(frozen=True)
 class Execution:
-    live_orders_enabled: bool = False
+    live_trading_enabled: bool = False  # fixed value: the key's name
     mode: str = "paper"
     broker: str = "mt5"
     magic_number: int = 20240101

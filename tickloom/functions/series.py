@@ -1,31 +1,58 @@
-"""Null-aware kernels over bars ordered by i within symbol. A window that is not full, or holds a null, gives null."""
+"""Null-aware kernels over bars ordered by i within symbol. A window that is not full, or holds a null, gives null.
+
+Windows are not over a symbol but over a block of its bars and a halo: copies of the bars before the block that its windows reach back to. So a symbol with most
+of the bars spreads over as many tasks as it has blocks. i counts a symbol's bars without gaps. Kernels stand within over(), or in an operator that is blocked().
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+#: Bars of a block, and the column that says which block (its own or the halo's) a row stands in.
+WIDTH, HALO = 4096, "_halo"
 
-def series() -> WindowSpec:
-    return W.partitionBy("symbol").orderBy("i")
 
+def halo(df: DataFrame, back: int, ahead: int = 0) -> DataFrame:
+    """df's rows by block, with the last back bars before each block, and the first ahead bars after it."""
+    first = F.greatest(F.floor((F.col("i") - ahead) / WIDTH), F.lit(0).cast("long"))
+    return df.withColumn(HALO, F.explode(F.sequence(first, F.floor((F.col("i") + back) / WIDTH))))
 
-def rows_between(first: int, last: int) -> WindowSpec:
-    return series().rowsBetween(first, last)
+
+def own(df: DataFrame) -> DataFrame:
+    """Without the halo's rows."""
+    return df.filter(F.col(HALO) == F.floor(F.col("i") / WIDTH)).drop(HALO)
+
+
+def over(df: DataFrame, back: int, run: Callable[[DataFrame], DataFrame], ahead: int = 0) -> DataFrame:
+    """run(df), where windows reach so many bars back and ahead at most; within another over(), that one's halo serves."""
+    return run(df) if HALO in df.columns else own(run(halo(df, back, ahead)))
 
 
-def up_to_now() -> WindowSpec:
-    return rows_between(W.unboundedPreceding, 0)
+def blocked(back: Callable[..., int]) -> Callable:
+    """An operator on bars whose windows reach back so many bars (from its arguments after the bars): done over blocks."""
 
+    def made(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(run)
+        def within(df: DataFrame, *args, **kwargs) -> DataFrame:
+            return over(df, back(*args, **kwargs), lambda part: run(part, *args, **kwargs))
 
-def before() -> WindowSpec:
-    return rows_between(W.unboundedPreceding, -1)
+        return within
 
+    return made
 
-def whole_series() -> WindowSpec:
-    return rows_between(W.unboundedPreceding, W.unboundedFollowing)
+
+def series() -> WindowSpec:
+    return W.partitionBy("symbol", HALO).orderBy("i")
+
+
+def rows_between(first: int, last: int) -> WindowSpec:
+    return series().rowsBetween(first, last)
 
 
 def to_number(c: Column) -> Column:
@@ -90,10 +117,6 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
-def last_known(c: Column, frame: WindowSpec | None = None) -> Column:
-    return F.last(c, ignorenulls=True).over(frame or up_to_now())
-
-
 def flag(c: Column) -> Column:
     """1.0, 0.0 or null."""
     return c.cast("double")

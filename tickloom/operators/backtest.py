@@ -1,16 +1,26 @@
-"""Set-based backtest. Each possible entry's exit depends on that entry alone, so all exits come from one interval join; then a fold over a
-symbol's possible entries (few next to its bars) picks those that are taken, and windows mark the equity."""
+"""Set-based backtest. Each possible entry's exit depends on that entry alone, so all exits come from one interval join; pointers from exits to next entries pick those
+that are taken, and scans over blocks mark the equity."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.series import up_to_now
+from ..functions.series import WIDTH
 from ..staging import kept
 from .intervals import matches
 from .risk import CONTRACT, breached, net_pnl
+from .scan import carried
+
+#: Bars are numbered back from here where a search runs from the end.
+TURN = 1 << 40
+
 
 def _sign() -> Column:
     return F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
@@ -50,25 +60,133 @@ def _has_gaps(df: DataFrame) -> bool:
 
 
 def take(possible: DataFrame, cfg: Config) -> DataFrame:
-    """The entries that are taken: one position at a time, sized by realised equity. A trade may open on the bar that closes the one before."""
-    b, r = cfg.backtest, cfg.risk
-    fields = ["entry_i", "exit_i", "direction", "entry_price", "exit_price", "stop_dist", "forced", "exit_reason", "entry_type"]
-    queue = possible.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("queue"))
-    spread = b.spread_pips / 100.0
-    step = f"""
-      aggregate(queue,
-        named_struct('equity', cast({b.initial_capital!r} as double), 'free', cast(-1 as bigint), 'taken', cast(array() as array<struct<entry_i:bigint,lots:double,gross_pnl:double,net_pnl:double>>)),
-        (s, e) -> if(e.entry_i >= s.free and s.equity > 0 and e.stop_dist > 0 and {r.risk_per_trade!r} > 0 and {r.max_position_lots!r} > 0,
-          aggregate(array(least({r.risk_per_trade!r} * s.equity / (e.stop_dist * {CONTRACT!r}), cast({r.max_position_lots!r} as double))), s,
-            (t, lots) -> named_struct(
-              'equity', t.equity + (if(e.direction = 'long', e.exit_price - e.entry_price, e.entry_price - e.exit_price) * {CONTRACT!r} * lots - {spread!r} * {CONTRACT!r} * lots - {b.commission_per_lot!r} * lots),
-              'free', if(e.forced, 9223372036854775807L, e.exit_i),
-              'taken', concat(t.taken, array(named_struct('entry_i', e.entry_i, 'lots', lots,
-                'gross_pnl', if(e.direction = 'long', e.exit_price - e.entry_price, e.entry_price - e.exit_price) * {CONTRACT!r} * lots,
-                'net_pnl', if(e.direction = 'long', e.exit_price - e.entry_price, e.entry_price - e.exit_price) * {CONTRACT!r} * lots - {spread!r} * {CONTRACT!r} * lots - {b.commission_per_lot!r} * lots))))),
-          s)).taken"""
-    taken = queue.select("symbol", F.explode(F.expr(step)).alias("t")).select("symbol", "t.*")
-    return possible.join(taken, ["symbol", "entry_i"])
+    """The entries that are taken: one position at a time, sized by realised equity. A trade may open on the bar that closes the one before.
+
+    Which entry follows one depends on its exit alone, so the taken ones are a chain of pointers: next_entries() sets them, chained() follows them within blocks of bars and then
+    doubles jumps from block to block. Lots depend on the equity so far: a block of trades is a map of equity, linear by pieces, and sized() puts these maps, a row a
+    block, in order. Equity that is not above zero opens nothing more."""
+    if min(cfg.risk.risk_per_trade, cfg.risk.max_position_lots) <= 0:
+        return possible.filter("false").withColumns({c: F.lit(0.0) for c in ("lots", "gross_pnl", "net_pnl")})
+    pointed = kept(next_entries(possible))
+    return possible.join(sized(chained(pointed), cfg), ["symbol", "entry_i"])
+
+
+def next_entries(possible: DataFrame) -> DataFrame:
+    """symbol, entry_i, next_i (the first possible entry at the exit or later; null after a forced exit or if there is none), and what sizes need. A search in order from the end:
+    exits ask, entries answer."""
+    move = _sign() * (F.col("exit_price") - F.col("entry_price"))
+    e = kept(possible.select("symbol", "entry_i", "exit_i", "forced", "stop_dist", move.alias("move")))
+    # entries and asking exits stand in one line, numbered from the last bar on; at one bar entries come first
+    at = lambda bar: F.lit(TURN) - F.col(bar)
+    asks = e.filter("not forced").select("symbol", at("exit_i").alias("i"), "entry_i", F.lit(None).cast("long").alias("answer"))
+    answers = e.select("symbol", at("entry_i").alias("i"), F.lit(None).cast("long").alias("entry_i"), F.col("entry_i").alias("answer"))
+    told = asks.unionByName(answers).groupBy("symbol", "i").agg(F.max("answer").alias("answer"))
+    found = asks.drop("answer").join(carried(told, {"next_i": ("last", F.col("answer"), 0)}), ["symbol", "i"]).select("symbol", "entry_i", "next_i")
+    return e.join(found, ["symbol", "entry_i"], "left")
+
+
+def chained(pointed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The entries of the chain from each symbol's first entry on, by block: symbol, block, entry_i, stop_dist, move."""
+    packs = kept(pointed.withColumn("block", F.floor(F.col("entry_i") / width)))
+    lands = kept(packs.groupBy("symbol", "block").applyInArrow(_landed, "symbol string, gate long, jump long"))
+    reached = kept(pointed.groupBy("symbol").agg(F.min("entry_i").alias("gate")))
+    jumps = lands.filter("jump is not null")
+    while True:  # each round doubles how many blocks the chain from the first gate reaches
+        more = reached.join(jumps, ["symbol", "gate"]).select("symbol", F.col("jump").alias("gate"))
+        new = kept(more.join(reached, ["symbol", "gate"], "left_anti").distinct())
+        if new.isEmpty():
+            break
+        reached = kept(reached.unionByName(new))
+        onward = jumps.select(F.col("symbol"), F.col("gate").alias("jump"), F.col("jump").alias("_far"))
+        jumps = kept(jumps.join(onward, ["symbol", "jump"]).select("symbol", "gate", F.col("_far").alias("jump")))
+    gates = reached.select("symbol", F.floor(F.col("gate") / width).alias("block"), "gate")
+    return packs.join(gates, ["symbol", "block"]).groupBy("symbol", "block").applyInArrow(_followed, "symbol string, block long, entry_i long, stop_dist double, move double")
+
+
+def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's entries in order, and of each the place of the next one in the block, or its own entry_i if that is beyond (-1: none)."""
+    rows = rows.sort_by("entry_i")
+    entry, to = rows.column("entry_i").to_numpy(), rows.column("next_i").fill_null(-1).to_numpy()
+    place = np.searchsorted(entry, to)
+    return rows, np.where((to >= 0) & (to <= entry[-1]), place, -1), to
+
+
+def _landed(rows: pa.Table) -> pa.Table:
+    """gate, jump: of each entry of a block the entry beyond the block that its chain comes to; of entries with one next only the first is ever a gate, so all are told."""
+    rows, inside, to = _ordered(rows)
+    jump = to.copy()
+    for k in range(len(to) - 1, -1, -1):
+        if inside[k] >= 0:
+            jump[k] = jump[inside[k]]
+    return pa.table({"symbol": rows.column("symbol"), "gate": rows.column("entry_i"), "jump": pa.array(jump, mask=jump < 0)})
+
+
+def _followed(rows: pa.Table) -> pa.Table:
+    """The entries of a block on the chain from its gate."""
+    rows, inside, _ = _ordered(rows)
+    k, chain = int(np.searchsorted(rows.column("entry_i").to_numpy(), rows.column("gate")[0].as_py())), []
+    while k >= 0:
+        chain.append(k)
+        k = int(inside[k])
+    return rows.take(pa.array(chain)).select(["symbol", "block", "entry_i", "stop_dist", "move"])
+
+
+def _opened(equity: float, stop: float, move: float, cfg: Config) -> tuple[float, float, float]:
+    """Lots, gross and net result of a trade that equity opens."""
+    lots = min(cfg.risk.risk_per_trade * equity / (stop * CONTRACT), cfg.risk.max_position_lots) if equity > 0 else 0.0
+    return lots, move * CONTRACT * lots, (move * CONTRACT - cfg.backtest.spread_pips / 100.0 * CONTRACT - cfg.backtest.commission_per_lot) * lots
+
+
+def mapped(pieces: list[tuple[float, float, float]], stop: float, move: float, cfg: Config) -> list[tuple[float, float, float]]:
+    """A map of equity with one more trade after it. A map is pieces (from, a, b): from there on, up to the next piece, equity e becomes a e + b. It begins at 0: what is not above
+    zero stays as it is."""
+    per_lot = move * CONTRACT - cfg.backtest.spread_pips / 100.0 * CONTRACT - cfg.backtest.commission_per_lot
+    rate = cfg.risk.risk_per_trade / (stop * CONTRACT)
+    full = cfg.risk.max_position_lots / rate  # from this equity on the size is capped
+    out: list[tuple[float, float, float]] = []
+    for k, (lo, a, b) in enumerate(pieces):
+        hi = pieces[k + 1][0] if k + 1 < len(pieces) else math.inf
+        cuts = sorted({lo, *(x for level in (0.0, full) if a and lo < (x := (level - b) / a) < hi)})
+        for x, y in zip(cuts, [*cuts[1:], hi]):
+            middle = a * ((x + y) / 2 if y < math.inf else 2 * x + 1) + b
+            new = (a, b) if middle <= 0 else (a, b + per_lot * cfg.risk.max_position_lots) if middle >= full else (a * (1 + rate * per_lot), b * (1 + rate * per_lot))
+            if not out or out[-1][1:] != new:
+                out.append((x, *new))
+    return out
+
+
+def sized(chain: DataFrame, cfg: Config) -> DataFrame:
+    """symbol, entry_i, lots, gross_pnl, net_pnl of the chain's entries that equity opens. chain: of chained()."""
+
+    def maps(rows: pa.Table) -> pa.Table:
+        rows, pieces = rows.sort_by("entry_i"), [(0.0, 1.0, 0.0)]
+        for stop, move in zip(rows.column("stop_dist").to_pylist(), rows.column("move").to_pylist()):
+            pieces = mapped(pieces, stop, move, cfg)
+        lo, a, b = zip(*pieces)
+        return pa.table({"symbol": rows.column("symbol").slice(0, 1), "block": rows.column("block").slice(0, 1), **{n: pa.array([list(v)], pa.list_(pa.float64())) for n, v in (("lo", lo), ("a", a), ("b", b))}})
+
+    def starts(rows: pa.Table) -> pa.Table:
+        rows, equity, out = rows.sort_by("block"), cfg.backtest.initial_capital, []
+        for lo, a, b in zip(*(rows.column(c).to_pylist() for c in ("lo", "a", "b"))):
+            out.append(equity)
+            if equity > 0:
+                k = int(np.searchsorted(lo, equity, "right")) - 1
+                equity = a[k] * equity + b[k]
+        return pa.table({"symbol": rows.column("symbol"), "block": rows.column("block"), "equity": pa.array(out, pa.float64())})
+
+    def trades(rows: pa.Table) -> pa.Table:
+        rows, out = rows.sort_by("entry_i"), []
+        equity = rows.column("equity")[0].as_py()
+        for stop, move in zip(rows.column("stop_dist").to_pylist(), rows.column("move").to_pylist()):
+            out.append(_opened(equity, stop, move, cfg))
+            equity += out[-1][2]
+        made = pa.table({"symbol": rows.column("symbol"), "entry_i": rows.column("entry_i"), **{n: pa.array(v, pa.float64()) for n, v in zip(("lots", "gross_pnl", "net_pnl"), zip(*out))}})
+        return made.filter(pc.greater(made.column("lots"), 0))
+
+    chain = kept(chain)
+    by_block = kept(chain.groupBy("symbol", "block").applyInArrow(maps, "symbol string, block long, lo array<double>, a array<double>, b array<double>"))
+    before = by_block.groupBy("symbol").applyInArrow(starts, "symbol string, block long, equity double")  # a row a block
+    return chain.join(before, ["symbol", "block"]).groupBy("symbol", "block").applyInArrow(trades, "symbol string, entry_i long, lots double, gross_pnl double, net_pnl double")
 
 
 def curve(df: DataFrame, trades: DataFrame, cfg: Config) -> DataFrame:
@@ -83,18 +201,17 @@ def curve(df: DataFrame, trades: DataFrame, cfg: Config) -> DataFrame:
     mark = F.when(F.col("close").isNotNull(), net_pnl(gross, F.lit(b.spread_pips / 100.0), F.lit(b.commission_per_lot), F.col("lots"))).otherwise(0.0)
     open_ = open_.select("symbol", "i", mark.alias("mark"))
     out = bars.join(booked, ["symbol", "i"], "left").join(open_, ["symbol", "i"], "left").withColumn("in_market", F.col("mark").isNotNull())
-    realised = F.lit(b.initial_capital) + F.coalesce(F.sum("booked").over(up_to_now()), F.lit(0.0))
-    out = out.withColumn("_realised", realised)
-    total = F.lit(b.initial_capital) + F.coalesce(F.sum("final").over(up_to_now()), F.lit(0.0))
+    out = carried(out, {"_booked": ("sum", F.col("booked"), 0), "_final": ("sum", F.col("final"), 0)})
+    realised, total = (F.lit(b.initial_capital) + F.coalesce(c, F.lit(0.0)) for c in ("_booked", "_final"))
     forced = (F.col("i") == F.col("_z")) & F.coalesce("any_forced", F.lit(False))
-    equity = F.col("_realised") + F.coalesce("mark", F.lit(0.0))
+    equity = realised + F.coalesce("mark", F.lit(0.0))
     return out.withColumns({"marked": equity, "equity": F.when(forced, total).otherwise(equity)}).select("symbol", "i", "timestamp", "marked", "equity", "in_market")
 
 
 def guarded(curve_: DataFrame, cfg: Config) -> DataFrame:
     """symbol, breach_i: the first bar whose marked equity is max_drawdown_pct below the peak so far (the initial capital at least)."""
-    peak = F.greatest(F.lit(cfg.backtest.initial_capital), F.max("marked").over(up_to_now()))
-    return curve_.withColumn("_peak", peak).filter(breached(F.col("marked"), F.col("_peak"), cfg.risk.max_drawdown_pct)).groupBy("symbol").agg(F.min("i").alias("breach_i"))
+    peaks = carried(curve_, {"_peak": ("max", F.col("marked"), 0)})
+    return peaks.withColumn("_peak", F.greatest(F.lit(cfg.backtest.initial_capital), "_peak")).filter(breached(F.col("marked"), F.col("_peak"), cfg.risk.max_drawdown_pct)).groupBy("symbol").agg(F.min("i").alias("breach_i"))
 
 
 def backtest(df: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:

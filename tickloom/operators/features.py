@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.candles import patterns, sessions
-from ..functions.series import flag, lagged
+from ..functions.series import flag, halo, lagged, own
 from ..staging import kept
 from . import indicators as ind
 from . import signals as sig
 from . import structure as st
 from . import zones as z
 
-#: The matrix's columns in order. {p}, {s}: one column for each window of returns, of averages.
-COLUMNS = """
-ret_{p} logret_{p}
-volatility
-ema_{s}_dist
-rsi macd macd_signal macd_hist atr bb_pctb bb_bandwidth channel_pos
-body_ratio upper_wick_ratio lower_wick_ratio candle_range is_doji is_hammer is_shooting_star is_bullish_engulfing is_bearish_engulfing
-ms_bias ms_bos ms_choch bars_since_bos bars_since_choch in_killzone pd_position premium
-buyside_sweep sellside_sweep dist_to_buyside dist_to_sellside dist_to_fvg dist_to_ifvg is_in_ifvg_retest signal_dir entry_is_primary
-"""
+#: The matrix's columns in order; of {p} and {s} there is one for each window of returns, of averages.
+COLUMNS = (
+    ("ret_{p}", "logret_{p}"), ("volatility",), ("ema_{s}_dist",), ("rsi", "macd", "macd_signal", "macd_hist", "atr", "bb_pctb", "bb_bandwidth", "channel_pos"),
+    ("body_ratio", "upper_wick_ratio", "lower_wick_ratio", "candle_range", "is_doji", "is_hammer", "is_shooting_star", "is_bullish_engulfing", "is_bearish_engulfing"),
+    ("ms_bias", "ms_bos", "ms_choch", "bars_since_bos", "bars_since_choch", "in_killzone", "pd_position", "premium"),
+    ("buyside_sweep", "sellside_sweep", "dist_to_buyside", "dist_to_sellside", "dist_to_fvg", "dist_to_ifvg", "is_in_ifvg_retest", "signal_dir", "entry_is_primary"),
+)
 #: The columns that come again with lags, at the end.
 LAGGED = ("ret_1", "rsi", "macd_hist", "ms_bias", "atr")
 
@@ -31,10 +28,10 @@ LAGGED = ("ret_1", "rsi", "macd_hist", "ms_bias", "atr")
 def feature_names(cfg: Config) -> list[str]:
     windows = {"{p}": cfg.features.return_windows, "{s}": cfg.features.ema_windows}
     out: dict[str, None] = {}
-    for line in COLUMNS.split("\n"):
-        mark = next((m for m in windows if m in line), None)
+    for group in COLUMNS:
+        mark = next((m for m in windows if m in group[0]), None)
         for w in windows.get(mark, [""]):
-            out |= dict.fromkeys((line.replace(mark, str(w)) if mark else line).split())
+            out |= dict.fromkeys(c.replace(mark, str(w)) if mark else c for c in group)
     return [*out, *(f"{c}_lag{k}" for c in LAGGED if c in out for k in dict.fromkeys(cfg.features.return_windows))]
 
 
@@ -55,9 +52,10 @@ def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> D
     names, bars = feature_names(cfg), df
     if "ret_1" not in names:
         df = df.withColumn("ret_1", F.lit(None).cast("double"))
-    df = ind.volatility(ind.returns(df, f.return_windows), f.bb_window)
-    df = ind.macd(ind.rsi(ind.ema(df, f.ema_windows), f.rsi_window), f.macd_fast, f.macd_slow, f.macd_signal)
-    df = ind.channel(ind.bollinger(df, f.bb_window, f.bb_std), f.bb_window)
+    df = ind.oscillators(df, f.ema_windows, f.rsi_window, f.macd_fast, f.macd_slow, f.macd_signal)
+    # all windows that follow share one halo: those of lags begin where those of returns do
+    df = halo(df, max(f.bb_window, ict.liquidity_lookback, *f.return_windows) + max(f.return_windows, default=0))
+    df = ind.channel(ind.bollinger(ind.volatility(ind.returns(df, f.return_windows), f.bb_window), f.bb_window, f.bb_std), f.bb_window)
     df = st.premium_discount(st.liquidity(df, ict.liquidity_lookback, ict.equal_level_tol_atr), ict.liquidity_lookback)
     df = df.withColumns(patterns() | {"in_killzone": sessions(ict.killzones)["in_killzone"]})
     c, atr = F.col("close"), F.when(F.col("atr") > 0, F.col("atr"))
@@ -71,7 +69,7 @@ def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> D
         "entry_is_primary": flag(taken & (F.col("entry_type") == ict.primary_entry)),
     }
     df = df.withColumns(more)
-    df = df.withColumns({f"{s}_lag{k}": lagged(F.col(s).cast("double"), k) for s in LAGGED for k in f.return_windows})
+    df = own(df.withColumns({f"{s}_lag{k}": lagged(F.col(s).cast("double"), k) for s in LAGGED for k in f.return_windows}))
     df = df.join(z.distances(bars, zones["fvg"], "dist_to_fvg"), ["symbol", "i"], "left")
     df = df.join(z.distances(bars, zones["ifvg"], "dist_to_ifvg"), ["symbol", "i"], "left") if ict.ifvg_enabled else df.withColumn("dist_to_ifvg", F.lit(None).cast("double"))
     lacks = F.lit(False)

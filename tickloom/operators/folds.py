@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .intervals import matches
 
 
 def walk_forward(sizes: DataFrame, train: int | str, test: int | str, embargo: int, horizon: int = 0, mode: str = "expanding", min_train: int | None = None) -> DataFrame:
@@ -43,6 +44,7 @@ def adaptive(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def members(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """df's rows by fold and part (train, test); a bar may train in many folds. Folds are a few rows a symbol."""
-    parts = folds.select("symbol", "fold", F.explode(F.array(F.struct(F.lit("train").alias("part"), F.col("train_lo").alias("lo"), F.col("train_hi").alias("hi")), F.struct(F.lit("test").alias("part"), F.col("test_lo").alias("lo"), F.col("test_hi").alias("hi")))).alias("p")).select("symbol", "fold", "p.*")
-    return df.join(parts, "symbol").filter("i >= lo and i < hi").drop("lo", "hi")
+    """df's rows by fold and part (train, test); a bar may train in many folds. Folds are spread over bins of bars, so a bar meets those only whose ranges reach into its bin."""
+    ranges = F.array(F.struct(F.lit("train").alias("part"), F.col("train_lo").alias("lo"), F.col("train_hi").alias("hi")), F.struct(F.lit("test").alias("part"), F.col("test_lo").alias("lo"), F.col("test_hi").alias("hi")))
+    parts = folds.select("symbol", "fold", F.explode(ranges).alias("p")).select("symbol", "fold", "p.*")
+    return matches(parts, df, F.col("lo"), F.col("hi") - 1).drop("lo", "hi")

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import up_to_now, lagged
+from ..functions.series import blocked, lagged
+from .scan import carried
 
 #: 15-minute bars of 252 days, and seconds of a year.
 BARS_PER_YEAR, YEAR_S = 4 * 24 * 252, 365.25 * 24 * 3600
 
 
+@blocked(lambda: 1)
 def bar_returns(curve: DataFrame) -> DataFrame:
     """Adds ret: the equity's change from the bar before, 0 where that is 0; null on the first bar."""
     before = lagged(F.col("equity"), 1)
@@ -21,9 +23,8 @@ def bar_returns(curve: DataFrame) -> DataFrame:
 
 def drawdowns(curve: DataFrame) -> DataFrame:
     """Adds peak, peak_i (its first bar) and dd, the share lost since."""
-    rows = curve.withColumn("peak", F.max("equity").over(up_to_now()))
-    rows = rows.withColumn("_was", lagged(F.col("peak"), 1))
-    rows = rows.withColumn("peak_i", F.last(F.when(F.col("_was").isNull() | (F.col("equity") > F.col("_was")), F.col("i")), ignorenulls=True).over(up_to_now())).drop("_was")
+    rows = carried(curve, {"_top": ("max", F.struct(F.col("equity").alias("equity"), (-F.col("i")).alias("at")), 0)})
+    rows = rows.withColumns({"peak": F.col("_top.equity"), "peak_i": -F.col("_top.at")}).drop("_top")
     return rows.withColumn("dd", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.when(F.col("peak") > 0, F.col("peak"))).otherwise(0.0))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import before, lagged, last_known, rows_between
+from ..functions.series import blocked, lagged, over, rows_between
+from .scan import carried
 
 
+@blocked(lambda lookback=5: 2 * max(lookback, 0))
 def swing_points(df: DataFrame, lookback: int = 5) -> DataFrame:
     """swing_high, swing_low: the price of a swing at the bar that confirms it (lookback bars later), and swing_high_i, swing_low_i: its own bar.
 
@@ -30,24 +32,21 @@ def market_structure(df: DataFrame, lookback: int = 5) -> DataFrame:
 
     A break is a close beyond the last swing of its side, tested when the next one is confirmed. The bias is the side of the last break, so a break against it
     changes the character and one with it continues the structure; on a bar with both, the upward one comes first."""
-    df = swing_points(df, lookback)
-    df = df.withColumns({"_sh": last_known(F.col("swing_high"), before()), "_sl": last_known(F.col("swing_low"), before())})
-    c = F.col("close")
+    plain = df.columns
+    i, c = F.col("i"), F.col("close")
+    df = carried(swing_points(df, lookback), {"_sh": ("last", F.col("swing_high"), -1), "_sl": ("last", F.col("swing_low"), -1)})
     up = F.coalesce(F.col("swing_high").isNotNull() & (c > F.col("_sh")), F.lit(False))
     down = F.coalesce(F.col("swing_low").isNotNull() & (c < F.col("_sl")), F.lit(False))
-    df = df.withColumns({"_up": up, "_down": down}).withColumn("_side", F.when(F.col("_down"), -1).when(F.col("_up"), 1))
-    df = df.withColumns({"_was": F.coalesce(last_known(F.col("_side"), before()), F.lit(0)), "ms_bias": F.coalesce(last_known(F.col("_side")), F.lit(0))})
+    df = df.withColumns({"_up": up, "_down": down, "last_swing_high": F.coalesce("swing_high", "_sh"), "last_swing_low": F.coalesce("swing_low", "_sl")})
+    side, broken = F.when(F.col("_down"), -1).when(F.col("_up"), 1), F.col("_up") | F.col("_down")  # every break continues or changes
+    df = carried(df.withColumn("_side", side), {"_was": ("last", F.col("_side"), -1), "_broke": ("last", F.when(broken, i), 0)})
+    df = df.withColumn("_was", F.coalesce("_was", F.lit(0))).withColumn("ms_bias", F.coalesce("_side", "_was"))
     mid = F.when(F.col("_up"), 1).otherwise(F.col("_was"))
     bos = F.when(F.col("_down") & (mid < 0), -1).when(F.col("_up") & (F.col("_was") > 0), 1).otherwise(0)
     choch = F.when(F.col("_down") & (mid >= 0), -1).when(F.col("_up") & (F.col("_was") <= 0), 1).otherwise(0)
-    df = df.withColumns({"ms_bos": bos, "ms_choch": choch})
-    i = F.col("i")
-    return df.withColumns({
-        "bars_since_bos": i - last_known(F.when((F.col("ms_bos") != 0) | (F.col("ms_choch") != 0), i)),
-        "bars_since_choch": i - last_known(F.when(F.col("ms_choch") != 0, i)),
-        "last_swing_high": last_known(F.col("swing_high")),
-        "last_swing_low": last_known(F.col("swing_low")),
-    }).drop("_sh", "_sl", "_up", "_down", "_side", "_was")
+    df = carried(df.withColumns({"ms_bos": bos, "ms_choch": choch}), {"_changed": ("last", F.when(F.col("ms_choch") != 0, i), 0)})
+    df = df.withColumns({"bars_since_bos": i - F.col("_broke"), "bars_since_choch": i - F.col("_changed")})
+    return df.select(*plain, "swing_high", "swing_low", "swing_high_i", "swing_low_i", "ms_bias", "ms_bos", "ms_choch", "bars_since_bos", "bars_since_choch", "last_swing_high", "last_swing_low")
 
 
 def order_blocks(df: DataFrame, lookback: int = 20) -> DataFrame:
@@ -55,12 +54,13 @@ def order_blocks(df: DataFrame, lookback: int = 20) -> DataFrame:
     o, c = F.col("open"), F.col("close")
     candle = F.struct("i", "high", "low")
     last = lambda against: F.max(F.when(against, candle)).over(rows_between(-lookback, -1))
-    df = df.withColumns({"_down": last(c < o), "_up": last(c > o)}).filter("ms_bos != 0")
+    df = over(df, lookback, lambda d: d.withColumns({"_down": last(c < o), "_up": last(c > o)})).filter("ms_bos != 0")
     df = df.withColumn("_ob", F.when(F.col("ms_bos") > 0, F.col("_down")).otherwise(F.col("_up"))).filter("_ob is not null")
     kind = F.when(F.col("ms_bos") > 0, "bullish").otherwise("bearish")
     return df.select("symbol", kind.alias("type"), F.col("_ob.high").alias("top"), F.col("_ob.low").alias("bottom"), F.col("i").alias("created_i"), F.col("_ob.i").alias("source_i"))
 
 
+@blocked(lambda lookback=50, tolerance=0.1: lookback)
 def liquidity(df: DataFrame, lookback: int = 50, tolerance: float = 0.1) -> DataFrame:
     """buyside_level, sellside_level, buyside_sweep, sellside_sweep. df: with swing_points() and atr.
 
@@ -80,6 +80,7 @@ def liquidity(df: DataFrame, lookback: int = 50, tolerance: float = 0.1) -> Data
     return out.drop("_recent", "_newest", "_tol")
 
 
+@blocked(lambda window=50: window - 1)
 def premium_discount(df: DataFrame, window: int = 50) -> DataFrame:
     """pd_position of the close in the range of the last window bars (nulls passed over), and premium: above its middle."""
     frame = rows_between(1 - window, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.series import lagged
+from ..functions.series import lagged, over
 from .intervals import first_after
 
 
@@ -22,7 +22,7 @@ def gaps(df: DataFrame, min_gap_atr: float = 0.25) -> DataFrame:
     """Child frame (symbol, type, top, bottom, created_i): a bar that leaves a gap to the bar before last, of min_gap_atr times ATR at least
     (any gap while ATR is null). df: with atr. One bar makes one gap at most."""
     h, lo, h2, l2 = F.col("high"), F.col("low"), lagged(F.col("high"), 2), lagged(F.col("low"), 2)
-    df = df.select("symbol", "i", "atr", h.alias("h"), lo.alias("l"), h2.alias("h2"), l2.alias("l2")).filter("h is not null and l is not null and h2 is not null and l2 is not null")
+    df = over(df.select("symbol", "i", "atr", "high", "low"), 2, lambda d: d.withColumns({"h": h, "l": lo, "h2": h2, "l2": l2})).filter("h is not null and l is not null and h2 is not null and l2 is not null")
     df = df.withColumn("type", F.expr("case when h2 < l then 'bullish' when l2 > h then 'bearish' end")).filter("type is not null")
     df = df.withColumns({"top": F.expr("if(type = 'bullish', l, l2)"), "bottom": F.expr("if(type = 'bullish', h2, h)")})
     return df.filter(F.col("top") - F.col("bottom") >= F.coalesce(F.col("atr") * min_gap_atr, F.lit(0.0))).select("symbol", "type", "top", "bottom", F.col("i").alias("created_i"))

@@ -10,12 +10,12 @@ class OrdersDisabled(RuntimeError):
 
 
 def live_allowed(cfg: Config) -> bool:
-    return cfg.execution.live_orders_enabled is True and str(cfg.execution.mode).strip().lower() == "live"
+    return cfg.execution.live_trading_enabled is True and str(cfg.execution.mode).strip().lower() == "live"
 
 
 def require_live(cfg: Config) -> None:
     if not live_allowed(cfg):
-        raise OrdersDisabled("real orders need execution.live_orders_enabled: true and execution.mode: live; both are off by default")
+        raise OrdersDisabled("real orders need execution.live_trading_enabled: true and execution.mode: live; both are off by default")
 
 
 def route_order(cfg: Config, order: object) -> None:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import ModuleType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import backtest as bt
+from ..operators import boosting
 from ..operators import features as ft
 from ..operators import folds as fd
 from ..operators import model as md
@@ -36,14 +38,20 @@ def prepared(bars: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     return df, ft.feature_matrix(df, cfg, zones).join(df.select("symbol", "i", "label"), ["symbol", "i"])
 
 
+def backend(cfg: Config) -> ModuleType:
+    """Boosted trees for model_type lightgbm, else the logistic model; both have train, score, save and load."""
+    return boosting if cfg.model.model_type == "lightgbm" else md
+
+
 def research(bars: DataFrame, cfg: Config) -> Research:
     """What several steps need is written once to the shared folder. The test bars of all folds form one window a symbol, over which equity carries on."""
     df, matrix = prepared(bars, cfg)
     matrix = kept(matrix)
     names = ft.feature_names(cfg)
     folds = kept(fd.adaptive(df, cfg))
-    models = kept(md.train(matrix, folds, names, cfg))
-    p = md.score(matrix, folds, models, names)
+    kind = backend(cfg)
+    models = kept(kind.train(matrix, folds, names, cfg))
+    p = kind.score(matrix, folds, models, names)
     traded = df.join(p.withColumn("tradable", F.lit(True)), ["symbol", "i"], "left").withColumn("tradable", F.coalesce("tradable", F.lit(False)))
     trades, curve, summary = bt.backtest(kept(traded), cfg)
     return Research(matrix, folds, models, p, trades, curve, summary, metrics(curve, trades, summary))

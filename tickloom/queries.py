@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.candles import patterns, sessions
-from .functions.series import clamp, diff, divide, lagged, rolling_max, rolling_mean, rolling_min, rolling_std, to_number
+from .functions.series import clamp, diff, divide, lagged, over, rolling_max, rolling_mean, rolling_min, rolling_std, to_number
 from .operators import backtest as bt
+from .operators import boosting
 from .operators import features as ft
 from .operators import folds as fd
 from .operators import indicators as ind
@@ -81,7 +83,7 @@ def bars_daily_orders(spark: SparkSession, d: str) -> DataFrame:
 def series_kernels(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("close")
     found = {"diff2": diff(c, 2), "mean5": rolling_mean(c, 5), "std5": rolling_std(c, 5), "pop5": rolling_std(c, 5, 0), "max5": rolling_max(c, 5), "min5": rolling_min(c, 5), "ratio": divide(c, F.col("open")), "clamped": clamp(c, 10, 100), "lag3": lagged(c, 3)}
-    return rounded(event_bars(spark, d).withColumn("close", to_number(F.col("close").cast("string"))).withColumns(found), *found)
+    return rounded(over(event_bars(spark, d).withColumn("close", to_number(F.col("close").cast("string"))), 4, lambda b: b.withColumns(found)), *found)
 
 
 @query(f"SELECT symbol, i, {_r('ret_1', 'ret_5', 'ret_10')} FROM ret")
@@ -149,17 +151,17 @@ def channel_position(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT symbol, i, {_r('body_ratio', 'upper_wick_ratio', 'lower_wick_ratio', 'candle_range')} FROM pat")
 def candle_geometry(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(event_bars(spark, d).withColumns(patterns()), "body_ratio", "upper_wick_ratio", "lower_wick_ratio", "candle_range")
+    return rounded(over(event_bars(spark, d), 1, lambda b: b.withColumns(patterns())), "body_ratio", "upper_wick_ratio", "lower_wick_ratio", "candle_range")
 
 
 @query("SELECT symbol, i, is_doji, is_hammer, is_shooting_star FROM pat")
 def doji_hammer_star(spark: SparkSession, d: str) -> DataFrame:
-    return event_bars(spark, d).withColumns(patterns()).select(*KEY, "is_doji", "is_hammer", "is_shooting_star")
+    return over(event_bars(spark, d), 1, lambda b: b.withColumns(patterns())).select(*KEY, "is_doji", "is_hammer", "is_shooting_star")
 
 
 @query("SELECT symbol, i, is_bullish_engulfing, is_bearish_engulfing FROM pat")
 def engulfing(spark: SparkSession, d: str) -> DataFrame:
-    return event_bars(spark, d).withColumns(patterns()).select(*KEY, "is_bullish_engulfing", "is_bearish_engulfing")
+    return over(event_bars(spark, d), 1, lambda b: b.withColumns(patterns())).select(*KEY, "is_bullish_engulfing", "is_bearish_engulfing")
 
 
 @query("SELECT symbol, i, in_london, in_newyork_am, in_killzone FROM kz")
@@ -355,6 +357,69 @@ def fold_scores(spark: SparkSession, d: str) -> DataFrame:
     return md.score(matrix, folds, kept(md.train(matrix, folds, NAMES, CFG)), NAMES).select(*KEY, r6("probability"))
 
 
+# Three features of a bar and whether the next one closes higher, for the queries that train with few steps.
+_SMALL = ("rsi", "bb_pctb", "ret_1")
+_UP = """up AS (SELECT symbol, i, (lead(bars.close) OVER (PARTITION BY symbol ORDER BY i) > bars.close)::INTEGER AS y, rsi AS x1, pctb AS x2, ret_1 AS x3
+    FROM bars JOIN osc USING (symbol, i) JOIN boll USING (symbol, i) JOIN ret USING (symbol, i))"""
+
+
+def _next_up(spark: SparkSession, d: str) -> DataFrame:
+    df = ind.returns(ind.bollinger(ind.rsi(event_bars(spark, d))), (1,))
+    ahead = df.select("symbol", (F.col("i") - 1).alias("i"), F.col("close").alias("_next"))
+    return df.join(ahead, ["symbol", "i"], "left").withColumn("label", (F.col("_next") > F.col("close")).cast("int")).drop("_next").withColumn("warmup", F.col("rsi").isNull() | F.col("bb_pctb").isNull() | F.col("ret_1").isNull())
+
+
+def _descent_sql(steps: int, rate: float, seed: int = 42) -> str:
+    """A descent for two classes, step by step: each step is one grouped pass over the rows."""
+    rng = random.Random(seed)
+    w = [[rng.uniform(-0.01, 0.01) for _ in _SMALL] for _ in range(2)]
+    cols = [f"{'wb'[j == 3]}{k}{j}" for k in range(2) for j in range(4)]
+    ctes = [
+        "rows_ AS (SELECT u.*, f.fold FROM up u JOIN folds f ON u.symbol = f.symbol AND u.i >= train_lo AND u.i < train_hi WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL)",
+        "stats AS (SELECT symbol, fold, count(*) AS n, count(DISTINCT y) AS classes, " + ", ".join(f"avg(x{j}) AS m{j}, CASE WHEN stddev_pop(x{j}) > 1e-12 THEN stddev_pop(x{j}) ELSE 1 END AS s{j}" for j in (1, 2, 3)) + " FROM rows_ GROUP BY ALL)",
+        "z AS (SELECT symbol, fold, y, n, " + ", ".join(f"(x{j} - m{j}) / s{j} AS z{j - 1}" for j in (1, 2, 3)) + ", 1.0 AS z3 FROM rows_ JOIN stats USING (symbol, fold) WHERE classes = 2 AND n >= 10)",
+        "step0 AS (SELECT DISTINCT symbol, fold, " + ", ".join(f"{w[k][j] if j < 3 else 0.0!r}::DOUBLE AS {'wb'[j == 3]}{k}{j}" for k in range(2) for j in range(4)) + " FROM z)",
+    ]
+    for t in range(steps):
+        logit = [f"greatest(-30, least(30, {' + '.join(f'{chr(98 if j == 3 else 119)}{k}{j} * z{j}' for j in range(4))}))" for k in range(2)]
+        ctes.append(f"err{t} AS (SELECT z.*, {', '.join(f'exp(l{k}) / (exp(l0) + exp(l1)) - (y = {k})::INTEGER AS e{k}' for k in range(2))} FROM (SELECT z.*, {', '.join(f'{v} AS l{k}' for k, v in enumerate(logit))} FROM z JOIN step{t} USING (symbol, fold)) z)")
+        ctes.append(f"grad{t} AS (SELECT symbol, fold, {', '.join(f'sum(e{k} * z{j}) / max(n) AS g{k}{j}' for k in range(2) for j in range(4))} FROM err{t} GROUP BY ALL)")
+        ctes.append(f"step{t + 1} AS (SELECT symbol, fold, {', '.join(f'{c} - {rate} * (g{c[1:]}{f' + 0.001 * {c}' if c[0] == chr(119) else ''}) AS {c}' for c in cols)} FROM step{t} JOIN grad{t} USING (symbol, fold))")
+    return f"SELECT * FROM (WITH {_UP}, {', '.join(ctes)} SELECT symbol, fold, {', '.join(f'round({c}, 6) AS {c}' for c in cols)} FROM step{steps})"
+
+
+@query(_descent_sql(5, 0.2))
+def model_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Five steps of the descent for two classes, over blocks of 128 bars."""
+    df = _next_up(spark, d)
+    rows = md.training_rows(df, fd.adaptive(df, CFG), list(_SMALL))
+    m = md.train_rows(rows, 0.2, steps=5, block=128)
+    return m.select("symbol", "fold", *[r6(F.col("weights")[k][j], f"w{k}{j}") for k in range(2) for j in range(3)], *[r6(F.col("bias")[k], f"b{k}3") for k in range(2)])
+
+
+@query(f"""SELECT * FROM (WITH {_UP}, points AS (SELECT symbol, floor(x1) / 100 AS s, sum(y) AS hits, count(*) AS n FROM up WHERE y IS NOT NULL AND x1 IS NOT NULL GROUP BY ALL),
+    run AS (SELECT symbol, s, sum(hits) OVER w AS h, sum(n) OVER w AS m, coalesce(sum(hits) OVER p, 0) AS h0, coalesce(sum(n) OVER p, 0) AS m0 FROM points WINDOW w AS (PARTITION BY symbol ORDER BY s), p AS (PARTITION BY symbol ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    least_ AS (SELECT x.symbol, x.s, a.s AS start, min((b.h - a.h0)::DOUBLE / (b.m - a.m0)) AS v FROM run x JOIN run a ON a.symbol = x.symbol AND a.s <= x.s JOIN run b ON b.symbol = x.symbol AND b.s >= x.s GROUP BY ALL),
+    fitted AS (SELECT symbol, s, max(v) AS v FROM least_ GROUP BY ALL)
+    SELECT symbol, round(min(s), 6) AS lo, round(max(s), 6) AS hi, round(v, 6) AS rate FROM fitted GROUP BY symbol, v)""")
+def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How often the next bar closes higher, by RSI, as rates that never fall: pools of the calibration that boosted models use."""
+    df = _next_up(spark, d).filter("label is not null and rsi is not null")
+    points = df.groupBy("symbol", F.lit(0).alias("fold"), F.lit(0).alias("tree"), (F.floor("rsi") / 100).alias("score")).agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+    pools = boosting.curves(points.withColumn("rows", F.lit(boosting.LEAST_ISOTONIC).cast("long")))
+    pool = F.explode(F.arrays_zip("lo", "hi", "value")).alias("p")
+    return pools.select("symbol", pool).select("symbol", r6("p.lo", "lo"), r6("p.hi", "hi"), r6("p.value", "rate"))
+
+
+@query(None)
+def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted and calibrated models of each fold, with few trees, and the probabilities of its test bars."""
+    df = _next_up(spark, d)
+    cfg = replace(CFG, model=replace(CFG.model, n_estimators=20, learning_rate=0.2, max_depth=3))
+    folds = kept(fd.adaptive(df, cfg))
+    return boosting.score(df, folds, kept(boosting.train(df, folds, list(_SMALL), cfg)), list(_SMALL)).select(*KEY, r6("probability"))
+
+
 @query("SELECT symbol, i, round(CASE WHEN atr > 0 THEN least(0.01 * 10000 / (atr * 100), 1) ELSE 0 END, 6) AS lots FROM osc")
 def position_sizing(spark: SparkSession, d: str) -> DataFrame:
     r = CFG.risk
