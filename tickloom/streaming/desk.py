@@ -201,7 +201,7 @@ class DeskProcessor(StatefulProcessor):
     def _write(self, d: Desk, book: Book, close: float | None, timer: int | None) -> None:
         self.state.update((dumped(d), json.dumps([*book[:4], None if book.open is None else list(book.open)]), close, timer))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         d, book, close, timer = self._read()
         fills, last = [], None
         for bar in pd.concat(list(rows)).sort_values("timestamp").to_dict("records"):
@@ -218,9 +218,9 @@ class DeskProcessor(StatefulProcessor):
         if fills:
             yield pd.DataFrame(fills)
 
-    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         d, book, close, timer = self._read()
-        if timer is not None and expired.getExpiryTimeInMs() == timer:
+        if timer is not None and expiredTimerInfo.getExpiryTimeInMs() == timer:
             fill = None
             if book.open:
                 book, fill = settled(book, d.i, close, "forced", self.cfg)
