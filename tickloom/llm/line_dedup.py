@@ -1,9 +1,8 @@
 """Line dedup with content-defined chunks of lines.
 
-A rolling hash over the hashes of two successive lines tells where a chunk may end: after one line in EVERY on average, and within a run of equal lines
-after each. A chunk has LEAST lines or more, so it ends at every other one of such places where they follow each other. What comes before a
-passage thus shifts its cuts as far as the next place that is no end only, and the same run of lines is cut alike wherever it stands. Chunks
-that occurred before in the corpus are removed, after their bytes have been compared. Lines at the ends of a repeated passage stay if their chunk reaches beyond it.
+A rolling hash over the hashes of a line and the next one tells where a chunk begins: before all lines but one in EVERY, and before each line of a run of equal ones. A chunk is the LEAST lines from there on, so both its ends
+depend on its own lines alone: whatever comes before or after a passage, the same lines hold the same chunks wherever they stand. Chunks overlap; those
+that occurred before in the corpus are removed, after their bytes have been compared, and with them all of a repeated passage but a line at its end where no chunk begins.
 
 Chunks are compared in two steps: their hashes with partial aggregation over the whole corpus (a chunk that all documents share meets as one row a task), then
 the bytes of those chunks only whose hash repeats, again with partial aggregation.
@@ -22,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import stage, text_of, tidy
 from .exact_dedup import passing
 
-#: A chunk may end after one line in EVERY, on average; it has LEAST lines at least, but for the last of a text, which is not removed if it has fewer.
-EVERY, LEAST = 2, 2
-#: Fixed values of the rolling hash: line hashes are below PRIME, and the line before counts BASE times.
+#: One line in EVERY, on average, begins no chunk; a chunk has LEAST lines.
+EVERY, LEAST = 64, 2
+#: Fixed values of the rolling hash: line hashes are below PRIME, and the next line counts BASE times.
 PRIME, BASE = 2147483647, 1000003
 
 
@@ -36,20 +35,13 @@ def line_hashes(lines: list[bytes]) -> np.ndarray:
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first, after last) of all chunks of the lines."""
     own = line_hashes(lines)
-    before = np.append(0, own[:-1])
-    may = (own + before * BASE) % PRIME % EVERY == 0
-    may[1:] |= own[1:] == own[:-1]
-    may[0] = False  # of places that follow each other, every other one from the first on
-    place = np.arange(len(own))
-    since = place - np.maximum.accumulate(np.where(may, -1, place))
-    ends = np.flatnonzero(may & (since % LEAST == 1)) + 1
-    ends = np.unique(np.append(ends, len(own)))
-    return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    begins = np.flatnonzero(((own[:-1] + own[1:] * BASE) % PRIME % EVERY != 0) | (own[:-1] == own[1:]))
+    return [(a, a + LEAST) for a in begins.tolist()]
 
 
 def _cut(text: pa.Scalar) -> tuple[list[bytes], list[tuple[int, int]]]:
     lines = (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")
-    return lines, [(a, b) for a, b in chunks(lines) if b - a >= LEAST] if len(lines) >= LEAST else []
+    return lines, chunks(lines)
 
 
 @tidy
@@ -158,13 +150,11 @@ ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % {PRIME} AS h FROM lines),
-near AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hashed),
-may AS (SELECT *, before IS NOT NULL AND ((h + before * {BASE}) % {PRIME} % {EVERY} = 0 OR h = before) AS may FROM near),
-marked AS (SELECT *, may AND (i - max(CASE WHEN may THEN 0 ELSE i END) OVER (PARTITION BY doc_id ORDER BY i)) % {LEAST} = 1 AS last FROM may),
-placed AS (SELECT *, coalesce(sum(last::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked),
-chunks AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM placed GROUP BY ALL),
-judged AS (SELECT doc_id, chunk, n >= {LEAST} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM chunks)
-SELECT p.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+pairs AS (SELECT *, lead(h) OVER w AS next_h, line || chr(10) || lead(line) OVER w AS body FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+chunks AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS gone FROM pairs WHERE (h + next_h * {BASE}) % {PRIME} % {EVERY} <> 0 OR h = next_h),
+covered AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM chunks WHERE gone),
+judged AS (SELECT l.*, c.i IS NOT NULL AS gone FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.i = c.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM placed p JOIN judged j ON p.doc_id = j.doc_id AND p.chunk = j.chunk GROUP BY p.doc_id
+FROM judged GROUP BY doc_id
 """
