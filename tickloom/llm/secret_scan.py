@@ -1,7 +1,7 @@
 """Secret scans: rules find the base spans; a character convolutional network judges every candidate with its surrounding text.
 
-Candidates are runs of MIN_RUN or more characters that keys, tokens and passwords are made of, if they hold a digit or a capital after a small letter:
-nothing but its surroundings tells a password of plain letters from a word. The network is trained on the driver in numpy, on labelled findings: a
+Candidates are runs of MIN_RUN or more characters that keys, tokens and passwords are made of, if they hold a digit or a capital after a small letter, or
+if a word that announces a secret stands shortly before, or in them before a sign of equality: nothing but its surroundings tells a password of plain letters from a word. The network is trained on the driver in numpy, on labelled findings: a
 seeded set of written-out secrets and look-alikes, with and without a keyword, set into text of the corpus, and what rules label in a bounded sample of
 the corpus (secrets by the base rules; addresses, dates and numbers as clean). What no rule knows is left unlabelled. Its scores are calibrated on
 findings held out of training; named and bare findings have thresholds of their own, each the highest that keeps the recall asked for there.
@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "model")
 
 #: Words that announce a secret; they tell which threshold a finding takes.
 NAMES = re.compile(rb"(?i:passw|pwd|pass|secret|token|key|auth|bearer|cred)")
+#: The same within a run, before the value that it holds.
+INNER = re.compile(NAMES.pattern + rb"[A-Za-z_]*=")
 #: Formats that are no secrets: addresses, dates, times, phone and plain numbers, web and mail addresses.
 CLEAN = re.compile(rb"(?:\d{1,3}\.){3}\d{1,3}|[\d.+/_=-]{0,15}|\d{4}-\d\d-\d\d[A-Za-z0-9.+-]{0,12}|(?:www\.|http)[^@]*|[\w.+-]+@[\w-]+\.[\w.-]+")
 
@@ -73,9 +75,19 @@ def views(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, e
     return np.where(seen, np.where(inside, _CLASS[byte] + N_READ, _READ[byte]), 0).astype(np.uint8), run
 
 
-def named(raw: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether a word that announces a secret stands shortly before each run."""
-    return np.array([NAMES.search(raw[max(a, s - BEFORE) : s].tobytes()) is not None for a, s in zip(lo.tolist(), starts.tolist())], bool)
+def _near_names(body: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word that announces a secret begins in each run or in the BEFORE bytes before it, whatever text it is of: most runs are ruled out by this at once."""
+    at = np.array([m.start() for m in NAMES.finditer(body)], np.int64)
+    if not len(at):
+        return np.zeros(len(starts), bool)
+    last = np.searchsorted(at, ends) - 1
+    return (last >= 0) & (at[np.maximum(last, 0)] >= starts - BEFORE)
+
+
+def named(raw: np.ndarray, lo: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word that announces a secret stands shortly before each run, or in it before a sign of equality."""
+    told = lambda a, s, e: NAMES.search(raw[max(a, s - BEFORE) : s].tobytes()) or INNER.search(raw[s:e].tobytes())
+    return np.array([told(*place) is not None for place in zip(lo.tolist(), starts.tolist(), ends.tolist())], bool)
 
 
 class Net:
@@ -160,6 +172,9 @@ def written_findings(n: int, seed: int, contexts: list[tuple[str, str]] | None =
         lambda: ".".join(draw(letters + "_-", 12, 40) for _ in range(3)),
     ]
     passwords = [lambda: draw(letters + "!@#$%^&*_-", 9, 20), lambda: pick([str.capitalize, str.lower])(word() + word()) + number(1, 9999) + pick("!@#$%&*"), lambda: draw(letters, 8, 16)]
+    # of letters of one case: several words on end, or none; only what stands before tells them from a word
+    plain = [lambda: "".join(word() for _ in range(rng.integers(3, 6)))[:30], lambda: draw(lower, 12, 24), lambda: draw(upper, 14, 32)]
+    prose = lambda: pick([str.lower, str.lower, str.lower, str.capitalize, str.upper])((word() + word())[: rng.integers(8, 14)])
     camel = lambda: word() + "".join(word().capitalize() for _ in range(rng.integers(1, 4)))
     clean = [
         lambda: ".".join(number(1, 256) for _ in range(4)), lambda: f"{number(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}" + pick(["", f"T{rng.integers(10, 24)}:00Z"[:4]]), lambda: number(10**7, 10**15),
@@ -176,23 +191,36 @@ def written_findings(n: int, seed: int, contexts: list[tuple[str, str]] | None =
         before, after = before + " ", " " + after
         way = rng.integers(6 if label else 5)
         key, sign, quote = pick([str.upper, str.lower, str.capitalize])(pick(keys)), pick([" = ", "=", ": ", ":", " => ", ":= "]), pick(["", '"', "'"])
-        value = (pick(tokens) if label == 1 and (way < 3 or rng.random() < 0.5) else pick(passwords) if label else pick(clean))()
+        bare_letters = rng.random() < 0.25
+        if bare_letters:
+            value = pick(plain)() if label else prose()
+            way = rng.integers(3, 6) if label else rng.integers(0, 2)
+        else:
+            value = None
+        value = value or (pick(tokens) if label == 1 and (way < 3 or rng.random() < 0.5) else pick(passwords) if label else pick(clean))()
         if label:
             if way == 3 or way == 4:
                 before, after = before + key + sign + quote, quote + after
             elif way == 5:
-                before += pick([f"{key} is ", f"{key} ", f"your {key}: ", f"Authorization: {key} ", f"//{word()}:"])
+                before += pick([f"{key} is ", f"{key} = ", f"your {key}: ", f"the {key}: "] if bare_letters and not value.isupper() else [f"{key} is ", f"{key} ", f"your {key}: ", f"Authorization: {key} ", *([] if bare_letters else [f"//{word()}:"])])
             else:
                 before, after = before + quote, quote + after
+        elif bare_letters:  # an ordinary word after a word that announces a secret, mostly in a sentence
+            before += pick([f"{key} ", f"{key} {word()} ", f"the {key} of ", f"{key}s and ", f"{key}ing the ", f"no {key}, ", f"{key} is ", key + sign])
         elif way == 0:  # a look-alike with a word that announces a secret
             before += pick([key + sign, f"{key} ", f"the {key} of "])
         elif way == 1:
             before += pick(["see", "note", "size", "name", "id", "version", "file"]) + pick([" = ", ": ", " "])
         value = re.sub(r"[^!-~]", "", value)
-        if len(value) < MIN_RUN or not (any(c.isdigit() for c in value) or re.search("[a-z][A-Z]", value)):
+        if len(value) < MIN_RUN or not (bare_letters or any(c.isdigit() for c in value) or re.search("[a-z][A-Z]", value)):
             continue
         text = (before + value + after).encode()
-        out.append((text, len(before.encode()), len((before + value).encode()), label))
+        start, end = len(before.encode()), len((before + value).encode())
+        while start and _VALUE[text[start - 1]]:  # the run as a scan finds it
+            start -= 1
+        while end < len(text) and _VALUE[text[end]]:
+            end += 1
+        out.append((text, start, end, label))
     return out
 
 
@@ -219,9 +247,13 @@ def scan(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[int, int, int
     telling = _DIGIT[raw]
     telling[1:] |= _UP[raw[1:]] & _LOW[raw[:-1]]
     sums = np.append(0, np.cumsum(telling))
-    use = (ends - starts >= MIN_RUN) & (sums[ends] > sums[np.minimum(starts + 1, len(raw))] - _DIGIT[raw[starts]])
-    starts, ends = starts[use], ends[use]
-    return base, np.searchsorted(offsets, starts, "right") - 1, starts, ends
+    long = ends - starts >= MIN_RUN
+    starts, ends = starts[long], ends[long]
+    row = np.searchsorted(offsets, starts, "right") - 1
+    use = sums[ends] > sums[np.minimum(starts + 1, len(raw))] - _DIGIT[raw[starts]]
+    ask = np.flatnonzero(~use & _near_names(body, starts, ends))
+    use[ask] = named(raw, offsets[row[ask]], starts[ask], ends[ask])
+    return base, row[use], starts[use], ends[use]
 
 
 def _covered(base: list[tuple[int, int, int, int]], starts: np.ndarray, ends: np.ndarray, kinds: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
@@ -246,7 +278,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             clean = np.array([CLEAN.fullmatch(raw[a:b].tobytes()) is not None for a, b in zip(starts.tolist(), ends.tolist())], bool) & ~_covered(base, starts, ends)
             x, run = views(raw, offsets[row], offsets[row + 1], starts, ends)
             use = (secret | clean)[run]
-            out = [(v.tobytes(), int(s), bool(k)) for v, s, k in zip(x[use], secret[run][use], named(raw, offsets[row], starts)[run][use])]
+            out = [(v.tobytes(), int(s), bool(k)) for v, s, k in zip(x[use], secret[run][use], named(raw, offsets[row], starts, ends)[run][use])]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 body = raw[a:b].tobytes()
                 cut = body.find(b" ", len(body) // 2)
@@ -261,8 +293,9 @@ def placed(found: list[tuple[bytes, int, int, int]]) -> tuple[np.ndarray, np.nda
     hi = np.cumsum([len(t) for t, *_ in found])
     lo = hi - np.array([len(t) for t, *_ in found])
     starts = lo + np.array([a for _, a, _, _ in found])
-    x, run = views(raw, lo, hi, starts, lo + np.array([b for _, _, b, _ in found]))
-    return x, np.array([label for *_, label in found])[run], named(raw, lo, starts)[run], run
+    ends = lo + np.array([b for _, _, b, _ in found])
+    x, run = views(raw, lo, hi, starts, ends)
+    return x, np.array([label for *_, label in found])[run], named(raw, lo, starts, ends)[run], run
 
 
 def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Net:
@@ -298,7 +331,7 @@ def _scanner(net: Net) -> Callable:
                 x, of = views(raw, offsets[row], offsets[row + 1], starts, ends)
                 score = np.zeros(len(starts))
                 np.maximum.at(score, of, net.score(x))
-                add = net.judge(score, named(raw, offsets[row], starts)) & ~_covered(base, starts, ends)
+                add = net.judge(score, named(raw, offsets[row], starts, ends)) & ~_covered(base, starts, ends)
                 spans = [(r, a, k, b, 1.0) for r, k, a, b in base] + [(int(r), int(a), 3, int(b), float(s)) for r, a, b, s in zip(row[add], starts[add], ends[add], score[add])]
                 points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 found += [(lo + r, int(points[a] - points[offsets[r]]), k, int(points[b] - points[offsets[r]]), s) for r, a, k, b, s in spans]
