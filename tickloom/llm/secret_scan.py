@@ -4,7 +4,7 @@ Candidates are runs of MIN_RUN or more characters that keys, tokens and password
 if a word that announces a secret stands shortly before, or in them before a sign of equality: nothing but its surroundings tells a password of plain letters from a word. The network is trained on the driver in numpy, on labelled findings: a
 seeded set of written-out secrets and look-alikes, with and without a keyword, set into text of the corpus, and what rules label in a bounded sample of
 the corpus (secrets by the base rules; addresses, dates and numbers as clean). What no rule knows is left unlabelled. Its scores are calibrated on
-findings held out of training; named and bare findings have thresholds of their own, each the highest that keeps the recall asked for there.
+findings held out of training; bare findings, named ones and named ones of plain letters have thresholds of their own, each the highest that keeps the recall asked for there.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "model")
 NAMES = re.compile(rb"(?i:passw|pwd|pass|secret|token|key|auth|bearer|cred)")
 #: The same within a run, before the value that it holds.
 INNER = re.compile(NAMES.pattern + rb"[A-Za-z_]*=")
+#: What makes a run a candidate by itself.
+TELLING = re.compile(rb"\d|[a-z][A-Z]")
 #: Formats that are no secrets: addresses, dates, times, phone and plain numbers, web and mail addresses.
 CLEAN = re.compile(rb"(?:\d{1,3}\.){3}\d{1,3}|[\d.+/_=-]{0,15}|\d{4}-\d\d-\d\d[A-Za-z0-9.+-]{0,12}|(?:www\.|http)[^@]*|[\w.+-]+@[\w-]+\.[\w.-]+")
 
@@ -90,6 +92,12 @@ def named(raw: np.ndarray, lo: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return np.array([told(*place) is not None for place in zip(lo.tolist(), starts.tolist(), ends.tolist())], bool)
 
 
+def kinds(raw: np.ndarray, lo: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each run which threshold it takes: 0 bare, 1 named, 2 named and of plain letters."""
+    plain = np.array([TELLING.search(raw[s:e].tobytes()) is None for s, e in zip(starts.tolist(), ends.tolist())], bool)
+    return named(raw, lo, starts, ends) * (1 + plain.astype(np.int64))
+
+
 class Net:
     """One convolution over symbols, the maximum and the mean over positions, one output."""
 
@@ -97,7 +105,7 @@ class Net:
         rng = np.random.default_rng(seed)
         n = N_READ + N_CLASSES
         self.params = {"w": rng.normal(0, 0.15, (WIDTH, n, FILTERS)), "b": np.zeros(FILTERS), "v": rng.normal(0, 0.3, 2 * FILTERS), "c": np.zeros(1)}
-        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5)
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5, 0.5)
 
     def _pool(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Activations at all positions, where each filter's maximum is, and the pooled values."""
@@ -134,8 +142,8 @@ class Net:
                     s += 0.001 * (g * g - s)
                     self.params[name] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, announced: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out findings, then of bare and of named ones the highest threshold that keeps the recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray, recall: float) -> None:
+        """Platt scaling on held-out findings, then of each kind the highest threshold that keeps the recall."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(30):
@@ -145,14 +153,14 @@ class Net:
             h = np.array([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-3]])
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
-        good = [np.sort(self.score(x[(y == 1) & (announced == kind)])) for kind in (False, True)]
+        good = [np.sort(self.score(x[(y == 1) & (kind == k)])) for k in range(3)]
         self.thresholds = tuple(float(g[int(np.floor((1 - recall) * len(g)))]) if len(g) else 1.0 for g in good)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
-    def judge(self, score: np.ndarray, announced: np.ndarray) -> np.ndarray:
-        return score >= np.where(announced, self.thresholds[1], self.thresholds[0])
+    def judge(self, score: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return score >= np.array(self.thresholds)[kind]
 
 
 def written_findings(n: int, seed: int, contexts: list[tuple[str, str]] | None = None) -> list[tuple[bytes, int, int, int]]:
@@ -268,7 +276,7 @@ def _covered(base: list[tuple[int, int, int, int]], starts: np.ndarray, ends: np
 
 @tidy
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Views, labels and names of the candidates that a rule labels, and (label null) a place of each text: what stands before and after it."""
+    """Views, labels and kinds of the candidates that a rule labels, and (label null) a place of each text: what stands before and after it."""
     for batch in batches:
         raw_all, offsets_all = utf8(batch.column("text"))
         for lo, hi in steps(offsets_all):
@@ -278,24 +286,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             clean = np.array([CLEAN.fullmatch(raw[a:b].tobytes()) is not None for a, b in zip(starts.tolist(), ends.tolist())], bool) & ~_covered(base, starts, ends)
             x, run = views(raw, offsets[row], offsets[row + 1], starts, ends)
             use = (secret | clean)[run]
-            out = [(v.tobytes(), int(s), bool(k)) for v, s, k in zip(x[use], secret[run][use], named(raw, offsets[row], starts, ends)[run][use])]
+            out = [(v.tobytes(), int(s), int(k)) for v, s, k in zip(x[use], secret[run][use], kinds(raw, offsets[row], starts, ends)[run][use])]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 body = raw[a:b].tobytes()
                 cut = body.find(b" ", len(body) // 2)
                 if cut > 0:
                     out.append((body[max(0, cut - BEFORE) : cut] + b"\0" + body[cut + 1 : cut + 1 + AFTER], None, None))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["x", "y", "named"]).astype({"y": "Int64", "named": "boolean"}), schema=pa.schema([("x", pa.binary()), ("y", pa.int64()), ("named", pa.bool_())]), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["x", "y", "kind"]).astype({"y": "Int64", "kind": "Int64"}), schema=pa.schema([("x", pa.binary()), ("y", pa.int64()), ("kind", pa.int64())]), preserve_index=False)
 
 
 def placed(found: list[tuple[bytes, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Views, labels and names of written findings, and the finding of each view."""
+    """Views, labels and kinds of written findings, and the finding of each view."""
     raw = np.frombuffer(b"".join(t for t, *_ in found), np.uint8)
     hi = np.cumsum([len(t) for t, *_ in found])
     lo = hi - np.array([len(t) for t, *_ in found])
     starts = lo + np.array([a for _, a, _, _ in found])
     ends = lo + np.array([b for _, _, b, _ in found])
     x, run = views(raw, lo, hi, starts, ends)
-    return x, np.array([label for *_, label in found])[run], named(raw, lo, starts, ends)[run], run
+    return x, np.array([label for *_, label in found])[run], kinds(raw, lo, starts, ends)[run], run
 
 
 def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Net:
@@ -303,19 +311,19 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Net:
     only views of their labelled candidates, and one place of each, come to the driver. All labelled ones are used, repeated views once."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     drawn = docs.select(text_of(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    sample = drawn.mapInArrow(_sampled, "x binary, y long, named boolean").distinct().toPandas().drop_duplicates("x").sort_values("x")
+    sample = drawn.mapInArrow(_sampled, "x binary, y long, kind long").distinct().toPandas().drop_duplicates("x").sort_values("x")
     places = [p.split(b"\0") for p in sample.x[sample.y.isna()]]
     contexts = [(a.decode(errors="ignore"), b.decode(errors="ignore")) for a, b in (p for p in places if len(p) == 2)]
-    x, y, announced, _ = placed(written_findings(WRITTEN, seed, contexts))
+    x, y, kind, _ = placed(written_findings(WRITTEN, seed, contexts))
     if len(sample := sample[sample.y.notna()]):
         x = np.concatenate([x, np.stack([np.frombuffer(v, np.uint8) for v in sample.x])])
-        y, announced = np.concatenate([y, sample.y.to_numpy(np.int64)]), np.concatenate([announced, sample.named.to_numpy(bool)])
+        y, kind = np.concatenate([y, sample.y.to_numpy(np.int64)]), np.concatenate([kind, sample.kind.to_numpy(np.int64)])
     by_rule = np.arange(len(y)) >= len(y) - len(sample)
     held = np.random.default_rng(seed).random(len(y)) < 0.3
     net = Net(seed)
     net.fit(x[~held], y[~held].astype(float), seed)
     told = held & ~(by_rule & (y == 1))  # findings that the rules name do not set the thresholds
-    net.calibrate(x[told], y[told].astype(float), announced[told], RECALL)
+    net.calibrate(x[told], y[told].astype(float), kind[told], RECALL)
     return net
 
 
@@ -331,7 +339,7 @@ def _scanner(net: Net) -> Callable:
                 x, of = views(raw, offsets[row], offsets[row + 1], starts, ends)
                 score = np.zeros(len(starts))
                 np.maximum.at(score, of, net.score(x))
-                add = net.judge(score, named(raw, offsets[row], starts, ends)) & ~_covered(base, starts, ends)
+                add = net.judge(score, kinds(raw, offsets[row], starts, ends)) & ~_covered(base, starts, ends)
                 spans = [(r, a, k, b, 1.0) for r, k, a, b in base] + [(int(r), int(a), 3, int(b), float(s)) for r, a, b, s in zip(row[add], starts[add], ends[add], score[add])]
                 points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 found += [(lo + r, int(points[a] - points[offsets[r]]), k, int(points[b] - points[offsets[r]]), s) for r, a, k, b, s in spans]
