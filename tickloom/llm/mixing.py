@@ -1,20 +1,24 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
-All that is done per source works on sums with partial aggregation. A source's fraction is a set of hash bins, at most BINS a source, taken
-from the first one on while they fit; then the heaviest bins that still fit, once more each, fill what is left. Bins heavier than all that is wanted (a long document in a
-small source) stand aside, and the others repeat more instead. So no source's rows are sorted or gathered.
+All that is done per source works on sums with partial aggregation. A source's documents are dealt into hash bins, at most BINS a source. Each is taken as often as the target holds the whole
+source, and some once more, or twice: those whose sizes add up to what is then left of the target, or come nearest to it, found by the sums that can be
+reached. That is one pass over a source's bins, in one small table; no source's rows are sorted or gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import partitions, small, stage, text_of, word_count
 
-#: Hash bins of a source, how many single bins fill up what the first ones leave of its target, and how many too heavy ones may stand aside.
-BINS, FILLERS, ASIDE = 4096, 4, 16
+#: Hash bins of a source, and the words of a target up to which sums are looked at one by one; more is filled with bins in order down to half of that first.
+BINS, EXACT = 4096, 1 << 18
 
 
 def hash_bin(ident: Column, text: Column, seed: int) -> Column:
@@ -48,51 +52,70 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def plan(sized: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, target, and what times() goes by, from staged (source, size, bin)."""
+    """source, source_size, target, bin, reps, from staged (source, size, bin)."""
     bins = stage(sized.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
     sources = numbered(bins.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("n") % len(weights) + 1).cast("int"))
     filled = water_fill(stage(sources.select("source", "source_size", weight.alias("weight")), "mix-sources"), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     filled = filled.withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    same = F.col("of").eqNullSafe(F.col("source"))
-    of = bins.withColumnRenamed("source", "of")
-    # -size first: array_sort puts the heaviest in front; a source has BINS entries at most
-    heavy = of.join(filled, same).filter("whole < " + str(max_epochs) + " and size > rest and rest > 0").groupBy("of").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "bin"))), 1, ASIDE).alias("heavy"))
-    light = F.col("source_size") + F.aggregate(F.col("heavy.minus"), F.lit(0).cast("long"), lambda x, y: x + y)
-    filled = filled.join(heavy, same, "left").withColumn("aside", F.coalesce(F.col("heavy.bin"), F.array().cast("array<int>"))).withColumn("light", F.coalesce(light, F.col("source_size")))
-    again = F.when(F.col("light") > 0, F.least(F.floor(F.col("rest") / F.col("light")), F.lit(max_epochs) - F.col("whole"))).otherwise(0).cast("long")
-    filled = filled.withColumn("again", again).select("source", "source_size", "target", "whole", "aside", "again", (F.col("rest") - F.col("again") * F.col("light")).alias("rest"))
-    filled, room = stage(filled, "mix-filled"), F.col("whole") + F.col("again") < max_epochs
-    open_ = of.join(filled, same).filter(room & ~F.array_contains("aside", F.col("bin"))).select("of", "bin", "size", "rest")
-    taken = open_.withColumn("upto", F.sum("size").over(W.partitionBy("of").orderBy("bin"))).filter("upto <= rest")
-    last = taken.groupBy("of").agg(F.max("bin").alias("last_bin"), F.max("upto").alias("got"))
-    left = F.when(room, F.col("rest") - F.coalesce("got", F.lit(0))).otherwise(0.0)
-    plain = ["source", "source_size", "target", "whole", "aside", "again"]
-    planned = filled.join(last, same, "left").select(*plain, F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), left.alias("left"), F.array().cast("array<int>").alias("extra"))
-    for _ in range(FILLERS):
-        planned = stage(planned, "mix-plan")
-        fits = of.join(planned, same).filter("size > 0 and size <= left and not array_contains(aside, bin)").filter(times(F.col("bin")) < max_epochs)
-        best = fits.groupBy("of").agg(F.max_by(F.struct("bin", "size"), F.col("size") * BINS - F.col("bin")).alias("best"))
-        more = F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.bin")))
-        planned = planned.join(best, same, "left").select(*plain, "last_bin", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), more.alias("extra"))
-    return stage(planned.drop("left"), "mix-plan")
-
-
-RULE = ("whole", "aside", "again", "last_bin", "extra")
-
-
-def times(bin_: Column, rule: str = "") -> Column:
-    """How often the documents of a bin are taken, by the columns RULE (under the struct rule)."""
-    whole, aside, again, last_bin, extra = (F.col(rule + c) for c in RULE)
-    more = F.size(F.filter(extra, lambda x: x == bin_)).cast("long")
-    return whole + F.when(F.array_contains(aside, bin_), 0).otherwise(again + (bin_ <= last_bin).cast("long") + more)
+    rows = bins.withColumnRenamed("source", "of").join(filled, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+    kind = sized.schema["source"].dataType.simpleString()
+    schema = f"source {kind}, source_size long, target double, bin int, reps long"
+    chosen = rows.select("source", "source_size", "target", "whole", "rest", "bin", "size").groupBy("source").applyInArrow(_chosen(max_epochs), schema)
+    return stage(chosen, "mix-plan")
+
+
+def filled_up(sizes: np.ndarray, want: float, copies: int) -> np.ndarray:
+    """How often each of the sizes (in the order of their bins) is taken, copies times at most, so that the sum is as near to want as can be; of two equally near the lower one.
+    First copies come before second ones, and a sum is made of the first sizes that reach it."""
+    taken, left = np.zeros(len(sizes), np.int64), want
+    order = [(k, int(w)) for _ in range(copies) for k, w in enumerate(sizes.tolist()) if w > 0]
+    if left > EXACT:
+        rest = []
+        for k, w in order:
+            if w <= left - EXACT / 2:
+                taken[k] += 1
+                left -= w
+            else:
+                rest.append((k, w))
+        order = rest
+    most = int(np.floor(2 * left))
+    if left <= 0 or most > 2 * EXACT:
+        return taken
+    reach, via = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int64)
+    reach[0], nearest = True, int(np.ceil(left - 0.5))
+    for n, (_, w) in enumerate(order):
+        if w > most:
+            continue
+        new = np.flatnonzero(reach[: most + 1 - w] & ~reach[w:]) + w
+        reach[new], via[new] = True, n
+        if reach[nearest]:
+            break
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - left))])
+    while at:
+        k, w = order[via[at]]
+        taken[k] += 1
+        at -= w
+    return taken
+
+
+def _chosen(max_epochs: int) -> Callable:
+    def run(rows: pa.Table) -> pa.Table:
+        """Of a source's bins how often each is taken."""
+        rows = rows.sort_by("bin")
+        whole, want = rows.column("whole")[0].as_py(), rows.column("rest")[0].as_py()
+        reps = whole + filled_up(rows.column("size").to_numpy(), want, max_epochs - whole)
+        return pa.table({c: rows.column(c) for c in ("source", "source_size", "target", "bin")} | {"reps": pa.array(reps)})
+
+    return run
 
 
 def repetitions(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """Adds source_size, target and reps to rows with (source, bin). The plan is broadcast if it counts few sources, else joined by shuffle."""
-    planned = small(planned.withColumnRenamed("source", "of"))
-    return rows.join(planned, F.col("source").eqNullSafe(F.col("of"))).withColumn("reps", times(F.col("bin"))).drop("of", *RULE)
+    """Adds source_size, target and reps to rows with (source, bin). The plan is broadcast if it counts few bins, else joined by shuffle."""
+    planned = small(planned.withColumnRenamed("source", "of").withColumnRenamed("bin", "_bin"))
+    return rows.join(planned, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("_bin"))).drop("of", "_bin")
 
 
 def mix_plan(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -112,19 +135,18 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     cols = docs.columns
     key = F.struct(F.col(source_col).alias("source"), hash_bin(F.col(id_col), text_of(text_col), seed).alias("bin"))
     sized = stage(docs.select(key.alias("k"), word_count(text_of(text_col)).alias("size")).select("k.source", "k.bin", "size"), "mix-sizes")
-    planned = small(plan(sized, max_epochs, weights).select(F.struct("source", *RULE).alias("p")))
-    rows = docs.select(F.struct(*[f"`{c}`" for c in cols]).alias("doc"), key.alias("k")).join(planned, F.col("k.source").eqNullSafe(F.col("p.source")))
-    reps = times(F.col("k.bin"), "p.")
-    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).select("doc.*")
+    planned = small(plan(sized, max_epochs, weights).select(F.struct("source", "bin", "reps").alias("p")))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in cols]).alias("doc"), key.alias("k")).join(planned, F.col("k.source").eqNullSafe(F.col("p.source")) & (F.col("k.bin") == F.col("p.bin")))
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("p.reps").cast("int")))).select("doc.*")
 
 
-ORACLE = f"""
-WITH sized AS (
+ORACLE = """
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7:' || md5(coalesce(text, ''))), 1, 3))::INTEGER AS bin
   FROM documents),
-sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-sources AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sums),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+sources AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM totals),
 ranked AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM sources),
 levels AS (
   SELECT k, cap, weight,
@@ -136,20 +158,20 @@ filled AS (SELECT source, source_size, CASE WHEN level * weight > cap THEN cap::
 split AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM filled),
 bins AS (SELECT source, bin, sum(size)::BIGINT AS size FROM sized GROUP BY ALL),
 wanted AS (SELECT *, target - whole * source_size AS rest FROM split),
-heavy AS (SELECT b.source, (list(bin ORDER BY size DESC, bin))[1:{ASIDE}] AS aside, list_sum((list(size ORDER BY size DESC, bin))[1:{ASIDE}])::BIGINT AS weight
-  FROM bins b JOIN wanted w ON b.source IS NOT DISTINCT FROM w.source WHERE whole < 3 AND size > rest AND rest > 0 GROUP BY b.source),
-parted AS (SELECT w.*, coalesce(aside, []::INTEGER[]) AS aside, source_size - coalesce(weight, 0) AS light FROM wanted w LEFT JOIN heavy h ON h.source IS NOT DISTINCT FROM w.source),
-once AS (SELECT *, CASE WHEN light > 0 THEN least(floor(rest / light), 3 - whole) ELSE 0 END::BIGINT AS again FROM parted),
-open_ AS (SELECT o.source, bin, size, sum(size) OVER (PARTITION BY o.source ORDER BY bin) AS upto, rest - again * light AS rest
-  FROM bins b JOIN once o ON b.source IS NOT DISTINCT FROM o.source WHERE whole + again < 3 AND NOT list_contains(aside, bin)),
-cut AS (SELECT source, max(bin) AS last_bin, max(upto) AS got FROM open_ WHERE upto <= rest GROUP BY source),
-fill0 AS (SELECT o.* EXCLUDE (rest, light), coalesce(last_bin, -1) AS last_bin, CASE WHEN whole + again < 3 THEN rest - again * light - coalesce(got, 0) ELSE 0 END AS left_, []::INTEGER[] AS extra
-  FROM once o LEFT JOIN cut c ON c.source IS NOT DISTINCT FROM o.source),
-{"".join(f"""fill{k + 1} AS (SELECT f.* EXCLUDE (left_, extra), left_ - coalesce(b.size, 0) AS left_, CASE WHEN b.bin IS NULL THEN extra ELSE list_append(extra, b.bin) END AS extra FROM fill{k} f
-  LEFT JOIN (SELECT g.source, arg_max(bin, size * {BINS} - bin) AS bin, max(size) AS size FROM bins g JOIN fill{k} h ON g.source IS NOT DISTINCT FROM h.source
-    WHERE size > 0 AND size <= left_ AND NOT list_contains(aside, bin) AND whole + again + (bin <= last_bin)::BIGINT + len(list_filter(extra, lambda x: x = bin)) < 3 GROUP BY g.source) b ON b.source IS NOT DISTINCT FROM f.source),
-""" for k in range(FILLERS))}
-done AS (SELECT *, whole + CASE WHEN list_contains(aside, z.bin) THEN 0 ELSE again + (z.bin <= last_bin)::BIGINT + len(list_filter(extra, lambda x: x = z.bin)) END AS reps
-  FROM sized z JOIN fill{FILLERS} c ON z.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, source, size, source_size, target, reps, size * reps AS taken FROM done
+-- sums that can be reached, as bits: after each item (a bin once more) those before, and those before moved on by its size. Targets here are below EXACT.
+items AS (SELECT w.source, b.bin, b.size::INTEGER AS size, floor(2 * rest)::INTEGER AS most, rest, row_number() OVER (PARTITION BY w.source ORDER BY c, b.bin) AS k
+  FROM wanted w JOIN bins b ON b.source IS NOT DISTINCT FROM w.source JOIN (SELECT unnest(range(1, 4)) AS c) ON c <= 3 - whole WHERE rest > 0 AND b.size > 0 AND b.size <= floor(2 * rest)),
+reach AS (
+  SELECT source, 0::BIGINT AS k, set_bit(bitstring('0', floor(2 * rest)::INTEGER + 1), 0, 1) AS bits FROM wanted WHERE rest > 0
+  UNION ALL SELECT i.source, i.k, r.bits | (r.bits >> i.size) FROM reach r JOIN items i ON i.source IS NOT DISTINCT FROM r.source AND i.k = r.k + 1),
+last AS (SELECT r.source, r.k, r.bits, w.rest FROM reach r JOIN wanted w ON w.source IS NOT DISTINCT FROM r.source QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY r.k DESC) = 1),
+sums AS MATERIALIZED (SELECT source, k, arg_min(s, abs(s - rest) * 2 + s * 1e-9) AS spot FROM (SELECT source, k, rest, bits, unnest(range(0, bit_length(bits)::INTEGER)) AS s FROM last) WHERE get_bit(bits, s::INTEGER) = 1 GROUP BY source, k),
+back AS (
+  SELECT source, k, spot, NULL::INTEGER AS bin FROM sums
+  UNION ALL SELECT b.source, b.k - 1, CASE WHEN get_bit(r.bits, b.spot::INTEGER) = 1 THEN b.spot ELSE b.spot - i.size END, CASE WHEN get_bit(r.bits, b.spot::INTEGER) = 1 THEN NULL ELSE i.bin END
+    FROM back b JOIN reach r ON r.source IS NOT DISTINCT FROM b.source AND r.k = b.k - 1 JOIN items i ON i.source IS NOT DISTINCT FROM b.source AND i.k = b.k),
+more AS (SELECT source, bin, count(*) AS n FROM back WHERE bin IS NOT NULL GROUP BY ALL),
+done AS (SELECT z.*, w.source_size, w.target, w.whole + coalesce(m.n, 0) AS reps
+  FROM sized z JOIN wanted w ON z.source IS NOT DISTINCT FROM w.source LEFT JOIN more m ON m.source IS NOT DISTINCT FROM z.source AND m.bin = z.bin)
+SELECT doc_id, source, size, source_size, target, reps::BIGINT AS reps, size * reps::BIGINT AS taken FROM done
 """
