@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.series import WIDTH
+from ..functions import series
 from ..staging import kept
 from .intervals import matches
 from .risk import CONTRACT, breached, net_pnl
@@ -85,9 +85,9 @@ def next_entries(possible: DataFrame) -> DataFrame:
     return e.join(found, ["symbol", "entry_i"], "left")
 
 
-def chained(pointed: DataFrame, width: int = WIDTH) -> DataFrame:
+def chained(pointed: DataFrame) -> DataFrame:
     """The entries of the chain from each symbol's first entry on, by block: symbol, block, entry_i, stop_dist, move."""
-    packs = kept(pointed.withColumn("block", F.floor(F.col("entry_i") / width)))
+    packs = kept(pointed.withColumn("block", F.floor(F.col("entry_i") / series.WIDTH)))
     lands = kept(packs.groupBy("symbol", "block").applyInArrow(_landed, "symbol string, gate long, jump long"))
     reached = kept(pointed.groupBy("symbol").agg(F.min("entry_i").alias("gate")))
     jumps = lands.filter("jump is not null")
@@ -99,7 +99,7 @@ def chained(pointed: DataFrame, width: int = WIDTH) -> DataFrame:
         reached = kept(reached.unionByName(new))
         onward = jumps.select(F.col("symbol"), F.col("gate").alias("jump"), F.col("jump").alias("_far"))
         jumps = kept(jumps.join(onward, ["symbol", "jump"]).select("symbol", "gate", F.col("_far").alias("jump")))
-    gates = reached.select("symbol", F.floor(F.col("gate") / width).alias("block"), "gate")
+    gates = reached.select("symbol", F.floor(F.col("gate") / series.WIDTH).alias("block"), "gate")
     return packs.join(gates, ["symbol", "block"]).groupBy("symbol", "block").applyInArrow(_followed, "symbol string, block long, entry_i long, stop_dist double, move double")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.series import WIDTH
+from ..functions import series
 from ..staging import kept
 
 #: Bars of a recurrence's block at most, and the exponent that doubles hold.
@@ -29,11 +29,11 @@ _OVER = {
 }
 
 
-def carried(df: DataFrame, columns: dict[str, tuple[str, Column, int]], width: int = WIDTH) -> DataFrame:
+def carried(df: DataFrame, columns: dict[str, tuple[str, Column, int]]) -> DataFrame:
     """Adds each named column: the last known value, the max or the sum of its input over the symbol's bars up to the bar (0) or to the one before (-1); null where there is none.
     columns: name -> (kind, input, 0 or -1)."""
     plain = df.columns
-    df = kept(df.withColumns({f"_x_{n}": x for n, (_, x, _) in columns.items()} | {"_block": F.floor(F.col("i") / width)}))
+    df = kept(df.withColumns({f"_x_{n}": x for n, (_, x, _) in columns.items()} | {"_block": F.floor(F.col("i") / series.WIDTH)}))
     inside = W.partitionBy("symbol", "_block").orderBy("i")
     local = df.withColumns({f"_l_{n}": _OVER[kind][0](F.col(f"_x_{n}")).over(inside.rowsBetween(W.unboundedPreceding, upto)) for n, (kind, _, upto) in columns.items()})
     table = df.groupBy("symbol", "_block").agg(*[_OVER[kind][1](F.col(f"_x_{n}")).alias(f"_e_{n}") for n, (kind, _, _) in columns.items()])
