@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -139,6 +140,30 @@ def test_sharding(docs, messy, empty, limit):
     assert sharding.shard_directory(empty, limit).count() == 0
 
 
+def test_index_takes_batches(spark):
+    """Several batches give what one gives, hits of each batch are told at once, and full levels are merged."""
+    rng = random.Random(31)
+    digest = lambda k: hashlib.sha256(b"%d" % k).digest()
+    batches = [[(bytearray(digest(rng.randint(0, 300))), rng.choice([None, *range(50)]) if rng.random() < 0.1 else rng.randint(0, 10**6)) for _ in range(120)] for _ in range(7)]
+    frames = [spark.createDataFrame(b, "digest binary, doc_id long") for b in batches]
+    index, seen = exact_dedup.MergeIndex(fanout=3), {}
+    for b, f in zip(batches, frames):
+        got = {bytes(r.digest) for r in index.insert(f).collect()}
+        own = [bytes(d) for d, _ in b]
+        assert got == {d for d in own if own.count(d) > 1 or d in seen}
+        for d, i in b:
+            seen.setdefault(bytes(d), []).append(i)
+    assert [len(level) for level in index.levels] == [1, 2]
+    want = {d: (len(ids), min((i for i in ids if i is not None), default=None), max((i for i in ids if i is not None), default=None)) for d, ids in seen.items()}
+    told = lambda df: {bytes(r.digest): (r.n, r.lo, r.hi) for r in df.collect()}
+    assert told(index.merged()) == want
+    one = exact_dedup.MergeIndex()
+    one.insert(reduce(lambda a, b: a.unionByName(b), frames))
+    assert told(one.merged()) == want
+    some = spark.createDataFrame([(bytearray(digest(k)),) for k in range(290, 320)], "digest binary")
+    assert told(index.known(some)) == {d: v for d, v in want.items() if d in {digest(k) for k in range(290, 320)}}
+
+
 def test_mixing(docs, messy, empty):
     rows = mixing.mix_plan(docs).collect()
     want = run_oracle(docs, mixing.ORACLE).set_index("doc_id")
