@@ -250,6 +250,11 @@ def test_sample_source(spark, tmp_path):
     assert read_bars(spark, str(tmp_path / "out"), strict=False).count() == 900
 
 
+def test_one_row_of_the_matrix(spark):
+    m = spark.createDataFrame([("A", 0, 1.0), ("A", 1, 2.0), ("B", 1, 3.0)], "symbol string, i long, x double")
+    assert [r.x for r in ft.row(m, "A", 1).collect()] == [2.0] and ft.row(m, "A", 9).count() == 0
+
+
 def test_config_guard_and_broker(spark, tmp_path):
     assert from_dict({"features": {"atr_window": 20}, "labeling": {"atr_window": 20}, "odd": 1}).features.atr_window == 20
     with pytest.raises(ValueError):

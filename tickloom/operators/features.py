@@ -78,6 +78,11 @@ def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> D
     return df.select("symbol", "i", "timestamp", "close", *[F.col(n).cast("double").alias(n) for n in names], lacks.alias("warmup"))
 
 
+def row(matrix: DataFrame, symbol: str, i: int) -> DataFrame:
+    """The features of one bar; no row if there is no such bar."""
+    return matrix.filter((F.col("symbol") == symbol) & (F.col("i") == i))
+
+
 def vector(names: list[str]) -> Column:
     """The features in order, null and NaN as 0."""
     return F.array(*[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)) for n in names])

@@ -170,6 +170,13 @@ def killzones(spark: SparkSession, d: str) -> DataFrame:
     return event_bars(spark, d).withColumns(flags).select(*KEY, *flags)
 
 
+@query("""SELECT symbol, i, hour(timestamp) BETWEEN 0 AND 2 AS in_asia, hour(timestamp) BETWEEN 17 AND 19 AS in_newyork_pm, false AS in_sydney, hour(timestamp) BETWEEN 0 AND 2 OR hour(timestamp) BETWEEN 17 AND 19 AS in_killzone FROM bars""")
+def killzones_other(spark: SparkSession, d: str) -> DataFrame:
+    """The zones that are off by default, and one that there is not."""
+    flags = sessions(("asia", "newyork_pm", "sydney"))
+    return event_bars(spark, d).withColumns(flags).select(*KEY, *flags)
+
+
 @query("SELECT symbol, i, round(pd_position, 6) AS pd_position, pd_position > 0.5 AS premium FROM pd")
 def premium_discount(spark: SparkSession, d: str) -> DataFrame:
     return st.premium_discount(event_bars(spark, d)).select(*KEY, r6("pd_position"), "premium")
