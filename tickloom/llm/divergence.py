@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import partitions, small, stage, steps, text_of, tidy, utf8, words
 
 #: Levels of a block's trees, groups of a tile, states of a walk that are opened at once, and the ranks of terms that are told.
-LEVELS, TILE, WALK, TOP = 12, 64, 1 << 20, 200
+LEVELS, TILE, WALK, TOP = 12, 64, 1 << 18, 200
 #: Documents that a kept term is in at least, and the unit of shares.
 LEAST_DOCS, UNIT = 3, 1_000_000_000
 #: Bytes of text counted together, before counts are handed on.
-COUNTED = 8 << 20
+COUNTED = 4 << 20
 
 _BYTE = np.arange(256)
 #: ASCII characters that are no letters part terms; A to Z become small.
