@@ -70,8 +70,10 @@ def feature_matrix(df: DataFrame, cfg: Config, zones: dict[str, DataFrame]) -> D
     }
     df = df.withColumns(more)
     df = own(df.withColumns({f"{s}_lag{k}": lagged(F.col(s).cast("double"), k) for s in LAGGED for k in f.return_windows}))
-    df = df.join(z.distances(bars, zones["fvg"], "dist_to_fvg"), ["symbol", "i"], "left")
-    df = df.join(z.distances(bars, zones["ifvg"], "dist_to_ifvg"), ["symbol", "i"], "left") if ict.ifvg_enabled else df.withColumn("dist_to_ifvg", F.lit(None).cast("double"))
+    near = {"dist_to_fvg": zones["fvg"]} | ({"dist_to_ifvg": zones["ifvg"]} if ict.ifvg_enabled else {})
+    df = df.join(z.distances(bars, near), ["symbol", "i"], "left")
+    if not ict.ifvg_enabled:
+        df = df.withColumn("dist_to_ifvg", F.lit(None).cast("double"))
     lacks = F.lit(False)
     for n in names:
         lacks = lacks | F.col(n).isNull()

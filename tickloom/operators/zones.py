@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,26 +46,30 @@ def inverted(zones: DataFrame, df: DataFrame) -> DataFrame:
 
 def distance_to_nearest(df: DataFrame, zones: DataFrame, name: str) -> DataFrame:
     """Adds name: see distances()."""
-    return df.join(distances(df, zones, name), ["symbol", "i"], "left")
+    return df.join(distances(df, {name: zones}), ["symbol", "i"], "left")
 
 
-def distances(df: DataFrame, zones: DataFrame, name: str) -> DataFrame:
-    """(symbol, i, name): the gap, in ATR, between close and the nearest zone created so far (0 inside one; zones never end), of bars with an ATR above zero that have
-    such a zone. df: with atr.
+def distances(df: DataFrame, zones: dict[str, DataFrame]) -> DataFrame:
+    """(symbol, i) and, by name of each set of zones, the gap, in ATR, between close and the nearest zone of the set created so far (0 inside one; zones never end; null if there is
+    none), of bars with an ATR above zero. df: with atr.
 
     The bars up to i are as many dyadic blocks as i + 1 has bits set; a zone stands in one block of each level. In a block zones and closes are put in one order by
     price: of the zones that begin at a close or below, the highest top is at the close or above (the close lies in a zone) or is the nearest one below;
-    the next zone to begin is the nearest one above. So bars times levels rows are sorted, and no zone meets all later bars.
+    the next zone to begin is the nearest one above. So bars times levels rows are sorted, and no zone meets all later bars. All sets are looked up at once.
     """
     priced = df.filter("close is not null and atr > 0").select("symbol", "i", "close", "atr")
     levels = df.groupBy("symbol").agg(F.max("i").alias("_end"))
-    placed = zones.select("symbol", "top", "bottom", "created_i").join(levels, "symbol").withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_end") + 1)).cast("int"))))
+    all_zones = reduce(DataFrame.unionByName, [z.select("symbol", "top", "bottom", "created_i", F.lit(k).alias("set")) for k, z in enumerate(zones.values())])
+    placed = all_zones.join(levels, "symbol").withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_end") + 1)).cast("int"))))
     none = F.lit(None).cast("double")
-    placed = placed.select("symbol", "level", F.expr("shiftright(created_i, level)").alias("block"), F.col("bottom").alias("price"), F.lit(0).alias("kind"), "top", "bottom", F.lit(None).cast("long").alias("i"), none.alias("atr"))
+    placed = placed.select("symbol", "set", "level", F.expr("shiftright(created_i, level)").alias("block"), F.col("bottom").alias("price"), F.lit(0).alias("kind"), "top", "bottom", F.lit(None).cast("long").alias("i"), none.alias("atr"))
     bits = F.filter(F.sequence(F.lit(0), F.floor(F.log2(F.col("i") + 1)).cast("int")), lambda k: F.expr("i + 1").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
-    asked = priced.withColumn("level", F.explode(bits)).select("symbol", "level", (F.expr("shiftright(i + 1, level)") - 1).alias("block"), F.col("close").alias("price"), F.lit(1).alias("kind"), none.alias("top"), none.alias("bottom"), "i", "atr")
-    by_price = W.partitionBy("symbol", "level", "block").orderBy("price", "kind")
+    asked = priced.withColumn("level", F.explode(bits)).withColumn("set", F.explode(F.array(*[F.lit(k) for k in range(len(zones))])))
+    asked = asked.select("symbol", "set", "level", (F.expr("shiftright(i + 1, level)") - 1).alias("block"), F.col("close").alias("price"), F.lit(1).alias("kind"), none.alias("top"), none.alias("bottom"), "i", "atr")
+    by_price = W.partitionBy("symbol", "set", "level", "block").orderBy("price", "kind")
     met = placed.unionByName(asked).withColumns({"below": F.max("top").over(by_price.rowsBetween(W.unboundedPreceding, 0)), "above": F.min("bottom").over(by_price.rowsBetween(0, W.unboundedFollowing))})
-    c, below, above = F.first("price"), F.max("below"), F.min("above")
-    gap = F.when(below >= c, 0.0).otherwise(F.least(c - below, above - c)) / F.first("atr")
-    return met.filter("kind = 1").groupBy("symbol", "i").agg(gap.alias(name))
+    c, out = F.first("price"), []
+    for k, name in enumerate(zones):
+        below, above = (f(F.when(F.col("set") == k, F.col(v))) for f, v in ((F.max, "below"), (F.min, "above")))
+        out.append((F.when(below >= c, 0.0).otherwise(F.least(c - below, above - c)) / F.first("atr")).alias(name))
+    return met.filter("kind = 1").groupBy("symbol", "i").agg(*out)

@@ -244,8 +244,8 @@ def liquidity_sweeps(spark: SparkSession, d: str) -> DataFrame:
 def dist_to_zone(spark: SparkSession, d: str) -> DataFrame:
     df = _base(spark, d)
     gaps = kept(z.gaps(df))
-    for zones, name in ((gaps, "dist_to_fvg"), (kept(z.inverted(gaps, df)), "dist_to_ifvg")):
-        df = df.join(z.distances(df.select("symbol", "i", "close", "atr"), zones, name), ["symbol", "i"], "left")
+    found = z.distances(df.select("symbol", "i", "close", "atr"), {"dist_to_fvg": gaps, "dist_to_ifvg": kept(z.inverted(gaps, df))})
+    df = df.join(found, ["symbol", "i"], "left")
     return rounded(df, "dist_to_fvg", "dist_to_ifvg")
 
 
