@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, stage, tidy
+from .common import ragged, release, stage, tidy
 
 #: Rows of a block, anchors of a batch, dimensions of a chunk.
 BLOCK, BATCH, CHUNK = 4096, 2048, 16
@@ -270,6 +270,8 @@ def _searched(n: int, same: bool) -> Callable:
                     ident, label = (np.frombuffer(r, np.int64) for r in seen[:2])
                     block = _apart(label, np.frombuffer(seen[2], np.float64 if batch.column("wide")[k].as_py() else np.float32).reshape(len(ident), -1))
                 asked[number].meet(ident, label, block, same)
+            batch = raw = None  # tens of MB, not to be held while the next ones come
+            release()
         for one in asked.values():
             yield one.found()
 
