@@ -1,14 +1,17 @@
 """The pipeline's stages and the decontamination against brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import decontaminate, mixing, quality
+from tickloom.llm.common import Hasher, utf8
 from tickloom.llm.queries import sites, tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, doc string"
@@ -103,6 +106,27 @@ def test_quality_stage(spark, stages):
     assert all("|" not in (r.text or "") for r in frames[1].collect()) and {r.doc_id for r in frames[1].collect()} >= {k for k in range(160) if k % 4}
 
 
+def test_scores_go_back_a_step_at_a_time():
+    """A batch that is a task's whole text, with nulls: rows, columns and log odds as text by text, in parts of bounded size, and little beside the batch in memory."""
+    rng = random.Random(4)
+    known = [None, "", *(" ".join(rng.choice(["tree", "BUY!!", "stone", "|", "wind 7", "größe"]) for _ in range(600)) for _ in range(50))]
+    texts = [known[k % len(known)] for k in range(8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts), pa.array([f"s{k % 9}" if k % 7 else None for k in range(8000)])], ["c0", "c1", "host"])
+    draw = np.random.default_rng(4)
+    evidence = quality.Evidence(draw.random(quality.WIDTH), draw.random(quality.WIDTH) + 1, draw.normal(size=quality.WIDTH + 1), 0.5)
+    alone = [quality.features(*utf8(pa.array([t], pa.string())), Hasher(31)) for t in known]
+    tracemalloc.start()
+    parts = list(quality._scorer(evidence, 1, batch.schema.names)(iter([batch, batch.slice(0, 0)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(sum(len((t or "").encode()) for t in part.column("c1").to_pylist()) < 300_000 for part in parts) and most < 32e6
+    got = pa.Table.from_batches(parts)
+    assert got.drop_columns("out").equals(pa.Table.from_batches([batch])) and got["out"].null_count == 0
+    assert np.allclose(got["out"].to_numpy(), [evidence.log_odds(alone[k % len(known)])[0] for k in range(8000)], rtol=0, atol=1e-9)
+    raw = pa.Table.from_batches(quality._scorer(None, 1, ["c0"])(iter([batch.slice(0, 200)])))
+    assert raw["c0"].to_pylist() == list(range(200)) and raw["out"].to_pylist() == [alone[k % len(known)].tobytes() for k in range(200)]
+
+
 def test_near_duplicate_stage(stages):
     """One of each group by all pairs: the smallest identifier, null last."""
     _, _, frames = stages
