@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from functools import reduce
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_store
+from tickloom.llm import common, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_store
 from tickloom.llm.components import components
 from tickloom.llm.queries import sites, tokenizer
 from tickloom.llm.wavelet import WaveletMatrix
@@ -254,6 +255,34 @@ def thue_morse():
     return a, a.translate(str.maketrans("ab", "ba"))
 
 
+def test_tasks_give_back_what_they_held(monkeypatch):
+    held, left = [], []
+    monkeypatch.setattr(common, "release", lambda: left.append(held[0]() is not None))
+
+    def run(batches):
+        own = np.zeros(10)
+        held.append(weakref.ref(own))
+        for batch in batches:
+            yield batch + own[0]
+
+    assert list(common.tidy(run)([1, 2])) == [1, 2]
+    assert left == [True, True, False]  # at the end nothing is held any more
+
+
+def test_anchors_and_windows_take_bounded_text():
+    texts = [" ".join(f"w{k}x{i}" for i in range(20_000)) for k in range(50)]  # 7 MB in one Arrow batch
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "ord": list(range(50)), "text": texts})
+    anchors = list(substring_dedup._anchors(3, 20, 13, (0, 1, 3, 9))(iter([batch])))
+    assert len(anchors) == -(-sum(map(len, texts)) // substring_dedup.BATCH_BYTES) > 1
+    sent = [np.frombuffer(x, np.int64) for part in anchors for x in part.column("ids").to_pylist()]
+    assert set(np.concatenate(sent).tolist()) == set(range(50))
+    with_anchors = batch.append_column("anchors", pa.array([np.array([40], np.uint32).tobytes()] * 50, pa.binary()))
+    windows = list(substring_dedup._windows(3, 20, 13)(iter([with_anchors])))
+    assert len(windows) == len(anchors)
+    settled = list(substring_dedup._settle(substring_dedup._TWELVE, substring_dedup._later, 3)(iter(windows)))
+    assert not settled  # no window repeats
+
+
 def test_long_words_that_defeat_polynomial_hashes(spark):
     one, other = thue_morse()
     same = " ".join(f"w{k}" for k in range(19))
