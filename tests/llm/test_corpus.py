@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import weakref
 import zlib
 from functools import reduce
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm import common, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_store
+from tickloom.llm import common, components as components_module, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_store
 from tickloom.llm.components import components
 from tickloom.llm.queries import sites, tokenizer
 from tickloom.llm.wavelet import WaveletMatrix
@@ -632,6 +633,53 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def test_components_need_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "stage", lambda df, name: written.append(name) or common.stage(df, name))
+    name = lambda k: b"%04d\xff" % k
+    stars = spark.createDataFrame([(name(0), name(a)) for a in range(1, 50)] + [(name(60), name(61))], "a binary, b binary")
+    assert {r.node: r.root for r in components(stars).collect()} == {name(a): name(0) for a in range(50)} | {name(a): name(60) for a in (60, 61)}
+    assert written == ["links"]  # nothing is left to do
+    written.clear()
+    chain = spark.createDataFrame([(a, a + 1) for a in range(-600, 600)], "a long, b long")
+    assert {r.node: r.root for r in components(chain).collect()} == {a: -600 for a in range(-600, 601)}
+    assert written.count("links") <= 3
+
+
+def test_joined_links_by_brute_force(monkeypatch):
+    monkeypatch.setattr(components_module, "JOINED", 7)
+    rng = random.Random(5)
+    for _ in range(30):
+        links = [(rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(rng.randrange(1, 30))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links[k : k + 4])], ["a", "b"]) for k in range(0, len(links), 4)]
+        got = [(a, b) for out in components_module._joined(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+
+        def groups(pairs):
+            of = {a: {a} for a in range(-20, 20)}
+            for a, b in pairs:
+                both = of[a] | of[b]
+                of |= dict.fromkeys(both, both)
+            return of
+
+        assert groups(got) == groups(links) and all(a > b for a, b in got)
+
+
+def test_regression_by_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.random((20_000, quality.WIDTH), np.float32)
+    y = (x[:, :5].sum(1) + rng.normal(0, 0.5, len(x)) > 2.5).astype(float)
+    tracemalloc.start()
+    got = quality.fit(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes  # nothing of the size of x beside it
+    wide = x.astype(np.float64)
+    assert np.allclose(got.mean, wide.mean(0), atol=1e-9) and np.allclose(got.scale, wide.std(0) + 1e-6, atol=1e-9)
+    z = np.column_stack([np.ones(len(x)), np.clip((wide - got.mean) / got.scale, -8, 8)])
+    slope = z.T @ (y - 1 / (1 + np.exp(-(z @ got.weights)))) - 10.0 * np.append(0, got.weights[1:])
+    assert np.abs(slope).max() < 0.05  # the least penalised loss
+
+
 def test_near_dedup_finds_appended_cut_and_replaced_text(spark):
     """Each pair, by brute force, is similar or not; a passage that half of the texts share joins none of them."""
     rng, rows, want = random.Random(5), [], 0
