@@ -29,7 +29,10 @@ MIN_WORDS = 5
 #: Bytes of benchmark text that one pass holds in memory.
 BLOCK_BYTES = 32 << 20
 _SEED = 11
-_FILTER = 1 << 22
+#: Bytes of text that are searched at once; what that takes is some sixty times as much.
+FIND_BYTES = 1 << 18
+#: Entries of a filter of probes: so many for each probe, and in all at most.
+_SPARSE, _FILTER = 16, 1 << 22
 
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Scripts that put no spaces between words; each character of theirs is a word.
@@ -129,13 +132,13 @@ class Block:
         for width in np.unique(np.minimum(length, PROBE)).tolist():  # a piece under PROBE words is its own probe
             mine = np.flatnonzero(np.minimum(length, PROBE) == width)
             mine = mine[np.argsort(probes[mine], kind="stable")]
-            maybe = np.zeros(_FILTER, bool)
-            maybe[probes[mine] & np.uint64(_FILTER - 1)] = True
+            maybe = np.zeros(min(_FILTER, 1 << (_SPARSE * len(mine)).bit_length()), bool)
+            maybe[probes[mine] & np.uint64(len(maybe) - 1)] = True
             self.tables.append((width, maybe, probes[mine], at[mine], length[mine], item[mine], hasher.window(self.words, at[mine], length[mine])))
 
     def find(self, column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end in code points) of the best place of each item in each text."""
-        for lo, hi in steps(utf8(column)[1]):
+        for lo, hi in steps(utf8(column)[1], FIND_BYTES):
             raw, offsets = utf8(folded(column.slice(lo, hi - lo)))
             starts, ends, first = item_words(raw, offsets)
             if not len(starts):
@@ -158,7 +161,7 @@ class Block:
         """Row, item and the word where the item would begin, of all exact hits of its pieces."""
         at = np.arange(max(0, len(sums) - width))
         probe = hasher.words.hashes(sums, at, at + width)
-        at = np.flatnonzero(maybe[probe & np.uint64(_FILTER - 1)])
+        at = np.flatnonzero(maybe[probe & np.uint64(len(maybe) - 1)])
         left = np.searchsorted(probes, probe[at], "left")
         n = np.searchsorted(probes, probe[at], "right") - left
         piece = np.repeat(left, n) + ragged(n)

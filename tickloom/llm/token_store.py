@@ -25,8 +25,9 @@ from .wavelet import WaveletMatrix
 SHARD_IDS = 1 << 20
 END_ID = 2
 SCHEMA = "part int, shard int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
-#: Bytes of text that are encoded at once, and pieces that a Python worker remembers the ids of; longer pieces than so many bytes are not remembered.
-ENCODE_BYTES, REMEMBERED, LONGEST = 2 << 20, 1 << 20, 128
+#: Bytes of text that are encoded at once (what that takes is some thirty times as much), and pieces that a Python worker remembers the ids of, so few that its
+#: arrays stay at 1 << 20 entries with what a step adds; longer pieces than so many bytes are not remembered, so that a byte holds a piece's size and its ids' number.
+ENCODE_BYTES, REMEMBERED, LONGEST = 1 << 18, 7 << 17, 128
 
 _BYTE = np.arange(256)
 _LETTER = (_BYTE >= 65) & (_BYTE <= 90) | (_BYTE >= 97) & (_BYTE <= 122)
@@ -87,8 +88,8 @@ class Encoder:
     def forget(self) -> None:
         self.n, self.used, self.filled = 0, 0, 0
         self.slots = np.full(1 << 16, -1, np.int32)
-        self.hashes, self.sizes, self.lane_at = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int64)
-        self.starts, self.lengths = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.hashes, self.sizes, self.lane_at = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.uint8), np.zeros(1 << 15, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint8)
         self.ids, self.lanes = np.zeros(1 << 17, self.dtype), np.zeros(1 << 16, np.uint64)
 
     # ---- the memory: open addressing by hash, one slot a piece
@@ -97,7 +98,9 @@ class Encoder:
         for name, n in least.items():
             array = getattr(self, name)
             if n > len(array):
-                setattr(self, name, np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)]))
+                grown = np.zeros(max(2 * len(array), n), array.dtype)  # not concatenated: what is not written yet takes no memory
+                grown[: len(array)] = array
+                setattr(self, name, grown)
 
     def _place(self, numbers: np.ndarray) -> None:
         mask = len(self.slots) - 1
@@ -162,7 +165,7 @@ class Encoder:
         self.starts[self.n : end] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
         before, self.n, self.used, self.filled = self.n, end, used, filled
         if 2 * end > len(self.slots):
-            self.slots = np.full(1 << (4 * end).bit_length(), -1, np.int32)
+            self.slots = np.full(1 << (2 * end).bit_length(), -1, np.int32)
             before = 0
         self._place(np.arange(before, end))
 
@@ -194,7 +197,7 @@ class Encoder:
         got = [np.array(self.library.encode(raw[starts[k] : starts[k] + sizes[k]].tobytes().decode(), add_special_tokens=False).ids, self.dtype) for k in far]
         length[far] = [len(g) for g in got]
         ends = np.cumsum(length)
-        size = self.lengths[number]
+        size = length[short]
         held = self.ids[np.repeat(self.starts[number], size) + ragged(size)]
         if len(far):
             ids = np.empty(int(ends[-1]), self.dtype)
